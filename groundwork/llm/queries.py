@@ -13,6 +13,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by the 32k piece vocabulary: ``doc_id, n_bytes, n_tokens, over_limit``."""
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 shards under the law ``bytes``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``."""
+    from .sharding import shard_documents
+
+    found = shard_documents(_table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text: ``doc_id, held_out, score, predicted``."""
+    from .toxicity import fit, held_out, scores
+
+    docs = _table(spark, sf_dir, "documents")
+    found = scores(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, Jaccard 0.9: ``doc_id, n_shingles, component_id, n_links``."""
     from .ngram_join import jaccard_components
@@ -21,8 +47,42 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "n_links")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of documents that overlap with test items: ``doc_id, item_id, doc_start, item_start, n_words, n_equal``."""
+    from .decontam import overlaps
+
+    return overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a smaller doc_id has too: ``doc_id, start_word, end_word, kept_doc_id, kept_start_word, cluster_id``."""
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=4096, end_id=1, with_ids=False)
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted and read back: ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``."""
+    from .chat_format import digests, format_conversations
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit("\\### Assistant: </turn> ok")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
+    return digests(format_conversations(turns.unionByName(own)))
+
+
 QUERIES: dict[str, Query] = {
-    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    q.__name__: q
+    for q in (op2_token_counts, op4_sharding, op5_toxicity, op6_ngram_jaccard_join, op7_decontamination, op8_substring_dedup, op9_best_fit_packing, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {}
