@@ -44,7 +44,7 @@ class Model:
     def score(self, text: bytes) -> float:
         known = self.weights
         total = self.bias + sum(sorted(known[w] for w in set(words.split_alnum(text)) if w in known))
-        return 1.0 / (1.0 + float(np.exp(min(700.0, -total))))
+        return 1.0 / (1.0 + float(np.exp(-total))) if total > -700 else 0.0
 
 
 def held_out(id_col: str = "doc_id"):
