@@ -13,6 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20: ``query_id, rank, vec_id, score``."""
+    from .ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text by the 32k piece vocabulary: ``doc_id, n_bytes, n_tokens, over_limit``."""
     import public_tokenizers
@@ -22,6 +29,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/doc_id``: ``doc_id, path, license_id, score, origin, license_path``."""
+    from .license_scan import scan_licenses
+
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    found = scan_licenses(docs.select(path.alias("path"), "text"))
+    return found.select(F.substring_index("path", "/", -1).try_cast("long").alias("doc_id"), "path", "license_id", "score", "origin", "license_path")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """40 shards under the law ``bytes``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``."""
     from .sharding import shard_documents
@@ -82,7 +99,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (op2_token_counts, op4_sharding, op5_toxicity, op6_ngram_jaccard_join, op7_decontamination, op8_substring_dedup, op9_best_fit_packing, op10_chat_formatting)
+    for q in (op1_inverted_multi_index, op2_token_counts, op3_license_scan, op4_sharding, op5_toxicity, op6_ngram_jaccard_join, op7_decontamination, op8_substring_dedup, op9_best_fit_packing, op10_chat_formatting)
 }
 
 ORACLE_SQL: dict[str, str] = {}
