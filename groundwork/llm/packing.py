@@ -13,6 +13,8 @@ from __future__ import annotations
 import bisect
 import functools
 import math
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,30 +34,82 @@ ROUNDS = 300
 NUMBERED = 1_000_000
 
 
-@functools.lru_cache(2)
-def _tokenizer(file: str):
-    import os
+#: A word that ends in punctuation after an ASCII letter or digit: the two parts are tokenized apart in any case.
+_TAIL = re.compile(rb"(.*[A-Za-z0-9])([,.;:!?#%&$*|]+)", re.S)
+#: Words of such letters alone are one pre-token each, with one end-of-word token at its end.
+_LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(file)
+class WordIds:
+    """Token ids of single words as little-endian bytes.
+
+    The tokenizer drops white space and no token spans it, so the ids of a
+    text are those of its words.  A worker keeps what it has seen of both
+    words and their parts before punctuation, each up to KEPT.
+    """
+
+    def __init__(self, file: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(file)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.ends[i] = token.endswith("</w>")
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def learn(self, words_: set[bytes]) -> None:
+        """Make sure that all of these are in ``words``."""
+        if len(self.words) + len(words_) > KEPT:
+            self.words.clear()
+        if len(self.parts) > KEPT:
+            self.parts.clear()
+        split: list[tuple[bytes, bytes, bytes]] = []
+        for w in words_ - self.words.keys():
+            m = _TAIL.fullmatch(w)
+            head, tail = m.groups() if m else (w, b"")
+            split.append((w, head.lower() if head.isascii() and b"<|" not in head else head, tail))
+        need = {part for _, head, tail in split for part in (head, tail) if part} - self.parts.keys()
+        texts = [(part, part.decode()) for part in need]
+        plain = [x for x in texts if _LETTERS.fullmatch(x[1])]
+        self._joined(plain)
+        self._each([x for x in texts if x[0] not in self.parts])
+        for w, head, tail in split:
+            self.words[w] = self.parts[head] + self.parts[tail] if tail else self.parts[head]
+
+    def _joined(self, texts: list[tuple[bytes, str]]) -> None:
+        for at in range(0, len(texts), 512):
+            some = texts[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                data, start = ids.tobytes(), 0
+                for (part, _), end in zip(some, (4 * ends).tolist()):
+                    self.parts[part] = data[start:end]
+                    start = end
+
+    def _each(self, texts: list[tuple[bytes, str]]) -> None:
+        for at in range(0, len(texts), 512):
+            some = texts[at : at + 512]
+            for (part, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
+                self.parts[part] = np.array(e.ids, "<u4").tobytes()
+
+
+@functools.lru_cache(1)
+def _word_ids(file: str) -> WordIds:
+    return WordIds(file)
 
 
 def _pieces(file: str, size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known, end = _tokenizer(file), {}, np.array([end_id], "<u4").tobytes()
+        ids_of, end = _word_ids(file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part, texts in words.slices(batch):
-                # the tokenizer drops white space and no token spans it, so each word has its ids
                 split = [text.split() for text in texts]
-                if len(known) > KEPT:
-                    known.clear()
-                new = list({w for own in split for w in own if w not in known})
-                for at in range(0, len(new), 4096):
-                    some = new[at : at + 4096]
-                    for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                        known[w] = np.array(e.ids, "<u4").tobytes()
+                ids_of.learn(set().union(*split))
+                known = ids_of.words
                 row, piece, start, length, crc, data = [], [], [], [], [], []
                 for i, own in enumerate(split):
                     ids = b"".join(map(known.__getitem__, own)) + end
