@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words
 from .scratch import Scratch
+from .sizes import sized
 
 #: 1: the word counts, 0: it is ignored.
 MASKS = ("11111111", "1101011011", "1011101101", "1110010111")
@@ -169,4 +170,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, identity: f
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` without texts that hold part of a test item."""
     hit = overlaps(docs, benchmark, **how).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(hit, docs["doc_id"] == F.col("__id"), "left_anti")
+    return docs.join(sized(hit), docs["doc_id"] == F.col("__id"), "left_anti")
