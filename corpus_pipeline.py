@@ -13,6 +13,7 @@ from groundwork.llm.decontam import decontaminate
 from groundwork.llm.ngram_join import jaccard_components
 from groundwork.llm.packing import pack_documents
 from groundwork.llm.scratch import Scratch
+from groundwork.llm.sizes import sized
 from groundwork.llm.substring_dedup import remove_repeats, repeated_passages
 from groundwork.llm.toxicity import drop_toxic, fit
 
@@ -26,7 +27,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group linked by Jaccard 0.8 of five-word shingles: the one with the smallest doc_id."""
     groups = jaccard_components(docs, k=5, num=8, den=10)
     gone = groups.where("component <> id").select(F.col("id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    return docs.join(sized(gone), docs["doc_id"] == F.col("__id"), "left_anti")
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
