@@ -70,19 +70,21 @@ def nearest(queries: DataFrame, entries: DataFrame, k: int, source: str = "dense
 
     def tile(questions: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
         if not len(questions) or not len(chunks):
-            return pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
+            return pd.DataFrame({"question_id": [], "chunk_id": [], "score": []}, dtype=object)
         left, right = (np.stack(x).astype(np.float64) for x in (questions["vec"], chunks["evec"]))
         ids = chunks["chunk_id"].to_numpy()
         place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-        out = []
+        asked, near, scores = [], [], []
         for own, row in zip(questions["question_id"], left @ right.T):
             score = np.round(row, DIGITS)
             at = np.arange(len(ids))
             if len(at) > k:
                 at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
             at = at[np.lexsort((place[at], -score[at]))][:k]
-            out.append(pd.DataFrame({"question_id": own, "chunk_id": ids[at], "score": row[at]}))
-        return pd.concat(out)
+            asked += [own] * len(at)
+            near += ids[at].tolist()
+            scores += row[at].tolist()
+        return pd.DataFrame({"question_id": asked, "chunk_id": near, "score": scores})
 
     q_type, e_type = queries.schema["question_id"].dataType.simpleString(), entries.schema["chunk_id"].dataType.simpleString()
     near = q.groupBy("qb", "eb").cogroup(e.groupBy("qb", "eb")).applyInPandas(tile, f"question_id {q_type}, chunk_id {e_type}, score double")

@@ -35,8 +35,9 @@ def ask_model(text: Column, model: str, client: Callable = _client) -> Column:
 
     @F.pandas_udf("text string, prompt_tokens long, completion_tokens long")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ask = client()
+        ask = None
         for texts in parts:
+            ask = ask or client()
             yield pd.DataFrame([ask(model, t) for t in texts], columns=["text", "prompt_tokens", "completion_tokens"])
 
     return run.asNondeterministic()(text)

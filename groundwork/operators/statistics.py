@@ -112,8 +112,8 @@ def cohen_kappa(pairs: DataFrame, a: str, b: str, keys: tuple[str, ...] = ()) ->
 def spearman(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """One row ``n, rho``: Pearson's correlation of average ranks; null below two rows or without variance."""
     ranked = average_ranks(average_ranks(pairs.select(x, y), x, "__rx"), y, "__ry")
-    flat = (F.var_pop("__rx") > 0) & (F.var_pop("__ry") > 0)
-    return ranked.agg(F.count("*").alias("n"), F.when((F.count("*") >= 2) & flat, F.corr("__rx", "__ry")).alias("rho"))
+    spread = F.nullif(F.sqrt(F.var_pop("__rx") * F.var_pop("__ry")), F.lit(0.0))
+    return ranked.agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, F.covar_pop("__rx", "__ry") / spread).alias("rho"))
 
 
 def percentiles(df: DataFrame, value: str, at: dict[str, float], keys: tuple[str, ...] = ()) -> DataFrame:
