@@ -3,7 +3,7 @@
 A linear classifier on the presence of words is trained in numpy from
 confirmed toxic texts and unlabelled texts.  The risk of the negative class is
 estimated from unlabelled texts corrected by the class prior, and kept from
-going below zero.
+going far below zero.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ class Settings:
     max_positive: int = 8_000
     max_unlabelled: int = 16_000
     max_words: int = 4_096
-    least_texts: int = 4
+    least_texts: int = 5
     least_z: float = 4.0
+    #: A word must be in this share of the positives, or of the unlabelled.
+    least_share: float = 0.02
     rounds: int = 600
     rate: float = 0.05
-    decay: float = 1e-4
-    below: float = 0.0
+    #: Pull towards the first weights.
+    decay: float = 1e-2
+    #: The estimated negative risk may fall below zero by so many times the prior before a step goes back.
+    below: float = 2.0
 
 
 @dataclass
@@ -74,6 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     wanted = positive.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False)))
     # bounded by the two settings, so it can be broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("positive", "text")
+    sample = sample.dropDuplicates(["positive", "text"])  # copies are one example
     bags = tables.save(sample.mapInArrow(_distinct_words, "positive boolean, words array<string>"))
     counts = {r["positive"]: r["n"] for r in bags.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = counts.get(True, 0), counts.get(False, 0)
@@ -86,31 +91,53 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         bags.select("positive", F.explode("words").alias("word"))
         .groupBy("word")
         .agg(in_p.alias("p"), in_u.alias("u"))
-        .where(F.col("p") + F.col("u") >= settings.least_texts)
+        .where((F.greatest("p", "u") >= settings.least_texts) & (F.greatest(rate_p, rate_u) >= settings.least_share))
         .withColumn("z", z)
         .where(F.abs("z") >= settings.least_z)
         .orderBy(F.abs("z").desc(), "word")
         .limit(settings.max_words)
     )
-    names = [r["word"] for r in chosen.select("word").collect()]
+    found = chosen.collect()
+    names = [r["word"] for r in found]
+    start = first_weights(np.array([r["p"] for r in found], float), np.array([r["u"] for r in found], float), n_p, n_u, prior)
     if not names:
         return Model(bias=float(np.log(prior / (1 - prior))))
     listed = F.array(*[F.lit(n) for n in names]) if len(names) < 200 else None
     kept = F.array_intersect("words", listed) if listed is not None else F.col("words")
     index = {n: i for i, n in enumerate(names)}
     rows = [(r["positive"], [index[w] for w in r["words"] if w in index]) for r in bags.select("positive", kept.alias("words")).toLocalIterator()]
-    w, bias = train(rows, len(names), prior, settings)
+    w, bias = train(rows, start, prior, settings)
     tables.drop(bags)
     return Model({n.encode(): float(x) for n, x in zip(names, w)}, float(bias))
 
 
-def train(rows: list[tuple[bool, list[int]]], n: int, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
-    """Minimise prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) for the logistic loss l by Adam, in full batches."""
+def first_weights(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """Log-ratio of each word's rates among positives and negatives, towards 0 by a standard error of either.
+
+    The negatives' rate is the unlabelled rate corrected by the class prior.
+    """
+    rate = p / n_p
+    negative = (u / n_u - prior * rate) / (1 - prior)
+    error_p, error_n = (np.sqrt(p) + 1) / n_p, (np.sqrt(u) + 1) / n_u / (1 - prior) + prior * (np.sqrt(p) + 1) / n_p / (1 - prior)
+    more = np.log(np.maximum(rate - error_p, 1e-9) / (np.maximum(negative, 0) + error_n))
+    less = np.log((rate + error_p) / np.maximum(negative - error_n, 1e-9))
+    return np.where(more > 0, more, np.where(less < 0, less, 0.0))
+
+
+def train(rows: list[tuple[bool, list[int]]], start: np.ndarray, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
+    """Minimise prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) for the logistic loss l by Adam, in full batches.
+
+    Without the bound, f tends to the log-odds of prior * p(x) / u(x).  The
+    weights begin at ``start``, are pulled back to it, and keep its signs, so
+    words that always come together share their weight.
+    """
+    n, signs = len(start), np.sign(start)
     positive = np.array([p for p, _ in rows])
     at = np.concatenate([np.array(x, np.int64) for _, x in rows] + [np.empty(0, np.int64)])
     row = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
     each = np.where(positive, 1 / positive.sum(), 1 / (~positive).sum())
     theta = np.zeros(n + 1)
+    theta[:n] = start
     theta[n] = np.log(prior / (1 - prior))
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
@@ -120,14 +147,25 @@ def train(rows: list[tuple[bool, list[int]]], n: int, prior: float, settings: Se
         negative = as_negative[~positive].sum() - prior * as_negative[positive].sum()
         rising = sigmoid(f) * each  # slope of l(-f)
         slope_negative = np.where(positive, -prior * rising, rising)
-        if negative >= -settings.below:
-            slope = slope_negative + np.where(positive, -prior * sigmoid(-f) * each, 0)
+        if negative >= -settings.below * prior:
+            slope = slope_negative - np.where(positive, prior * sigmoid(-f) * each, 0)
         else:  # the estimate has gone below zero: step back
             slope = -slope_negative
-        g = np.r_[np.bincount(at, slope[row], minlength=n), slope.sum()] + settings.decay * np.r_[theta[:n], 0]
+        g = np.r_[np.bincount(at, slope[row], minlength=n), slope.sum()] + settings.decay * np.r_[theta[:n] - start, 0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return theta[:n], theta[n]
+        theta[:n] = signs * np.maximum(0, signs * theta[:n])
+    f = np.bincount(row, theta[at], minlength=len(rows))
+    return theta[:n], -cut(f, positive, prior)
+
+
+def cut(f: np.ndarray, positive: np.ndarray, prior: float) -> float:
+    """The value of ``f`` from which a text counts as toxic: where the same risk with the zero-one loss is least, halfway to the next lower value."""
+    values, place = np.unique(f, return_inverse=True)
+    found_p, found_u = (np.cumsum(np.bincount(place[m], minlength=len(values))[::-1])[::-1] / max(1, m.sum()) for m in (positive, ~positive))
+    risk = prior * (1 - found_p) + np.maximum(0, found_u - prior * found_p)
+    best = len(values) - 1 - int(np.argmin(risk[::-1]))
+    return float(values[best] - 1 if best == 0 else (values[best] + values[best - 1]) / 2)
 
 
 def _scores(model):
