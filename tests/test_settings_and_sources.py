@@ -63,3 +63,12 @@ def test_labels_and_floors(spark, tmp_path):
     assert files.read_judge_labels(spark, str(tmp_path / "l.jsonl")).first()["context"] == ""
     (tmp_path / "f.json").write_text('{"a": 0.5,\n "b": 1}')
     assert {(r["metric"], r["floor"]) for r in files.read_floors(spark, str(tmp_path / "f.json")).collect()} == {("a", 0.5), ("b", 1.0)}
+
+
+def test_shipped_settings_are_the_built_in_ones():
+    import os
+
+    root = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "config")
+    assert C.load(f"{root}/base.yaml") == C.from_dict(C.BASE)
+    for v in C.VARIANTS:
+        assert C.load(f"{root}/variants/{v.name}.yaml") == v
