@@ -31,10 +31,18 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, batch: int | None = None) -> DataFrame:
+        """Write and read back; ``batch`` bounds the rows that are handed to Python at once, for rows that hold long arrays or texts."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.mode("overwrite").parquet(path)
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        if batch:
+            self.spark.conf.set(name, str(min(batch, int(before)) if int(before) > 0 else batch))
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

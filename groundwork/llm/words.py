@@ -7,10 +7,14 @@ Text is handled as UTF-8 bytes: ``bytes.lower`` changes A-Z only and
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -23,7 +27,7 @@ ALNUM = bytes(
 class _Hashes(dict):
     """Word to hash; emptied when full, so its memory is bounded."""
 
-    limit = 500_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -100,15 +104,30 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np
     return h, doc, np.bincount(doc, minlength=len(texts))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def frugal(run):
+    """A function on batches that gives memory back to the system when its task ends; workers live on and share an executor's memory."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return whole
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """A batch in parts of about ``limit`` bytes of text (a longer text is a part by itself), with the texts as bytes; null is empty."""
-    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary()).fill_null(b"")
-    ends = np.cumsum(np.asarray(pa.compute.binary_length(texts)))
+    texts = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(np.asarray(pa.compute.binary_length(texts).fill_null(0)), dtype=np.int64)
     start = 0
     while start < len(texts):
         base = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
-        yield batch.slice(start, stop - start), texts.slice(start, stop - start).to_pylist()
+        yield batch.slice(start, stop - start), texts.slice(start, stop - start).cast(pa.binary()).fill_null(b"").to_pylist()
         start = stop
 
 
