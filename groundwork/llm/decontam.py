@@ -73,6 +73,7 @@ def _filter_bits(items: DataFrame) -> np.ndarray:
 
 
 def _hits(bits):
+    @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(bits.value.view(np.uint8), bitorder="little").view(bool)
         low = np.uint64((1 << FILTER) - 1)
@@ -118,6 +119,7 @@ def overlap(same: np.ndarray) -> tuple[int, int, int]:
 
 
 def _verify(least: int, identity: float):
+    @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
@@ -153,7 +155,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, identity: f
     texts = docs.selectExpr(f"cast(`{id_col}` as long) as doc", f"`{text_col}` as text").where("doc is not null")
     planted = tables.save(items.mapInArrow(_item_seeds, "seed long, item long, ipos int").distinct())
     bits = spark.sparkContext.broadcast(_filter_bits(planted))
-    hits = tables.save(texts.mapInArrow(_hits(bits), "doc long, lo long, dwords array<long>, seeds array<long>, places array<long>"))
+    hits = tables.save(texts.mapInArrow(_hits(bits), "doc long, lo long, dwords array<long>, seeds array<long>, places array<long>"), 4_000)
     pairs = (
         hits.select("doc", "lo", F.explode(F.arrays_zip("seeds", "places")).alias("x"))
         .select("doc", "lo", F.col("x.seeds").alias("seed"), F.col("x.places").alias("pos"))

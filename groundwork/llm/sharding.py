@@ -56,6 +56,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     parcel = (kind + F.pmod(F.shiftright(h, 8), F.lit(PARCELS))).cast("int")
     items = [(r["weight"], (0, bytes(r["key"]))) for r in groups.where(large).select("key", "weight").collect()]
     items += [(r["weight"], (1, r["parcel"])) for r in groups.where(~large).groupBy(parcel.alias("parcel")).agg(F.sum("weight").alias("weight")).collect()]
+    tables.drop(groups)
     where, _ = schedule(items, shards)
     by_key = spark.createDataFrame([(bytearray(k), s) for (kind, k), s in where.items() if not kind], "key binary, by_key int")
     by_parcel = spark.createDataFrame([(k, s) for (kind, k), s in where.items() if kind], "parcel int, by_parcel int")

@@ -21,7 +21,7 @@ from . import words
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 #: Pre-tokens whose counts a worker keeps.
-KEPT = 600_000
+KEPT = 300_000
 
 
 class PairTable:
@@ -154,6 +154,7 @@ def pre_tokens(text: str, splits: bool = True) -> list[str]:
 
 
 def _count(model_file: str, limit: int):
+    @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, known = load(model_file), {}
         for batch in batches:

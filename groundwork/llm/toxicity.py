@@ -55,6 +55,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
+@words.frugal
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in words.slices(batch):
@@ -79,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     # bounded by the two settings, so it can be broadcast
     sample = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("positive", "text")
     sample = sample.dropDuplicates(["positive", "text"])  # copies are one example
-    bags = tables.save(sample.mapInArrow(_distinct_words, "positive boolean, words array<string>"))
+    bags = tables.save(sample.mapInArrow(_distinct_words, "positive boolean, words array<string>"), 2_000)
     counts = {r["positive"]: r["n"] for r in bags.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = counts.get(True, 0), counts.get(False, 0)
     if not n_p or not n_u or not 0 < prior < 1:
@@ -169,6 +170,7 @@ def cut(f: np.ndarray, positive: np.ndarray, prior: float) -> float:
 
 
 def _scores(model):
+    @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.value.score
         for batch in batches:
@@ -188,6 +190,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def _keep(model, limit: float):
+    @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.value.score
         for batch in batches:
