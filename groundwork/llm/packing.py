@@ -26,7 +26,7 @@ from . import words
 from .scratch import Scratch
 
 #: Words whose ids a worker keeps.
-KEPT = 600_000
+KEPT = 500_000
 #: For each first length of a three-document pattern, so many second lengths are tried.
 SECOND = 24
 ROUNDS = 300
@@ -34,19 +34,26 @@ ROUNDS = 300
 NUMBERED = 1_000_000
 
 
-#: A word that ends in punctuation after an ASCII letter or digit: the two parts are tokenized apart in any case.
-_TAIL = re.compile(rb"(.*[A-Za-z0-9])([,.;:!?#%&$*|]+)", re.S)
+#: Punctuation that ends a word after an ASCII letter or digit is tokenized by itself in any case.
+_TAIL = re.compile(rb"(?<=[A-Za-z0-9])[,.;:!?#%&$*|]+(?!\S)")
 #: Words of such letters alone are one pre-token each, with one end-of-word token at its end.
 _LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
-class WordIds:
-    """Token ids of single words as little-endian bytes.
+def spread(text: bytes) -> list[bytes]:
+    """Words of a text such that its token ids are theirs, one after the other.
 
-    The tokenizer drops white space and no token spans it, so the ids of a
-    text are those of its words.  A worker keeps what it has seen of both
-    words and their parts before punctuation, each up to KEPT.
+    The tokenizer drops white space and no token spans it; it lower-cases, so
+    the case of ASCII texts can go.  Texts that may hold special strings are
+    only cut at white space.
     """
+    if b"<|" in text:
+        return text.split()
+    return _TAIL.sub(rb" \g<0>", text.lower() if text.isascii() else text).split()
+
+
+class WordIds:
+    """Token ids of single words as little-endian bytes; a worker keeps up to KEPT words."""
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -58,26 +65,14 @@ class WordIds:
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
 
-    def learn(self, words_: set[bytes]) -> None:
+    def learn(self, found: set[bytes]) -> None:
         """Make sure that all of these are in ``words``."""
-        if len(self.words) + len(words_) > KEPT:
+        if len(self.words) > KEPT:
             self.words.clear()
-        if len(self.parts) > KEPT:
-            self.parts.clear()
-        split: list[tuple[bytes, bytes, bytes]] = []
-        for w in words_ - self.words.keys():
-            m = _TAIL.fullmatch(w)
-            head, tail = m.groups() if m else (w, b"")
-            split.append((w, head.lower() if head.isascii() and b"<|" not in head else head, tail))
-        need = {part for _, head, tail in split for part in (head, tail) if part} - self.parts.keys()
-        texts = [(part, part.decode()) for part in need]
-        plain = [x for x in texts if _LETTERS.fullmatch(x[1])]
-        self._joined(plain)
-        self._each([x for x in texts if x[0] not in self.parts])
-        for w, head, tail in split:
-            self.words[w] = self.parts[head] + self.parts[tail] if tail else self.parts[head]
+        texts = [(w, w.decode()) for w in found - self.words.keys()]
+        self._joined([x for x in texts if _LETTERS.fullmatch(x[1])])
+        self._each([x for x in texts if x[0] not in self.words])
 
     def _joined(self, texts: list[tuple[bytes, str]]) -> None:
         for at in range(0, len(texts), 512):
@@ -87,14 +82,14 @@ class WordIds:
             if len(ends) == len(some):
                 data, start = ids.tobytes(), 0
                 for (part, _), end in zip(some, (4 * ends).tolist()):
-                    self.parts[part] = data[start:end]
+                    self.words[part] = data[start:end]
                     start = end
 
     def _each(self, texts: list[tuple[bytes, str]]) -> None:
         for at in range(0, len(texts), 512):
             some = texts[at : at + 512]
             for (part, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
-                self.parts[part] = np.array(e.ids, "<u4").tobytes()
+                self.words[part] = np.array(e.ids, "<u4").tobytes()
 
 
 @functools.lru_cache(1)
@@ -103,11 +98,12 @@ def _word_ids(file: str) -> WordIds:
 
 
 def _pieces(file: str, size: int, end_id: int, with_ids: bool):
+    @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = _word_ids(file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part, texts in words.slices(batch):
-                split = [text.split() for text in texts]
+                split = [spread(text) for text in texts]
                 ids_of.learn(set().union(*split))
                 known = ids_of.words
                 row, piece, start, length, crc, data = [], [], [], [], [], []
@@ -239,6 +235,7 @@ def plan(hist: dict[int, int], size: int) -> tuple[np.ndarray, int]:
 
 
 def _place(table, step: int):
+    @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = table.value
         key = rows[:, 0] * step + rows[:, 1]
@@ -265,7 +262,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, size: int = 4096, end_i
     tables = Scratch(spark, "packing")
     rows = docs.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{text_col}` as text")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    pieces = tables.save(rows.mapInArrow(_pieces(tokenizer_file, size, end_id, with_ids), schema))
+    pieces = tables.save(rows.mapInArrow(_pieces(tokenizer_file, size, end_id, with_ids), schema), 4_000)
     hist = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     planned, _ = plan(hist, size)
     # ranks within a length: within a salted part, after the parts before it
