@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import hashing, text as T
@@ -69,13 +71,21 @@ def _bm25(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
 
 
 def _md5_vectors(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Dense vectors of the md5 embedding."""
-    parts = hashing.embed_md5(rows, id_col, text_col, DIM)
-    cells = F.map_from_entries(F.collect_list(F.struct(F.col("bucket").cast("int"), "weight")))
-    made = parts.groupBy("id").agg(cells.alias("m"))
-    made = made.select("id", F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vec"))
-    zero = F.array_repeat(F.lit(0.0), DIM)
-    return rows.select(F.col(id_col).alias("id")).join(made, "id", "left").withColumn("vec", F.coalesce("vec", zero))
+    """Dense vectors of the md5 embedding, held as a search reads them more than once."""
+
+    @F.pandas_udf("array<double>")
+    def dense_vector(buckets: pd.Series, weights: pd.Series) -> pd.Series:
+        def one(at, w):
+            out = np.zeros(DIM)
+            if at is not None:
+                out[at] = w
+            return out
+
+        return pd.Series([one(at, w) for at, w in zip(buckets, weights)])
+
+    parts = hashing.embed_md5(rows, id_col, text_col, DIM).groupBy("id").agg(F.collect_list(F.struct("bucket", "weight")).alias("p"))
+    both = rows.select(F.col(id_col).alias("id")).join(parts, "id", "left")
+    return both.select("id", dense_vector(F.col("p.bucket"), F.col("p.weight")).alias("vec")).persist()
 
 
 def _dense(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
