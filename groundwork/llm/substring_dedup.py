@@ -4,8 +4,11 @@ A paragraph is a window of WINDOW words that starts at an anchor chosen from
 the words themselves (the least shingle hash among GAP neighbours), so every
 passage of ``min_words`` words contains a whole paragraph wherever it stands
 and however a text is broken into lines.  MinHash bands of a paragraph's
-shingles are joined; colliding paragraphs on the same alignment are verified
-word by word and extended to the whole repeated passage.
+shingles are joined.  Where paragraphs of equal sketches meet, all runs of
+``min_words`` words around them are joined by their hashes, which finds every
+exact passage.  Other paragraphs of a key are compared where their sketches
+allow it, in rounds, until one is verified or none is left.  What meets is
+verified word by word and extended to the whole repeated passage.
 """
 
 from __future__ import annotations
@@ -26,8 +29,14 @@ from .sizes import sized
 SHINGLE = 5
 WINDOW = 28
 GAP = 22
-#: Rows of one band key held at once.
+#: MinHashes in a paragraph's sketch, four bits each.
+SKETCH = 16
+#: Sketches compared with a group at once.
+BLOCK = 256
+#: Pairs handed on at once.
 HELD = 1 << 16
+#: Each round compares so many times more smaller texts with what is still open.
+MORE = 16
 #: Texts with passages whose places are broadcast, at most; for more, the texts are dealt by id.
 WANTED = 200_000
 #: Rows with texts or word lists that are handed to Python at once.
@@ -52,19 +61,38 @@ def _smallest(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def band_keys(texts: list[bytes], min_words: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band key, text number and word position for the paragraphs of all texts, each key and position once."""
+def _paragraphs(texts: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes with their text numbers and positions, and the first shingle of each paragraph."""
     flat, lens = words.hashed(texts)
     h, doc, pos = words.windows(flat, lens, SHINGLE)
-    none = np.empty(0, np.int64)
     if len(h) < GAP:
-        return none, none, none
+        return h, doc, pos, np.empty(0, np.int64)
     inside = np.flatnonzero((doc[: len(h) - GAP + 1] == doc[GAP - 1 :]) & (lens[doc[: len(h) - GAP + 1]] >= min_words))
     anchors = np.unique(_smallest(words.mix(h + words.BASE), inside, GAP))
     n = WINDOW - SHINGLE + 1
     anchors = anchors[anchors + n <= len(h)]
-    anchors = anchors[doc[anchors] == doc[anchors + n - 1]]
-    keys, docs, places = [], [], []
+    return h, doc, pos, anchors[doc[anchors] == doc[anchors + n - 1]]
+
+
+def _sketches(h: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """SKETCH further MinHashes of each paragraph, four bits each; equal paragraphs have equal sketches."""
+    out = np.zeros(len(anchors), np.uint64)
+    odd = words.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * words.BASE) | np.uint64(1)
+    for at in range(0, len(anchors), 1 << 13):
+        some = h[anchors[at : at + (1 << 13), None] + np.arange(WINDOW - SHINGLE + 1)]
+        for i in range(SKETCH):
+            out[at : at + len(some)] |= (words.mix((some * odd[i]).min(1)) & np.uint64(15)) << np.uint64(4 * i)
+    return out
+
+
+def band_keys(texts: list[bytes], min_words: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Band key, text number, word position and sketch for the paragraphs of all texts, each combination once."""
+    h, doc, pos, anchors = _paragraphs(texts, min_words)
+    if not len(anchors):
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    n = WINDOW - SHINGLE + 1
+    sketch = _sketches(h, anchors).view(np.int64)
+    keys, docs, places, sketches = [], [], [], []
     for band in range(bands):
         key, first = np.full(len(anchors), band, np.uint64), None
         for row in range(rows):
@@ -72,84 +100,193 @@ def band_keys(texts: list[bytes], min_words: int, bands: int, rows: int) -> tupl
             at = _smallest(own, anchors, n)
             key = words.mix(key + own[at])
             first = at if first is None else first
-        both = np.unique(np.c_[first, key.view(np.int64)], axis=0) if rows > 1 else None
-        if both is None:  # the key follows from the position
-            first, index = np.unique(first, return_index=True)
-            key = key[index].view(np.int64)
-        else:
-            first, key = both.T
-        keys.append(key)
-        docs.append(doc[first])
-        places.append(pos[first])
-    return np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
+        key = key.view(np.int64)
+        order = np.lexsort((sketch, key, first))
+        k, f, s = key[order], first[order], sketch[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (f[1:] != f[:-1]) | (s[1:] != s[:-1])]
+        keys.append(k[new])
+        docs.append(doc[f[new]])
+        places.append(pos[f[new]])
+        sketches.append(s[new])
+    return tuple(np.concatenate(x) for x in (keys, docs, places, sketches))
 
 
 def _bands(min_words: int, bands: int, rows: int):
-    """Rows ``(key, doc, pos, kept, shift)``: keys to be met (``kept`` null), and what met already within a part of a batch.
-
-    In a part, texts that share a key are linked to the smallest of them, and
-    only that one goes on, so a key that very many texts share arrives as one
-    text per part.
-    """
-
     @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in words.slices(batch):
-                key, doc, pos = band_keys(texts, min_words, bands, rows)
+                key, doc, pos, sketch = band_keys(texts, min_words, bands, rows)
                 doc = np.asarray(part.column(0))[doc]
-                key, doc, pos, low, lpos = _lowest(key, doc, pos)
-                met = doc != low
-                spread = words.mix(np.arange(len(key), dtype=np.uint64) + words.BASE).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(met, spread, key)), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(low, mask=~met), pa.array((pos - lpos).astype(np.int32))],
-                    ["key", "doc", "pos", "kept", "shift"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(sketch)], ["key", "doc", "pos", "sketch"])
 
     return run
 
 
-def _lowest(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The rows sorted by key, and for each the smallest text of its key and the first position there."""
-    order = np.lexsort((pos, doc, key))
-    key, doc, pos = key[order], doc[order], pos[order]
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    n = np.diff(np.r_[at, len(key)])
-    return key, doc, pos, np.repeat(doc[at], n), np.repeat(pos[at], n)
+def least_equal(threshold: float, recall: float, bands: int, rows: int) -> int:
+    """The most of SKETCH equal MinHashes that may be asked for so that bands and sketch together keep the recall."""
+    need = (1 - (1 - recall) ** (1 / bands)) / threshold**rows
+    p = threshold + (1 - threshold) / 16
+    tail = 0.0
+    for least in range(SKETCH, 0, -1):
+        tail += math.comb(SKETCH, least) * p**least * (1 - p) ** (SKETCH - least)
+        if tail >= need:
+            return least
+    return 0
 
 
-def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by key: each row's text with the smallest text of the same key, and what met before."""
+def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal MinHashes of every sketch in ``a`` with every one in ``b``."""
+    x = (a[:, None] ^ b[None]).view(np.uint64)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return SKETCH - np.bitwise_count(x & np.uint64(0x1111111111111111)).astype(np.int8)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work`` on runs of whole keys, from rows sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        key = np.asarray(batch.column(0))
+        if held and key[-1] == np.asarray(held[0].column(0))[0]:
+            held.append(batch)
+            continue
+        last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+        held.append(batch.slice(0, last))
+        yield from work([np.concatenate([np.asarray(b.column(i)) for b in held]) for i in range(batch.num_columns)])
+        held = [batch.slice(last)]
+    if held:
+        yield from work([np.concatenate([np.asarray(b.column(i)) for b in held]) for i in range(held[0].num_columns)])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _meet(least: int):
+    """The rows whose paragraph another text may hold; ``exact`` where another text's sketch is equal.
+
+    Where one text has a key and sketch at following positions (a run of equal
+    words), the rows between the first and the last are ``inner``.
+    """
+
+    def work(columns) -> Iterator[pa.RecordBatch]:
+        key, doc, pos, sketch = columns
+        order = np.lexsort((pos, doc, sketch, key))
+        key, doc, pos, sketch = (c[order] for c in (key, doc, pos, sketch))
+        groups = np.r_[np.flatnonzero(_starts(key)), len(key)]
+        cls = np.flatnonzero(_starts(key, sketch))
+        n = np.diff(np.r_[cls, len(key)])
+        ends = np.r_[cls[1:], len(key)] - 1
+        many = doc[cls] != doc[ends]
+        near = many.copy()
+        lo = np.searchsorted(cls, groups)
+        for a, b in zip(lo[np.flatnonzero(np.diff(lo) > 1)].tolist(), lo[np.flatnonzero(np.diff(lo) > 1) + 1].tolist()):
+            own = sketch[cls[a:b]]
+            for at in range(a, b, BLOCK):
+                hits = (_equal(own[at - a : at - a + BLOCK], own) >= least).sum(1)
+                near[at : at + len(hits)] |= hits > 1
+        follows = ~_starts(key, sketch, doc) & np.r_[False, pos[1:] == pos[:-1] + 1]
+        inner = follows & np.r_[follows[1:], False]
+        keep = np.repeat(near, n)
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, doc, pos, sketch, np.repeat(many, n), inner)], ["key", "doc", "pos", "sketch", "exact", "inner"])
+
+    @words.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_key(batches, work)
 
-    def pairs(doc, kept, shift, pos) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(kept), pa.array(shift), pa.array(pos)], ["doc", "kept", "shift", "pos"])
+    return run
+
+
+def _pairs(doc, kept, shift, pos) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(kept), pa.array(shift.astype(np.int32)), pa.array(pos.astype(np.int32))], ["doc", "kept", "shift", "pos"])
+
+
+def _candidates(least: int, first: int, last: int):
+    """For each open row its smaller texts of the same key from the ``first`` to before the ``last``, most equal sketch first, then smallest id."""
+
+    def work(columns) -> Iterator[pa.RecordBatch]:
+        key, doc, pos, sketch, open_ = columns
+        order = np.lexsort((pos, doc, key))
+        key, doc, pos, sketch, open_ = (c[order] for c in (key, doc, pos, sketch, open_.astype(bool)))
+        groups = np.r_[np.flatnonzero(_starts(key)), len(key)]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for a, b in zip(groups[:-1].tolist(), groups[1:].tolist()):
+            asks = a + np.flatnonzero(open_[a:b] & (doc[a:b] > doc[a]))
+            for at in range(0, len(asks), BLOCK):
+                some = asks[at : at + BLOCK]
+                stop = int(np.searchsorted(doc[a:b], doc[some[-1]]))  # only smaller ids
+                equal = _equal(sketch[some], sketch[a : a + stop])
+                equal[doc[a : a + stop][None] >= doc[some][:, None]] = -1
+                if last == 1:
+                    best = equal.argmax(1)
+                    good = equal[np.arange(len(some)), best] >= least
+                    out.append((some[good], a + best[good]))
+                else:
+                    for row, mine in zip(equal, some.tolist()):
+                        hits = np.flatnonzero(row >= least)
+                        hits = hits[np.argsort(-row[hits], kind="stable")][first:last]
+                        out.append((np.full(len(hits), mine), a + hits))
+                size += len(out[-1][0])
+                if size > HELD:
+                    x, y = (np.concatenate(c) for c in zip(*out))
+                    yield _pairs(doc[x], doc[y], pos[x] - pos[y], pos[x])
+                    out, size = [], 0
+        if size:
+            x, y = (np.concatenate(c) for c in zip(*out))
+            yield _pairs(doc[x], doc[y], pos[x] - pos[y], pos[x])
+
+    @words.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_key(batches, work)
+
+    return run
+
+
+def _passages(min_words: int):
+    """Hash and position of every run of ``min_words`` words around the positions ``at``."""
+
+    @words.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in words.slices(batch):
+                flat, lens = words.hashed(texts)
+                ends = np.cumsum(lens)
+                mark = np.zeros(len(flat) + 1, np.int64)
+                for end, n, at in zip(ends.tolist(), lens.tolist(), part.column(2).to_pylist()):
+                    at = np.array(at, np.int64)
+                    at = at[at < n]  # an id that repeats has its positions in one of its texts only
+                    np.add.at(mark, end - n + np.maximum(at + SHINGLE - min_words, 0), 1)
+                    np.add.at(mark, end - n + np.minimum(at + 1, n), -1)
+                h, doc, pos = words.windows(flat, lens, min_words)
+                near = (np.cumsum(mark)[:-1] > 0)[(ends - lens)[doc] + pos]
+                yield pa.RecordBatch.from_arrays([words.int64(h[near]), pa.array(np.asarray(part.column(0))[doc[near]]), pa.array(pos[near].astype(np.int32))], ["key", "doc", "pos"])
+
+    return run
 
-    def work(key, doc, pos) -> Iterator[pa.RecordBatch]:
-        key, doc, pos, low, lpos = _lowest(key, doc, pos)
+
+def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by the hash of a passage: each with the smallest text that has it."""
+
+    def work(columns) -> Iterator[pa.RecordBatch]:
+        key, doc, pos = columns
+        order = np.lexsort((pos, doc, key))
+        key, doc, pos = key[order], doc[order], pos[order]
+        at = np.flatnonzero(_starts(key))
+        n = np.diff(np.r_[at, len(key)])
+        low, lpos = np.repeat(doc[at], n), np.repeat(pos[at], n)
         k = doc != low
         if k.any():
-            yield pairs(doc[k], low[k], pos[k] - lpos[k], pos[k])
+            yield _pairs(doc[k], low[k], pos[k] - lpos[k], pos[k])
 
-    key, doc, pos = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
-    for batch in batches:
-        kept = batch.column(3)
-        met = np.asarray(kept.is_valid())
-        columns = [np.asarray(batch.column(i)) for i in (0, 1, 2, 4)]
-        if met.any():
-            yield pairs(columns[1][met], np.asarray(kept.fill_null(0))[met], columns[3][met], columns[2][met])
-        key, doc, pos = (np.concatenate([a, c[~met]]) for a, c in zip((key, doc, pos), columns))
-        if not len(key):
-            continue
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
-            yield from work(key[:last], doc[:last], pos[:last])
-            key, doc, pos = key[last:], doc[last:], pos[last:]
-        if len(key) > HELD:
-            yield from work(key, doc, pos)
-            low = np.lexsort((pos, doc))[:1]
-            key, doc, pos = key[low], doc[low], pos[low]
-    if len(key):
-        yield from work(key, doc, pos)
+    yield from _by_key(batches, work)
 
 
 @words.frugal
@@ -225,13 +362,41 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0
     tables = Scratch(docs.sparkSession, "substring")
     texts = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text").where("id is not null")
     bands, rows = tune(threshold, recall)
-    keys = texts.mapInArrow(_bands(min_words, bands, rows), "key long, doc long, pos int, kept long, shift int")
-    met = keys.repartition("key").sortWithinPartitions("key").mapInArrow(_collide, "doc long, kept long, shift int, pos int")
-    margin = GAP + WINDOW
+    least = least_equal(threshold, recall, bands, rows)
+    keys = texts.mapInArrow(_bands(min_words, bands, rows), "key long, doc long, pos int, sketch long")
+    schema = "key long, doc long, pos int, sketch long, exact boolean, inner boolean"
+    members = tables.save(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(least), schema))
+
+    # Exact passages: whole runs of min_words words meet, so whatever meets is true.
+    at = members.where("exact").groupBy(F.col("doc").alias("id")).agg(F.collect_set("pos").alias("at"))
+    runs = texts.join(sized(tables.save(at), WANTED), "id").select("id", "text", "at").mapInArrow(_passages(min_words), "key long, doc long, pos int")
+    pair = "doc long, kept long, shift int, pos int"
+    found = _verified(tables, texts, runs.repartition("key").sortWithinPartitions("key").mapInArrow(_collide, pair), min_words, threshold, min_words)
+
+    # The rest: what no passage holds yet is compared with ever more smaller texts, until it's verified or none is left.
+    first, last = 0, 1
+    while True:
+        spans = tables.save(found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("spans")))
+        inside = F.coalesce(F.expr(f"exists(spans, x -> pos >= x.s and pos + {SHINGLE} <= x.e)"), F.lit(False))
+        flagged = members.where("not inner").join(sized(spans, WANTED), "doc", "left").select("key", "doc", "pos", "sketch", (~inside).alias("open"))
+        met = tables.save(flagged.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(least, first, last), pair))
+        tables.drop(spans)
+        if not met.limit(1).count():
+            break
+        more = _verified(tables, texts, met, min_words, threshold, SHINGLE)
+        both = tables.save(found.unionByName(more).distinct())
+        tables.drop(met, found, more)
+        found, first, last = both, last, last * MORE
+    tables.drop(members, met)
+    return _clustered(found, tables)
+
+
+def _verified(tables: Scratch, texts: DataFrame, met: DataFrame, min_words: int, threshold: float, width: int) -> DataFrame:
+    """The passages around pairs of positions from which ``width`` words met."""
+    margin = max(GAP + WINDOW, min_words)
     chains = tables.save(
         met.groupBy("doc", "kept", "shift")
-        .agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-        .where("n >= 2")
+        .agg(F.min("pos").alias("first"), (F.max("pos") + width).alias("last"))
         .withColumns(
             {
                 "lo": _down(F.col("first") - margin),
@@ -240,7 +405,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0
                 "khi": _down(F.col("last") - F.col("shift") + margin + STEP - 1),
             }
         )
-        .drop("n", "first", "last"),
+        .drop("first", "last"),
         4 * BATCH,
     )
     wanted = chains.select("doc", "lo", "hi").unionByName(chains.select(F.col("kept").alias("doc"), F.col("klo").alias("lo"), F.col("khi").alias("hi"))).distinct()
@@ -254,7 +419,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0
     schema = "doc_id long, start_word long, end_word long, kept_doc_id long, kept_start_word long"
     found = tables.save(both.mapInArrow(_verify(threshold, min_words), schema).distinct(), BATCH)
     tables.drop(cut, chains)
-    return _clustered(found, tables)
+    return found
 
 
 def _down(x):

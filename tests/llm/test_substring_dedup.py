@@ -75,6 +75,40 @@ def test_substituted_words_and_clusters(spark):
     assert {r["end_word"] - r["start_word"] for r in found if r["doc_id"] == 2} == {100}
 
 
+def test_smaller_texts_that_hold_less_hide_no_pair(spark):
+    rng = random.Random(21)
+    base = prose(rng, 54)
+    near = list(base)
+    near[6] = "other"
+    rows = [(n, " ".join(prose(rng, 20) + base[at : at + 44] + prose(rng, 20))) for n, at in enumerate((0, 4, 10))]
+    rows += [(10 + n, " ".join(prose(rng, 30) + base[n : n + 6] + prose(rng, 30))) for n in range(0, 49)]
+    rows += [(100, " ".join(prose(rng, 10) + base)), (101, " ".join(base + prose(rng, 10))), (102, " ".join(prose(rng, 40) + near))]
+    found = repeated_passages(docs(spark, rows).coalesce(1), min_words=50).collect()
+    assert {r["doc_id"] for r in found} == {101, 102} and {r["kept_doc_id"] for r in found} <= {100, 101}
+    got = {i: set().union(*(range(r["start_word"], r["end_word"]) for r in found if r["doc_id"] == i)) for i in (101, 102)}
+    assert set(range(54)) <= got[101] and set(range(40, 94)) <= got[102]
+
+
+def test_second_occurrences_and_runs_of_equal_words(spark):
+    rng = random.Random(22)
+    line, passage = prose(rng, 30), prose(rng, 30)
+    rows = [
+        (1, " ".join(line + prose(rng, 40) + line + passage)),  # the line comes twice, the passage only after the second
+        (2, " ".join(prose(rng, 33) + line + passage)),
+        (10, " ".join(prose(rng, 9) + ["run"] * 45 + prose(rng, 9))),
+        (11, " ".join(prose(rng, 9) + ["run"] * 119 + prose(rng, 9))),
+        (12, " ".join(prose(rng, 71) + ["run"] * 119 + prose(rng, 20))),
+        (13, " ".join(prose(rng, 50) + ["run"] * 200)),
+    ]
+    got = {}
+    for r in repeated_passages(docs(spark, rows), min_words=50).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    want = brute(rows, 50)
+    assert got.keys() == want.keys() == {2, 12, 13}
+    for i in want:
+        assert want[i] <= got[i] and len(got[i] - want[i]) <= 2
+
+
 def test_empty_and_hot(spark):
     assert repeated_passages(docs(spark, [])).collect() == []
     text = " ".join(f"w{n}" for n in range(80))
