@@ -27,7 +27,7 @@ from .components import connected_components
 from .scratch import Scratch
 from .sizes import sized
 
-#: Members of a signature's group up to which all its pairs are emitted; above, links to one member, then the exact rest.
+#: Members of a signature's group up to which all its pairs are emitted; above, pairs with one member, then the exact rest.
 SMALL = 6
 #: Rows that are handed to Python at once.
 BATCH = 4_000
@@ -285,7 +285,7 @@ def _may_link(num: int, den: int):
 
 def _rest(num: int, den: int):
     def run(key, frame):
-        """Links between sets of different components in one pair of blocks."""
+        """The number of links of each set in one pair of blocks, and a link for each pair of components that some connect."""
         import pandas as pd
 
         grams = [np.asarray(g) for g in frame["grams"]]
@@ -302,13 +302,16 @@ def _rest(num: int, den: int):
             at = (column >= start) & (column < start + 4096)
             m[row[at], column[at] - start] = 1
             both += m @ m.T
-        comp = frame["component"].to_numpy()
-        link = (both * den >= (n[:, None] + n[None] - both) * num) & (comp[:, None] != comp[None])
-        i, j = np.nonzero(np.triu(link))
-        ids = frame["id"].to_numpy()
-        # one link for each pair of components in this pair of blocks is enough
-        out = pd.DataFrame({"a": ids[i], "b": ids[j], "x": np.minimum(comp[i], comp[j]), "y": np.maximum(comp[i], comp[j])})
-        return out.drop_duplicates(["x", "y"])[["a", "b"]]
+        link = both * den >= (n[:, None] + n[None] - both) * num
+        if frame["i"].iat[0] != frame["j"].iat[0]:  # pairs within a block come once, from the block by itself
+            blk = frame["blk"].to_numpy()
+            link &= blk[:, None] != blk[None]
+        np.fill_diagonal(link, False)
+        ids, comp = frame["id"].to_numpy(), frame["component"].to_numpy()
+        counts = pd.DataFrame({"a": ids, "b": ids, "n": link.sum(1, dtype=np.int64)})
+        i, j = np.nonzero(np.triu(link & (comp[:, None] != comp[None])))
+        out = pd.DataFrame({"a": ids[i], "b": ids[j], "n": 0, "x": np.minimum(comp[i], comp[j]), "y": np.maximum(comp[i], comp[j])})
+        return pd.concat([counts[counts["n"] > 0], out.drop_duplicates(["x", "y"])[["a", "b", "n"]]])
 
     return run
 
@@ -322,9 +325,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     den * intersection >= num * union; ``component`` is the smallest id that
     links reach.  Null and empty texts have size 0 and link with nothing; a
     null id has a null component; rows that repeat an id are one text each but
-    stand for the same id.  ``n_links`` counts the verified links of the row's
-    set to other sets: all of them in small groups, those that connect in large
-    ones.  Other columns are ignored.
+    stand for the same id.  ``n_links`` counts all verified links of the row's
+    set to other sets; equal texts are one set.  Other columns are ignored.
     """
     spark = docs.sparkSession
     tables = Scratch(spark, "ngram-join")
@@ -354,23 +356,27 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 8, den: int = 10,
     links = tables.save(possible.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(similar(num, den)).select("a", "b"))
     near = connected_components(links, "a", "b")
 
-    # The exact rest: large groups in which several components meet.
+    # The exact rest: all pairs of large groups' members within a component, or within several that meet.
     labelled = large.join(near, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("component"))
     mixed = labelled.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / RUN).alias("n")).where("low < high")
     meet = tables.save(labelled.join(mixed.select("sig", F.col("n").alias("blocks")), "sig"))
     rows = _block_pairs(meet, "blocks").join(small, "id").select("sig", "i", "j", "component", "n", "sketch")
     may = rows.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_may_link(num, den), "a long, b long")
     may = tables.save(may.distinct(), BATCH)
-    if may.limit(1).count():
-        group = connected_components(may, "a", "b").select(F.col("id").alias("component"), F.col("component").alias("sig"))
-        members = meet.select("id", "component").distinct().join(group, "component")
-        count = members.groupBy("sig").agg(F.ceil(F.count("*") / (BLOCK // 2)).alias("blocks"))
-        blocks = _block_pairs(members.join(count, "sig"), "blocks")
-        more = blocks.join(sets.drop("sketch"), "id").groupBy("sig", "i", "j").applyInPandas(_rest(num, den), "a long, b long")
-        links = tables.save(links.unionByName(more).distinct())
-        near = connected_components(links, "a", "b")
+    group = connected_components(may, "a", "b").select(F.col("id").alias("component"), F.col("component").alias("group"))
+    members = labelled.select("id", "component").distinct().join(group, "component", "left").select("id", "component", F.coalesce("group", "component").alias("sig"))
+    members = tables.save(members)
+    count = members.groupBy("sig").agg(F.count("*").alias("n"), F.ceil(F.count("*") / (BLOCK // 2)).alias("blocks")).where("n > 1").drop("n")
+    blocks = _block_pairs(members.join(count, "sig"), "blocks")
+    more = blocks.join(sets.drop("sketch"), "id").groupBy("sig", "i", "j").applyInPandas(_rest(num, den), "a long, b long, n long")
+    more = tables.save(more)
+    near = connected_components(links.unionByName(more.where("n = 0").select("a", "b")), "a", "b")
+    # links between two members of a group are counted there
+    left, right = (members.select(F.col("id").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
+    links = links.join(left, "a", "left").join(right, "b", "left").where("sa is null or sb is null or sa <> sb").select("a", "b")
     tables.drop(sets, pairs, possible, meet, may)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id"), F.lit(1).cast("long").alias("n")).unionByName(more.where("n > 0").select(F.col("a").alias("id"), "n"))
+    degree = degree.groupBy("id").agg(F.sum("n").alias("n_links"))
     group = near.join(degree, "id", "left").select(F.col("id").alias("__rep"), "component", "n_links")
     return (
         stand(sizes.select("id", "n_shingles", F.col("id").alias("__rep")), "__rep")
@@ -383,4 +389,4 @@ def _block_pairs(members: DataFrame, blocks: str) -> DataFrame:
     """Rows with ``id`` and ``sig`` dealt into as many blocks as the column says, and every pair of blocks ``i, j`` once, so that a task holds two blocks at most."""
     rows = members.withColumn("blk", F.pmod(F.xxhash64("id"), blocks))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
-    return rows.withColumn("o", other).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).drop("blk", "o", blocks)
+    return rows.withColumn("o", other).withColumns({"i": F.least("blk", "o"), "j": F.greatest("blk", "o")}).drop("o", blocks)

@@ -63,6 +63,30 @@ def test_same_groups_as_brute_force(spark):
         assert {r["id"]: (r["n_shingles"], r["component"]) for r in got if r["id"] is not None} == brute(rows, k, num, den)
 
 
+def brute_links(rows, k, num, den):
+    """For each id the number of other distinct sets that its set links with."""
+    own = {i: frozenset(shingle_set(t, k)) for i, t in rows if i is not None}
+    sets = set(own.values())
+    near = {s: sum(s != o and den * len(s & o) >= num * len(s | o) for o in sets) if s else 0 for s in sets}
+    return {i: near[s] for i, s in own.items()}
+
+
+def test_links_in_large_groups_are_all_counted(spark):
+    base = [f"b{n}" for n in range(150)]
+
+    def edit(*at):
+        return " ".join(f"e{n}" if n in at else w for n, w in enumerate(base))
+
+    rows = [(n, edit()) for n in range(9)] + [(20, edit(0)), (21, edit(149)), (22, edit(0, 149))]  # copies beside different near texts
+    rows += [(100 + n, edit(n, 149 - n % 3)) for n in range(0, 140, 2)]
+    for k, num, den in ((3, 90, 100), (5, 8, 10)):
+        got = jaccard_components(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA), k, num, den).collect()
+        assert {r["id"]: r["n_links"] for r in got} == brute_links(rows, k, num, den)
+    rows = corpus()
+    got = jaccard_components(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA), 5, 8, 10).collect()
+    assert {r["id"]: r["n_links"] for r in got if r["id"] is not None} == brute_links(rows, 5, 8, 10)
+
+
 def test_empty_table_and_repeated_rows(spark):
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(7, "a b c d e f g", "x")] * 3 + [(9, "A b c d e f g", "y")]
