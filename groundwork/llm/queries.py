@@ -74,7 +74,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that a smaller doc_id has too: ``doc_id, start_word, end_word, kept_doc_id, kept_start_word, cluster_id``."""
+    """Passages of 50 words or more that a smaller doc_id has too: ``doc_id, start_word, end_word, kept_doc_id, kept_start_word, cluster_id, text_hash``."""
     from .substring_dedup import repeated_passages
 
     return repeated_passages(_table(spark, sf_dir, "documents"))

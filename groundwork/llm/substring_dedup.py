@@ -1,14 +1,18 @@
 """Substring dedup: paragraph MinHash banding, verification, and clusters of removals by components.
 
-A paragraph is a window of WINDOW words that starts at an anchor chosen from
-the words themselves (the least shingle hash among GAP neighbours), so every
+A paragraph is a window of words that starts at an anchor chosen from the
+words themselves (the least shingle hash among its neighbours), so every
 passage of ``min_words`` words contains a whole paragraph wherever it stands
 and however a text is broken into lines.  MinHash bands of a paragraph's
-shingles are joined.  Where paragraphs of equal sketches meet, all runs of
-``min_words`` words around them are joined by their hashes, which finds every
-exact passage.  Other paragraphs of a key are compared where their sketches
-allow it, in rounds, until one is verified or none is left.  What meets is
-verified word by word and extended to the whole repeated passage.
+shingles are joined; where paragraphs collide, all runs of ``min_words`` words
+around them, as they are and with any one word left out, are joined by their
+hashes.  A run is compared with the smallest text that has it, so the work
+grows with the text and not with the square of a group.  What meets is
+verified word by word by the exact Jaccard similarity of aligned runs.
+
+Texts are read once: words become 32-bit numbers in a table of their own.
+Places are ``text << PLACE | word << 1 | open``, texts are numbered in the order
+of their ids; a place is open until a passage holds it.
 """
 
 from __future__ import annotations
@@ -27,22 +31,12 @@ from .scratch import Scratch
 from .sizes import sized
 
 SHINGLE = 5
-WINDOW = 28
-GAP = 22
-#: MinHashes in a paragraph's sketch, four bits each.
-SKETCH = 16
-#: Sketches compared with a group at once.
-BLOCK = 256
-#: Pairs handed on at once.
-HELD = 1 << 16
-#: Each round compares so many times more smaller texts with what is still open.
-MORE = 16
-#: Texts with passages whose places are broadcast, at most; for more, the texts are dealt by id.
+#: Bits of a place that number the words of a text, and one more.
+PLACE = 27
+#: Texts whose places are broadcast, at most; for more, the texts are dealt by number.
 WANTED = 200_000
 #: Rows with texts or word lists that are handed to Python at once.
 BATCH = 500
-#: Slices of a text begin and end at multiples of this many words.
-STEP = 64
 
 
 def tune(threshold: float, recall: float) -> tuple[int, int]:
@@ -52,6 +46,25 @@ def tune(threshold: float, recall: float) -> tuple[int, int]:
     return bands, -rows
 
 
+class Lengths:
+    """What follows from ``min_words``: paragraphs, and the runs that a passage with one substituted word must hold exactly."""
+
+    def __init__(self, min_words: int, threshold: float):
+        self.run = min_words
+        shingles = max(1, min_words - SHINGLE + 1)
+        #: Equal shingles of a run that reaches the threshold.
+        self.need = math.ceil(2 * threshold / (1 + threshold) * shingles - 1e-9)
+        #: A passage of min_words words holds a paragraph: gap and paragraph add up to it.
+        self.gap = max(1, min_words * 22 // 50)
+        self.paragraph = max(SHINGLE, min_words - self.gap)
+        #: Of a run with one word substituted, the longer part has half the rest; it holds one of ``near`` neighbouring seeds.
+        self.half = min_words // 2
+        self.seed = max(SHINGLE, self.half - SHINGLE)
+        self.near = max(1, self.half - self.seed + 1)
+        #: Whether one substituted word leaves a run above the threshold.
+        self.loose = shingles - self.need >= SHINGLE and min_words >= 4 * SHINGLE
+
+
 def _smallest(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Position of the smallest of ``n`` values from each position in ``at``; the first of equals."""
     out = np.empty(len(at), np.int64)
@@ -61,377 +74,440 @@ def _smallest(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _paragraphs(texts: list[bytes], min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes with their text numbers and positions, and the first shingle of each paragraph."""
-    flat, lens = words.hashed(texts)
-    h, doc, pos = words.windows(flat, lens, SHINGLE)
-    if len(h) < GAP:
-        return h, doc, pos, np.empty(0, np.int64)
-    inside = np.flatnonzero((doc[: len(h) - GAP + 1] == doc[GAP - 1 :]) & (lens[doc[: len(h) - GAP + 1]] >= min_words))
-    anchors = np.unique(_smallest(words.mix(h + words.BASE), inside, GAP))
-    n = WINDOW - SHINGLE + 1
-    anchors = anchors[anchors + n <= len(h)]
-    return h, doc, pos, anchors[doc[anchors] == doc[anchors + n - 1]]
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words as 32-bit numbers, and two hashes of them all."""
+    for batch in batches:
+        for part, texts in words.slices(batch):
+            flat, lens = words.hashed(texts)
+            flat = flat.astype(np.uint32)
+            ends = 4 * np.cumsum(lens)
+            data = flat.tobytes()
+            own = [data[b - 4 * n : b] for b, n in zip(ends.tolist(), lens.tolist())]
+            keys = [words.digest(x) for x in own]
+            get = lambda c: part.column(part.schema.get_field_index(c))
+            yield pa.RecordBatch.from_arrays([get("row"), get("id"), get("h"), pa.array(keys, pa.binary()), pa.array(lens), pa.array(own, pa.binary())], ["row", "id", "h", "key", "n", "w"])
 
 
-def _sketches(h: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """SKETCH further MinHashes of each paragraph, four bits each; equal paragraphs have equal sketches."""
-    out = np.zeros(len(anchors), np.uint64)
-    odd = words.mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * words.BASE) | np.uint64(1)
-    for at in range(0, len(anchors), 1 << 13):
-        some = h[anchors[at : at + (1 << 13), None] + np.arange(WINDOW - SHINGLE + 1)]
-        for i in range(SKETCH):
-            out[at : at + len(some)] |= (words.mix((some * odd[i]).min(1)) & np.uint64(15)) << np.uint64(4 * i)
-    return out
+def _flat(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text numbers, all words one text after the other, and the number of words of each text, from columns ``doc`` and ``w``."""
+    w = part.column(part.schema.get_field_index("w"))
+    offsets = np.frombuffer(w.buffers()[1], np.int32)[w.offset : w.offset + len(w) + 1].astype(np.int64)
+    data = np.frombuffer(w.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(w) and w.buffers()[2] else np.empty(0, np.uint8)
+    return np.asarray(part.column(part.schema.get_field_index("doc"))), words.mix(np.frombuffer(data.tobytes(), "<u4").astype(np.uint64) + np.uint64(1)), np.diff(offsets) // 4
+
 
+def _parts(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about ``limit`` bytes of column ``w``."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(batch.schema.get_field_index("w")))), dtype=np.int64)
+        start = 0
+        while start < len(batch):
+            base = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, base + limit, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _places(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, open_=1) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([words.int64(key), pa.array(doc << PLACE | pos << 1 | open_)], ["key", "at"])
 
-def band_keys(texts: list[bytes], min_words: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Band key, text number, word position and sketch for the paragraphs of all texts, each combination once."""
-    h, doc, pos, anchors = _paragraphs(texts, min_words)
-    if not len(anchors):
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    n = WINDOW - SHINGLE + 1
-    sketch = _sketches(h, anchors).view(np.int64)
-    keys, docs, places, sketches = [], [], [], []
+
+def band_keys(flat: np.ndarray, lens: np.ndarray, size: Lengths, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band key, text number and word position for the paragraphs of all texts, each combination once."""
+    h, doc, pos = words.windows(flat, lens, SHINGLE)
+    n = size.paragraph - SHINGLE + 1
+    inside = np.flatnonzero((doc[: max(0, len(h) - size.gap + 1)] == doc[size.gap - 1 :]) & (lens[doc[: max(0, len(h) - size.gap + 1)]] >= size.run))
+    anchors = np.unique(_smallest(words.mix(h + words.BASE), inside, size.gap))
+    anchors = anchors[anchors + n <= len(h)]
+    anchors = anchors[doc[anchors] == doc[anchors + n - 1]]
+    keys, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for band in range(bands):
         key, first = np.full(len(anchors), band, np.uint64), None
         for row in range(rows):
             own = words.mix(h ^ words.mix(np.array([band * rows + row + 1], np.uint64)))
-            at = _smallest(own, anchors, n)
-            key = words.mix(key + own[at])
-            first = at if first is None else first
-        key = key.view(np.int64)
-        order = np.lexsort((sketch, key, first))
-        k, f, s = key[order], first[order], sketch[order]
-        new = np.r_[True, (k[1:] != k[:-1]) | (f[1:] != f[:-1]) | (s[1:] != s[:-1])]
+            least = _smallest(own, anchors, n)
+            key = words.mix(key + own[least])
+            first = least if first is None else first
+        order = np.lexsort((key, first))
+        k, f = key[order], first[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])][: len(k)]
         keys.append(k[new])
-        docs.append(doc[f[new]])
-        places.append(pos[f[new]])
-        sketches.append(s[new])
-    return tuple(np.concatenate(x) for x in (keys, docs, places, sketches))
+        at.append(f[new])
+    at = np.concatenate(at)
+    return np.concatenate(keys), doc[at], pos[at]
 
 
-def _bands(min_words: int, bands: int, rows: int):
+def _bands(size: Lengths, bands: int, rows: int):
     @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in words.slices(batch):
-                key, doc, pos, sketch = band_keys(texts, min_words, bands, rows)
-                doc = np.asarray(part.column(0))[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(pos.astype(np.int32)), pa.array(sketch)], ["key", "doc", "pos", "sketch"])
+        for part in _parts(batches):
+            ids, flat, lens = _flat(part)
+            key, doc, pos = band_keys(flat, lens, size, bands, rows)
+            yield _places(key, ids[doc], pos)
 
     return run
 
 
-def least_equal(threshold: float, recall: float, bands: int, rows: int) -> int:
-    """The most of SKETCH equal MinHashes that may be asked for so that bands and sketch together keep the recall."""
-    need = (1 - (1 - recall) ** (1 / bands)) / threshold**rows
-    p = threshold + (1 - threshold) / 16
-    tail = 0.0
-    for least in range(SKETCH, 0, -1):
-        tail += math.comb(SKETCH, least) * p**least * (1 - p) ** (SKETCH - least)
-        if tail >= need:
-            return least
-    return 0
-
+def _listed(part: pa.RecordBatch, lens: np.ndarray, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and word of each place in the column, and whether it's open."""
+    lists = part.column(part.schema.get_field_index(column))
+    at = lists.flatten().to_numpy(zero_copy_only=False) & ((1 << PLACE) - 1)
+    return np.repeat(np.arange(len(lens)), np.asarray(lists.value_lengths().fill_null(0))), at >> 1, at & 1
 
-def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal MinHashes of every sketch in ``a`` with every one in ``b``."""
-    x = (a[:, None] ^ b[None]).view(np.uint64)
-    x |= x >> np.uint64(2)
-    x |= x >> np.uint64(1)
-    return SKETCH - np.bitwise_count(x & np.uint64(0x1111111111111111)).astype(np.int8)
 
+def _around(part: pa.RecordBatch, lens: np.ndarray, column: str, before: int, after: int) -> np.ndarray:
+    """Whether a word of all texts lies from ``before`` places before to ``after`` places after one in the column."""
+    row, at, _ = _listed(part, lens, column)
+    start = np.cumsum(lens) - lens
+    mark = np.zeros(int(lens.sum()) + 1, np.int64)
+    np.add.at(mark, start[row] + np.maximum(at - before, 0), 1)
+    np.add.at(mark, start[row] + np.minimum(at + after + 1, lens[row]), -1)
+    return np.cumsum(mark)[:-1] > 0
 
-def _by_key(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
-    """``work`` on runs of whole keys, from rows sorted by their first column."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        key = np.asarray(batch.column(0))
-        if held and key[-1] == np.asarray(held[0].column(0))[0]:
-            held.append(batch)
-            continue
-        last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
-        held.append(batch.slice(0, last))
-        yield from work([np.concatenate([np.asarray(b.column(i)) for b in held]) for i in range(batch.num_columns)])
-        held = [batch.slice(last)]
-    if held:
-        yield from work([np.concatenate([np.asarray(b.column(i)) for b in held]) for i in range(held[0].num_columns)])
-
-
-def _starts(*columns: np.ndarray) -> np.ndarray:
-    """Where a row differs from the one before."""
-    new = np.ones(len(columns[0]), bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return new
-
-
-def _meet(least: int):
-    """The rows whose paragraph another text may hold; ``exact`` where another text's sketch is equal.
-
-    Where one text has a key and sketch at following positions (a run of equal
-    words), the rows between the first and the last are ``inner``.
-    """
 
-    def work(columns) -> Iterator[pa.RecordBatch]:
-        key, doc, pos, sketch = columns
-        order = np.lexsort((pos, doc, sketch, key))
-        key, doc, pos, sketch = (c[order] for c in (key, doc, pos, sketch))
-        groups = np.r_[np.flatnonzero(_starts(key)), len(key)]
-        cls = np.flatnonzero(_starts(key, sketch))
-        n = np.diff(np.r_[cls, len(key)])
-        ends = np.r_[cls[1:], len(key)] - 1
-        many = doc[cls] != doc[ends]
-        near = many.copy()
-        lo = np.searchsorted(cls, groups)
-        for a, b in zip(lo[np.flatnonzero(np.diff(lo) > 1)].tolist(), lo[np.flatnonzero(np.diff(lo) > 1) + 1].tolist()):
-            own = sketch[cls[a:b]]
-            for at in range(a, b, BLOCK):
-                hits = (_equal(own[at - a : at - a + BLOCK], own) >= least).sum(1)
-                near[at : at + len(hits)] |= hits > 1
-        follows = ~_starts(key, sketch, doc) & np.r_[False, pos[1:] == pos[:-1] + 1]
-        inner = follows & np.r_[follows[1:], False]
-        keep = np.repeat(near, n)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, doc, pos, sketch, np.repeat(many, n), inner)], ["key", "doc", "pos", "sketch", "exact", "inner"])
+def _seeds(size: Lengths):
+    """Selected runs of ``seed`` words near the places in ``near``: among ``size.near`` neighbours, the least hash."""
 
     @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_key(batches, work)
+        for part in _parts(batches):
+            ids, flat, lens = _flat(part)
+            h, doc, pos = words.windows(flat, lens, size.seed)
+            inside = np.flatnonzero(doc[: max(0, len(h) - size.near + 1)] == doc[size.near - 1 :])
+            near = _around(part, lens, "places", size.run - SHINGLE, size.run - size.seed)
+            start = np.cumsum(lens) - lens
+            inside = inside[near[start[doc[inside]] + pos[inside]] | near[start[doc[inside]] + pos[inside] + size.near - 1]]
+            at = np.unique(_smallest(h, inside, size.near))
+            yield _places(h[at], ids[doc[at]], pos[at])
 
     return run
 
 
-def _pairs(doc, kept, shift, pos) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(kept), pa.array(shift.astype(np.int32)), pa.array(pos.astype(np.int32))], ["doc", "kept", "shift", "pos"])
-
-
-def _candidates(least: int, first: int, last: int):
-    """For each open row its smaller texts of the same key from the ``first`` to before the ``last``, most equal sketch first, then smallest id."""
-
-    def work(columns) -> Iterator[pa.RecordBatch]:
-        key, doc, pos, sketch, open_ = columns
-        order = np.lexsort((pos, doc, key))
-        key, doc, pos, sketch, open_ = (c[order] for c in (key, doc, pos, sketch, open_.astype(bool)))
-        groups = np.r_[np.flatnonzero(_starts(key)), len(key)]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for a, b in zip(groups[:-1].tolist(), groups[1:].tolist()):
-            asks = a + np.flatnonzero(open_[a:b] & (doc[a:b] > doc[a]))
-            for at in range(0, len(asks), BLOCK):
-                some = asks[at : at + BLOCK]
-                stop = int(np.searchsorted(doc[a:b], doc[some[-1]]))  # only smaller ids
-                equal = _equal(sketch[some], sketch[a : a + stop])
-                equal[doc[a : a + stop][None] >= doc[some][:, None]] = -1
-                if last == 1:
-                    best = equal.argmax(1)
-                    good = equal[np.arange(len(some)), best] >= least
-                    out.append((some[good], a + best[good]))
-                else:
-                    for row, mine in zip(equal, some.tolist()):
-                        hits = np.flatnonzero(row >= least)
-                        hits = hits[np.argsort(-row[hits], kind="stable")][first:last]
-                        out.append((np.full(len(hits), mine), a + hits))
-                size += len(out[-1][0])
-                if size > HELD:
-                    x, y = (np.concatenate(c) for c in zip(*out))
-                    yield _pairs(doc[x], doc[y], pos[x] - pos[y], pos[x])
-                    out, size = [], 0
-        if size:
-            x, y = (np.concatenate(c) for c in zip(*out))
-            yield _pairs(doc[x], doc[y], pos[x] - pos[y], pos[x])
+class _Ranges:
+    """Hashes of ranges of words in constant time each, equal wherever the words stand."""
+
+    def __init__(self, flat: np.ndarray):
+        n = len(flat) + 1
+        inverse = np.uint64(pow(int(words.BASE), -1, 1 << 64))
+        power = lambda base: np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)], dtype=np.uint64)
+        self.total = np.r_[np.uint64(0), np.cumsum(flat * power(words.BASE)[:-1], dtype=np.uint64)]
+        self.back = power(inverse)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return words.mix((self.total[b] - self.total[a]) * self.back[a])
+
+    def without(self, a: np.ndarray, s: np.ndarray, t: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the words from ``a`` to ``b`` but for those from ``s`` to ``t``."""
+        return words.mix(self(a, s) * words.BASE + words.mix(self(t, b) + (s - a).astype(np.uint64)))
+
+
+def _runs(size: Lengths):
+    """All runs of ``run`` words that hold a seed in ``places``."""
 
     @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_key(batches, work)
+        for part in _parts(batches):
+            ids, flat, lens = _flat(part)
+            h, doc, pos = words.windows(flat, lens, size.run)
+            near = _around(part, lens, "places", size.run - size.seed, 0)
+            at = np.flatnonzero(near[(np.cumsum(lens) - lens)[doc] + pos])
+            yield _places(h[at], ids[doc[at]], pos[at])
 
     return run
 
 
-def _passages(min_words: int):
-    """Hash and position of every run of ``min_words`` words around the positions ``at``."""
+def _coarse(size: Lengths, step: int) -> list[tuple[int, int, int, int]]:
+    """Windows around a seed and a chunk of each to leave out (start, end, chunk's start and end): two runs that hold the seed and differ in one word agree in one of them."""
+    rest = size.run - size.seed
+    wide = size.run - step
+    out = []
+    for back in sorted({min(b, wide - size.seed) for b in range(0, rest + 1, step)}):
+        # a substituted word has a whole shingle on either side, so it's none of the window's ends
+        edge = max(0, SHINGLE - step)
+        spare = np.array([i for i in range(edge - back, wide - back - edge) if not 0 <= i < size.seed])
+        for part in np.array_split(spare, -(-len(spare) // SHINGLE)):
+            # a chunk that the seed parts in two is two chunks
+            for chunk in np.split(part, np.flatnonzero(np.diff(part) > 1) + 1):
+                out.append((-back, wide - back, int(chunk[0]), int(chunk[-1]) + 1))
+    return out
+
+
+def _first(part: pa.RecordBatch, lens: np.ndarray, size: Lengths):
+    """Whether the words from ``a`` to ``b`` (in all texts) lie in no run that a smaller text has: that text stands for them."""
+    row, at, _ = _listed(part, lens, "held")
+    mark = np.zeros(int(lens.sum()) + 1, np.int64)
+    mark[(np.cumsum(lens) - lens)[row] + at] = 1
+    total = np.r_[0, np.cumsum(mark)]
+    return lambda row, a, b: total[a + 1] == total[np.minimum(a, np.maximum((np.cumsum(lens) - lens)[row], b - size.run))]
+
+
+def _coarse_keys(size: Lengths, step: int):
+    windows = _coarse(size, step)
 
     @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in words.slices(batch):
-                flat, lens = words.hashed(texts)
-                ends = np.cumsum(lens)
-                mark = np.zeros(len(flat) + 1, np.int64)
-                for end, n, at in zip(ends.tolist(), lens.tolist(), part.column(2).to_pylist()):
-                    at = np.array(at, np.int64)
-                    at = at[at < n]  # an id that repeats has its positions in one of its texts only
-                    np.add.at(mark, end - n + np.maximum(at + SHINGLE - min_words, 0), 1)
-                    np.add.at(mark, end - n + np.minimum(at + 1, n), -1)
-                h, doc, pos = words.windows(flat, lens, min_words)
-                near = (np.cumsum(mark)[:-1] > 0)[(ends - lens)[doc] + pos]
-                yield pa.RecordBatch.from_arrays([words.int64(h[near]), pa.array(np.asarray(part.column(0))[doc[near]]), pa.array(pos[near].astype(np.int32))], ["key", "doc", "pos"])
+        for part in _parts(batches, 1 << 20):
+            ids, flat, lens = _flat(part)
+            row, at, open_ = _listed(part, lens, "places")
+            start, ranges, first = np.cumsum(lens) - lens, _Ranges(flat), _first(part, lens, size)
+            for number, (a, b, s, t) in enumerate(windows):
+                ok = np.flatnonzero((at + a >= 0) & (at + b <= lens[row]))
+                o = (start[row] + at)[ok]
+                new = first(row[ok], o + a, o + b)
+                ok, o = ok[new], o[new]
+                key = words.mix(ranges.without(o + a, o + s, o + t, o + b) + np.uint64(number))
+                yield pa.RecordBatch.from_arrays([*_places(key, ids[row[ok]], at[ok], open_[ok]).columns, pa.array(np.full(len(ok), number, np.int32))], ["key", "at", "number"])
 
     return run
 
 
-def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by the hash of a passage: each with the smallest text that has it."""
+def _loose_keys(size: Lengths, step: int):
+    """Every run around the windows numbered in ``numbers`` without one word of the window's chunk."""
+    windows = _coarse(size, step)
+    edge = size.run - SHINGLE
 
-    def work(columns) -> Iterator[pa.RecordBatch]:
-        key, doc, pos = columns
-        order = np.lexsort((pos, doc, key))
-        key, doc, pos = key[order], doc[order], pos[order]
-        at = np.flatnonzero(_starts(key))
-        n = np.diff(np.r_[at, len(key)])
-        low, lpos = np.repeat(doc[at], n), np.repeat(pos[at], n)
-        k = doc != low
-        if k.any():
-            yield _pairs(doc[k], low[k], pos[k] - lpos[k], pos[k])
+    @words.frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, 1 << 20):
+            ids, flat, lens = _flat(part)
+            rows, places, open_ = _listed(part, lens, "places")
+            numbers = part.column(part.schema.get_field_index("numbers")).flatten().to_numpy(zero_copy_only=False)
+            start, ranges, first = np.cumsum(lens) - lens, _Ranges(flat), _first(part, lens, size)
+            each = [np.empty(0, np.int64)]
+            for number in np.unique(numbers).tolist():
+                a, b, s, t = windows[number]
+                dx, ds = (x.ravel() for x in np.meshgrid(np.arange(b - size.run, a + 1), np.arange(s, t), indexing="ij"))
+                dx, ds = dx[(ds - dx >= SHINGLE) & (ds - dx < edge)], ds[(ds - dx >= SHINGLE) & (ds - dx < edge)]
+                own = np.flatnonzero(numbers == number)
+                row, at = np.repeat(rows[own], len(dx)), (places[own][:, None] + dx).ravel()
+                gap, flag = np.tile(ds - dx, len(own)), np.repeat(open_[own], len(dx))
+                ok = (at >= 0) & (at + size.run <= lens[row])
+                each.append(np.unique(((start[row[ok]] + at[ok]) * size.run + gap[ok]) * 2 + flag[ok]))
+            each = np.unique(np.concatenate(each))
+            for i in range(0, len(each), 1 << 17):
+                both, own = each[i : i + (1 << 17)] // 2, each[i : i + (1 << 17)] % 2
+                x, gap = both // size.run, both % size.run
+                row = np.searchsorted(start, x, "right") - 1
+                new = first(row, x, x + size.run)
+                x, gap, row, own = x[new], gap[new], row[new], own[new]
+                key = ranges.without(x, x + gap, x + gap + 1, x + size.run)
+                yield _places(key, ids[row], x - start[row], own)
 
-    yield from _by_key(batches, work)
+    return run
 
 
-@words.frugal
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, texts in words.slices(batch):
-            flat, lens = words.hashed(texts)
-            ends = np.cumsum(lens)
-            doc, lo, hi, cut = [], [], [], []
-            for i, (d, wanted) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
-                own = flat[ends[i] - lens[i] : ends[i]].view(np.int64)
-                for w in wanted:
-                    doc.append(d)
-                    lo.append(w["lo"])
-                    hi.append(w["hi"])
-                    cut.append(own[w["lo"] : w["hi"]])
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(cut, pa.list_(pa.int64()))], ["d", "l", "h", "w"])
-
-
-def regions(same: np.ndarray, threshold: float, min_words: int) -> list[tuple[int, int]]:
-    """Stretches of aligned words whose shingles have the Jaccard similarity ``threshold``, of at least ``min_words`` words."""
-    n = len(same) - SHINGLE + 1
+def runs_alike(same: np.ndarray, size: Lengths) -> list[tuple[int, int]]:
+    """Stretches of aligned words in which every word lies in a run of ``size.run`` words that begins and ends with equal shingles and reaches the threshold, and the equal words next to them."""
+    n = len(same) - size.run + 1
     if n <= 0:
         return []
     total = np.r_[0, np.cumsum(same)]
-    match = (total[SHINGLE:] - total[:-SHINGLE] == SHINGLE).astype(np.int8)
-    edge = np.flatnonzero(np.diff(np.r_[0, match, 0]))
-    out: list[list[int]] = []  # first shingle, after the last, matching shingles
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        if out:
-            hits, all_ = out[-1][2] + b - a, b - out[-1][0]
-            if hits >= threshold * (2 * all_ - hits):
-                out[-1][1:] = [b, hits]
-                continue
-        out.append([a, b, b - a])
-    return [(a, b + SHINGLE - 1) for a, b, _ in out if b - a + SHINGLE - 1 >= min_words]
-
-
-def _verify(threshold: float, min_words: int):
+    match = total[SHINGLE:] - total[:-SHINGLE] == SHINGLE
+    count = np.r_[0, np.cumsum(match)]
+    wide = size.run - SHINGLE + 1
+    good = (count[wide:] - count[:-wide] >= size.need) & match[:n] & match[wide - 1 :]
+    at = np.flatnonzero(good)
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > size.run)
+    start, end = at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]] + size.run
+    other = np.r_[-1, np.flatnonzero(~same), len(same)]
+    start, end = other[np.searchsorted(other, start) - 1] + 1, other[np.searchsorted(other, end)]
+    keep = np.r_[True, start[1:] != start[:-1]]
+    return list(zip(start[keep].tolist(), end[np.r_[np.flatnonzero(keep)[1:] - 1, len(end) - 1]].tolist()))
+
+
+def _verify(size: Lengths):
     @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
-            mine, theirs = get("wa"), get("wb")
+            mine, theirs = get("wa").to_pylist(), get("wb").to_pylist()
             rows = []
-            for i, (doc, kept, shift, lo, klo) in enumerate(zip(*(get(c).to_pylist() for c in ("doc", "kept", "shift", "lo", "klo")))):
-                a, b = mine[i].values.to_numpy(), theirs[i].values.to_numpy()
-                start = max(lo, klo + shift)
-                stop = min(lo + len(a), klo + shift + len(b))
-                if stop - start >= min_words:
+            for a, b, doc, kept, shift, lo, klo in zip(mine, theirs, *(get(c).to_pylist() for c in ("doc", "kept", "shift", "lo", "klo"))):
+                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                start, stop = max(lo, klo + shift), min(lo + len(a), klo + shift + len(b))
+                if stop - start >= size.run:
                     same = a[start - lo : stop - lo] == b[start - shift - klo : stop - shift - klo]
-                    rows += [(doc, start + s, start + e, kept, start + s - shift) for s, e in regions(same, threshold, min_words)]
+                    rows += [(doc, start + s, start + e, kept, start + s - shift) for s, e in runs_alike(same, size)]
             columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start_word", "end_word", "kept_doc_id", "kept_start_word"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "start_word", "end_word", "kept", "kept_start_word"])
 
     return run
 
 
+
+
+def _doc(place: str = "at"):
+    return F.shiftright(place, PLACE)
+
+
+def _pos(place: str = "at"):
+    return F.shiftright(F.col(place).bitwiseAND((1 << PLACE) - 1), 1)
+
+
+_FOUND = "doc long, start_word long, end_word long, kept long, kept_start_word long"
+
+
+def _shared(tables: Scratch, rows: DataFrame) -> DataFrame:
+    """Keys of an open place that a smaller text has too, with their smallest place.  A key's rows are summed up before they move, so it may hold any share of them."""
+    open_ = F.when(F.col("at").bitwiseAND(1) == 1, F.col("at"))
+    kinds = rows.groupBy("key").agg(F.min("at").alias("low"), F.max(open_).alias("high"))
+    return tables.save(kinds.where(_doc("low") < _doc("high")).select("key", "low"))
+
+
+def _by_text(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(_doc().alias("doc")).agg(F.collect_set("at").alias("places"))
+
+
+def _read(tables: Scratch, texts: DataFrame, places: DataFrame, work, schema: str = "key long, at long") -> DataFrame:
+    """``work`` on the texts that have places."""
+    with_places = texts.select("doc", "w").join(sized(tables.save(places), WANTED), "doc")
+    return tables.save(with_places.mapInArrow(work, schema))
+
+
+def _met(tables: Scratch, rows: DataFrame) -> DataFrame:
+    """Each open place with the smallest text that has its key."""
+    return rows.where(F.col("at").bitwiseAND(1) == 1).join(_shared(tables, rows), "key").select("at", "low").where(_doc("low") < _doc())
+
+
+def numbered(docs: DataFrame, tables: Scratch, id_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
+    """Texts as numbers: one row ``(doc, n, w)`` for all texts of the same words, and ``(doc, id, h, first)`` for every row of at least ``least`` words.
+
+    ``doc`` counts from 0 in the order of the smallest id (null ids last), then of the words; ``h`` is the hash of the text as it is, ``first`` says that the row stands for its text.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= 2 * least - 1)
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.xxhash64("text").alias("h"), "text")
+    given = tables.save(rows.mapInArrow(_number, "row long, id long, h long, key binary, n long, w binary").where(F.col("n") >= least), BATCH)
+    order = F.struct(F.col("id").isNull().alias("null"), "id", "row", "h")
+    kinds = given.groupBy("key").agg(F.min(order).alias("o")).select("key", F.col("o.id").alias("first_id"), F.col("o.row").alias("row"), F.col("o.h").alias("first_h"))
+    kinds = tables.save(kinds.orderBy(F.col("first_id").asc_nulls_last(), "key").select("*", F.monotonically_increasing_id().alias("m")))
+    part = F.shiftright("m", 33).cast("int")
+    counts = {r["p"]: r["n"] for r in kinds.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # a number for each partition
+    base, before = {}, 0
+    for p in sorted(counts):
+        base[p], before = before, before + counts[p]
+    if before >= 1 << 63 - PLACE:
+        raise ValueError("too many texts")
+    offset = F.element_at(F.create_map(*(F.lit(x) for p in sorted(base) for x in (p, base[p]))), part) if base else F.lit(0)
+    kinds = tables.save(kinds.select("key", "first_id", "first_h", "row", (F.col("m").bitwiseAND((1 << 33) - 1) + offset).cast("long").alias("doc")))
+    texts = tables.save(given.select("row", "n", "w").join(sized(kinds.select("row", "doc")), "row").select("doc", "n", "w"), BATCH)
+    members = given.select("id", "h", "key", "n").join(kinds.select("key", "doc", "first_id", "first_h"), "key").distinct()
+    members = tables.save(members.select("doc", "id", "h", "n", "first_id", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).alias("first")))
+    tables.drop(given)
+    return texts, members
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Passages that a smaller doc_id also has: ``(doc_id, start_word, end_word, kept_doc_id, kept_start_word, cluster_id)``.
+    """Passages that a text of a smaller id also has: ``(doc_id, start_word, end_word, kept_doc_id, kept_start_word, cluster_id, text_hash)``.
 
     Words are lower-cased in A-Z only and cut at space and 0x09-0x0D; both
-    ends count words from 0, the end exclusive.  Every exact passage of
-    ``min_words`` words is found; one with substituted words is found with
-    probability ``recall`` or more per paragraph if its shingles reach
-    ``threshold``.  Each row's passage can go, because the text of the smaller
-    id keeps or passes on its own; passages inside another of the same text are
-    left out.  ``cluster_id`` names the component of passages that all verified
-    pairs connect.  Null, empty and short texts and null ids
-    have no passages; repeats inside one text are left alone; rows that repeat
-    an id are taken as one text.  Other columns are ignored.
+    ends count words from 0, the end exclusive.  Each word of a row lies in a
+    run of ``min_words`` words whose shingles, aligned with the kept text's,
+    have the Jaccard similarity ``threshold``, or follows such runs equal word by
+    word.  Every run that a smaller text
+    has word by word is in a row; so is one with a substituted word, where the
+    threshold allows it, if paragraphs in it collide (with probability
+    ``recall`` for each of similarity ``threshold``).  ``cluster_id`` names the
+    component of passages that all verified pairs connect; passages inside
+    another of the same text are left out.
+
+    Texts of the same words are one; all rows but one (the smallest id, of
+    equal ids the first) have a row for the whole text.  A row that repeats
+    both id and text of a kept row is that row.  Rows that repeat an id with
+    another text are texts of their own, told apart by ``text_hash`` (xxhash64
+    of the text as it is).  Null ids count as larger than all others.  Null,
+    empty and short texts have no passages; repeats inside one text are left
+    alone; other columns are ignored; an empty table gives no rows.
     """
     tables = Scratch(docs.sparkSession, "substring")
-    texts = docs.selectExpr(f"cast(`{id_col}` as long) as id", f"`{text_col}` as text").where("id is not null")
-    bands, rows = tune(threshold, recall)
-    least = least_equal(threshold, recall, bands, rows)
-    keys = texts.mapInArrow(_bands(min_words, bands, rows), "key long, doc long, pos int, sketch long")
-    schema = "key long, doc long, pos int, sketch long, exact boolean, inner boolean"
-    members = tables.save(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_meet(least), schema))
-
-    # Exact passages: whole runs of min_words words meet, so whatever meets is true.
-    at = members.where("exact").groupBy(F.col("doc").alias("id")).agg(F.collect_set("pos").alias("at"))
-    runs = texts.join(sized(tables.save(at), WANTED), "id").select("id", "text", "at").mapInArrow(_passages(min_words), "key long, doc long, pos int")
-    pair = "doc long, kept long, shift int, pos int"
-    found = _verified(tables, texts, runs.repartition("key").sortWithinPartitions("key").mapInArrow(_collide, pair), min_words, threshold, min_words)
-
-    # The rest: what no passage holds yet is compared with ever more smaller texts, until it's verified or none is left.
-    first, last = 0, 1
-    while True:
-        spans = tables.save(found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("spans")))
-        inside = F.coalesce(F.expr(f"exists(spans, x -> pos >= x.s and pos + {SHINGLE} <= x.e)"), F.lit(False))
-        flagged = members.where("not inner").join(sized(spans, WANTED), "doc", "left").select("key", "doc", "pos", "sketch", (~inside).alias("open"))
-        met = tables.save(flagged.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(least, first, last), pair))
-        tables.drop(spans)
-        if not met.limit(1).count():
-            break
-        more = _verified(tables, texts, met, min_words, threshold, SHINGLE)
-        both = tables.save(found.unionByName(more).distinct())
-        tables.drop(met, found, more)
-        found, first, last = both, last, last * MORE
-    tables.drop(members, met)
-    return _clustered(found, tables)
+    size = Lengths(min_words, threshold)
+    texts, members = numbered(docs, tables, id_col, text_col, min_words)
+    keys = tables.save(texts.mapInArrow(_bands(size, *tune(threshold, recall)), "key long, at long"))
+    live = keys.join(_shared(tables, keys), "key", "left_semi")
+    seeds = _read(tables, texts, _by_text(live), _seeds(size))
+    tables.drop(keys)
+    live = tables.save(seeds.join(_shared(tables, seeds), "key", "left_semi"))
+    tables.drop(seeds)
+    runs = _read(tables, texts, _by_text(live), _runs(size))
+    met = tables.save(_met(tables, runs))
+    found = _verified(tables, texts, met, size)
+    tables.drop(runs)
+    if size.loose:
+        live = _flagged(tables, live, found, size)
+        held = tables.save(_by_text(met).withColumnRenamed("places", "held"))
+        wide, narrow = size.run // 5, max(1, min(SHINGLE, size.run // 16))
+        for step in (wide, narrow):
+            asked = live.join(_shared(tables, live), "key", "left_semi")
+            live = _read(tables, texts, _by_text(asked).join(held, "doc", "left"), _coarse_keys(size, step), "key long, at long, number int")
+        asked = live.join(_shared(tables, live), "key", "left_semi").groupBy(_doc().alias("doc")).agg(F.collect_list("at").alias("places"), F.collect_list("number").alias("numbers"))
+        runs = _read(tables, texts, asked.join(held, "doc", "left"), _loose_keys(size, narrow))
+        found = tables.save(found.unionByName(_verified(tables, texts, _met(tables, runs), size)).distinct())
+        tables.drop(runs)
+    tables.drop(live)
+    return _clustered(found, members, tables)
+
+
+def _flag(size: Lengths):
+    """Seeds are open if not all runs that may hold them are in one of the passages found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ats = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for places, spans in zip(batch.column(0), batch.column(1)):
+                key, at = (places.values.field(i).to_numpy() for i in (0, 1))
+                if spans.is_valid:
+                    start, end = (spans.values.field(i).to_numpy() for i in (0, 1))
+                    order = np.argsort(start, kind="stable")
+                    start, reach = start[order], np.r_[-1, np.maximum.accumulate(end[order])]
+                    pos = (at & ((1 << PLACE) - 1)) >> 1
+                    first = np.maximum(pos - (size.run - size.seed), 0)
+                    at = at - (reach[np.searchsorted(start, first, "right")] >= pos + size.run)
+                keys.append(key)
+                ats.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ats))], ["key", "at"])
+
+    return run
+
+
+def _flagged(tables: Scratch, places: DataFrame, found: DataFrame, size: Lengths) -> DataFrame:
+    spans = found.groupBy("doc").agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("spans"))
+    rows = places.groupBy(_doc().alias("doc")).agg(F.collect_list(F.struct("key", "at")).alias("places")).join(spans, "doc", "left")
+    return tables.save(rows.select("places", "spans").mapInArrow(_flag(size), "key long, at long"), BATCH)
 
 
-def _verified(tables: Scratch, texts: DataFrame, met: DataFrame, min_words: int, threshold: float, width: int) -> DataFrame:
-    """The passages around pairs of positions from which ``width`` words met."""
-    margin = max(GAP + WINDOW, min_words)
+def _verified(tables: Scratch, texts: DataFrame, met: DataFrame, size: Lengths) -> DataFrame:
+    """The passages around pairs of places from which runs met."""
+    margin = 2 * size.run
+    pos, low = _pos(), _pos("low")
+    met = met.select(_doc().alias("doc"), _doc("low").alias("kept"), (pos - low).alias("shift"), pos.alias("pos"))
+    chains = met.groupBy("doc", "kept", "shift").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
     chains = tables.save(
-        met.groupBy("doc", "kept", "shift")
-        .agg(F.min("pos").alias("first"), (F.max("pos") + width).alias("last"))
-        .withColumns(
-            {
-                "lo": _down(F.col("first") - margin),
-                "hi": _down(F.col("last") + margin + STEP - 1),
-                "klo": _down(F.col("first") - F.col("shift") - margin),
-                "khi": _down(F.col("last") - F.col("shift") + margin + STEP - 1),
-            }
+        chains.select(
+            "doc",
+            "kept",
+            "shift",
+            F.greatest(F.col("first") - margin, F.lit(0)).alias("lo"),
+            (F.col("last") + size.run + margin).alias("hi"),
+            F.greatest(F.col("first") - F.col("shift") - margin, F.lit(0)).alias("klo"),
+            (F.col("last") - F.col("shift") + size.run + margin).alias("khi"),
         )
-        .drop("first", "last"),
-        4 * BATCH,
     )
-    wanted = chains.select("doc", "lo", "hi").unionByName(chains.select(F.col("kept").alias("doc"), F.col("klo").alias("lo"), F.col("khi").alias("hi"))).distinct()
-    wanted = wanted.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("lo", "hi")).alias("wanted"))
-    cut = tables.save(texts.join(sized(wanted, WANTED), "id").select("id", "text", "wanted").mapInArrow(_slices, "d long, l long, h long, w array<long>"), BATCH)
-    both = (
-        chains.join(cut.select(F.col("d").alias("doc"), F.col("l").alias("lo"), F.col("h").alias("hi"), F.col("w").alias("wa")).hint("merge"), ["doc", "lo", "hi"])
-        .join(cut.select(F.col("d").alias("kept"), F.col("l").alias("klo"), F.col("h").alias("khi"), F.col("w").alias("wb")).hint("merge"), ["kept", "klo", "khi"])
-        .select("doc", "kept", "shift", "lo", "klo", "wa", "wb")
-    )
-    schema = "doc_id long, start_word long, end_word long, kept_doc_id long, kept_start_word long"
-    found = tables.save(both.mapInArrow(_verify(threshold, min_words), schema).distinct(), BATCH)
-    tables.drop(cut, chains)
+    cut = lambda lo, hi: F.substring("w", F.col(lo).cast("int") * 4 + 1, (F.col(hi) - F.col(lo)).cast("int") * 4)
+    both = chains.join(texts.select("doc", "w").hint("merge"), "doc").withColumn("wa", cut("lo", "hi")).drop("w", "hi")
+    both = both.join(texts.select(F.col("doc").alias("kept"), "w").hint("merge"), "kept").withColumn("wb", cut("klo", "khi")).drop("w", "khi")
+    found = tables.save(both.select("doc", "kept", "shift", "lo", "klo", "wa", "wb").mapInArrow(_verify(size), _FOUND), 4 * BATCH)
+    tables.drop(chains)
     return found
 
 
-def _down(x):
-    """At least 0, down to a multiple of STEP."""
-    return (F.greatest(F.floor(x / STEP), F.lit(0)) * STEP).cast("long")
-
-
-def _clustered(found: DataFrame, tables: Scratch) -> DataFrame:
-    """Overlapping passages of a text are one; the removals between them connect."""
-    ends = found.select(F.col("doc_id").alias("d"), F.col("start_word").alias("s"), F.col("end_word").alias("e")).unionByName(
-        found.selectExpr("kept_doc_id as d", "kept_start_word as s", "kept_start_word + end_word - start_word as e")
-    ).distinct()
+def _clustered(found: DataFrame, members: DataFrame, tables: Scratch) -> DataFrame:
+    """Overlapping passages of a text are one; the removals between them connect.  Copies of a text go whole."""
+    copies = tables.save(members.where("not first"))
+    ends = found.select(F.col("doc").alias("d"), F.col("start_word").alias("s"), F.col("end_word").alias("e")).unionByName(
+        found.selectExpr("kept as d", "kept_start_word as s", "kept_start_word + end_word - start_word as e")
+    )
+    ends = ends.unionByName(copies.selectExpr("doc as d", "0L as s", "n as e")).distinct()
     order = Window.partitionBy("d").orderBy("s", "e")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = tables.save(
@@ -439,21 +515,27 @@ def _clustered(found: DataFrame, tables: Scratch) -> DataFrame:
         .withColumn("start", F.max(F.when(F.col("new"), F.col("s"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .select("d", "s", "e", F.xxhash64("d", "start").alias("passage"))
     )
-    mine = whole.select(F.col("d").alias("doc_id"), F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("passage").alias("x"))
-    kept = whole.select(F.col("d").alias("kept_doc_id"), F.col("s").alias("kept_start_word"), F.col("e").alias("kept_end"), F.col("passage").alias("y"))
+    mine = whole.select(F.col("d").alias("doc"), F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("passage").alias("x"))
+    kept = whole.select(F.col("d").alias("kept"), F.col("s").alias("kept_start_word"), F.col("e").alias("kept_end"), F.col("passage").alias("y"))
     linked = tables.save(
-        found.join(mine, ["doc_id", "start_word", "end_word"])
+        found.join(mine, ["doc", "start_word", "end_word"])
         .withColumn("kept_end", F.expr("kept_start_word + end_word - start_word"))
-        .join(kept, ["kept_doc_id", "kept_start_word", "kept_end"])
+        .join(kept, ["kept", "kept_start_word", "kept_end"])
         .drop("kept_end")
     )
-    tables.drop(found, whole)
-    cluster = connected_components(linked, "x", "y").select(F.col("id").alias("x"), F.col("component").alias("cluster_id"))
+    tables.drop(found)
+    cluster = connected_components(linked, "x", "y").select(F.col("id").alias("x"), "component")
     # a passage inside another of the same text adds nothing to what can go; its link is in the cluster
-    order = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"), "kept_doc_id", "kept_start_word")
+    order = Window.partitionBy("doc").orderBy("start_word", F.desc("end_word"), "kept", "kept_start_word")
     reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = linked.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("end_word") > F.col("reach")))
-    return rows.join(cluster, "x").select("doc_id", "start_word", "end_word", "kept_doc_id", "kept_start_word", "cluster_id")
+    named = tables.save(members.where("first").select("doc", F.col("id").alias("doc_id"), F.col("h").alias("text_hash")))
+    smaller = named.select(F.col("doc").alias("kept"), F.col("doc_id").alias("kept_doc_id"))
+    rows = rows.select("doc", "start_word", "end_word", "kept", "kept_start_word", "x").join(named, "doc").join(smaller, "kept").drop("doc", "kept")
+    again = copies.select(F.col("doc").alias("d"), F.col("n").alias("e"), F.lit(0).cast("long").alias("s"), "id", "h", "first_id").join(whole, ["d", "s", "e"])
+    again = again.select(F.col("id").alias("doc_id"), F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("first_id").alias("kept_doc_id"), F.col("s").alias("kept_start_word"), F.col("h").alias("text_hash"), F.col("passage").alias("x"))
+    rows = rows.unionByName(again).join(cluster, "x", "left").withColumn("cluster_id", F.coalesce("component", "x"))
+    return rows.select("doc_id", "start_word", "end_word", "kept_doc_id", "kept_start_word", "cluster_id", "text_hash")
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -477,17 +559,26 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out) + text[done:]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at = batch.schema.get_field_index("text")
-        texts, spans = batch.column(at).to_pylist(), batch.column(batch.schema.get_field_index("__spans")).to_pylist()
-        new = [t if not s else cut_words((t or "").encode(), [(x["s"], x["e"]) for x in s]).decode() for t, s in zip(texts, spans)]
-        names = [n for n in batch.schema.names if n != "__spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == "text" else batch.column(batch.schema.get_field_index(n)) for n in names], names)
+def _cut(text: str, spans: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            new = [t if not s else cut_words((t or "").encode(), [(x["s"], x["e"]) for x in s]).decode() for t, s in zip(get(text).to_pylist(), get(spans).to_pylist())]
+            names = [n for n in batch.schema.names if n != spans]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if n == text else get(n) for n in names], names)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (columns ``doc_id`` and ``text`` among them) without the passages; rows without any stay as they are."""
-    spans = passages.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("__spans"))
-    rows = docs.join(sized(spans, WANTED), docs["doc_id"] == F.col("__id"), "left").drop("__id")
-    return rows.mapInArrow(_cut, docs.schema)
+    """The rows of ``docs`` (columns ``doc_id`` and ``text`` among them) without the passages; rows without any stay as they are.
+
+    A row is known by its id and the hash of its text, so rows that repeat an id with another text keep theirs, and rows without an id lose theirs.
+    """
+    new = "__span"
+    while any(c.lower().startswith(new) for c in docs.columns):
+        new += "_"
+    spans = passages.groupBy(F.col("doc_id").alias(f"{new}_id"), F.col("text_hash").alias(f"{new}_hash")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias(f"{new}s"))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"{new}_id")) & (F.xxhash64(docs["text"]) == F.col(f"{new}_hash"))
+    rows = docs.join(sized(spans, WANTED), same, "left").drop(f"{new}_id", f"{new}_hash")
+    return rows.mapInArrow(_cut("text", f"{new}s"), docs.schema)

@@ -39,6 +39,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def digest(data: bytes) -> bytes:
+    """128 bits of a text or of numbered words."""
+    return xxhash.xxh128_digest(data)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of uint64 that spreads every input bit (the splitmix64 finaliser)."""
     x = x ^ (x >> np.uint64(30))
