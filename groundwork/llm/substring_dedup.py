@@ -35,6 +35,8 @@ SHINGLE = 5
 PLACE = 27
 #: Texts whose places are broadcast, at most; for more, the texts are dealt by number.
 WANTED = 200_000
+#: Keys of 16 bytes that are broadcast, at most; for more, the rows are dealt by key.
+KEYS = 1_000_000
 #: Rows with texts or word lists that are handed to Python at once.
 BATCH = 500
 
@@ -228,7 +230,9 @@ def _coarse(size: Lengths, step: int) -> list[tuple[int, int, int, int]]:
         for part in np.array_split(spare, -(-len(spare) // SHINGLE)):
             # a chunk that the seed parts in two is two chunks
             for chunk in np.split(part, np.flatnonzero(np.diff(part) > 1) + 1):
-                out.append((-back, wide - back, int(chunk[0]), int(chunk[-1]) + 1))
+                s, t = int(chunk[0]), int(chunk[-1]) + 1
+                # the word next to a chunk of at most a shingle is in the shingle next to the substituted word
+                out.append((min(-back, s - 1), max(wide - back, t + 1), s, t))
     return out
 
 
@@ -329,9 +333,9 @@ def _verify(size: Lengths):
                 start, stop = max(lo, klo + shift), min(lo + len(a), klo + shift + len(b))
                 if stop - start >= size.run:
                     same = a[start - lo : stop - lo] == b[start - shift - klo : stop - shift - klo]
-                    rows += [(doc, start + s, start + e, kept, start + s - shift) for s, e in runs_alike(same, size)]
-            columns = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "start_word", "end_word", "kept", "kept_start_word"])
+                    rows += [(doc, start + s, start + e, kept, start + s - shift, start + e - shift) for s, e in runs_alike(same, size)]
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "start_word", "end_word", "kept", "kept_start_word", "kept_end_word"])
 
     return run
 
@@ -346,14 +350,14 @@ def _pos(place: str = "at"):
     return F.shiftright(F.col(place).bitwiseAND((1 << PLACE) - 1), 1)
 
 
-_FOUND = "doc long, start_word long, end_word long, kept long, kept_start_word long"
+_FOUND = "doc long, start_word long, end_word long, kept long, kept_start_word long, kept_end_word long"
 
 
 def _shared(tables: Scratch, rows: DataFrame) -> DataFrame:
     """Keys of an open place that a smaller text has too, with their smallest place.  A key's rows are summed up before they move, so it may hold any share of them."""
     open_ = F.when(F.col("at").bitwiseAND(1) == 1, F.col("at"))
     kinds = rows.groupBy("key").agg(F.min("at").alias("low"), F.max(open_).alias("high"))
-    return tables.save(kinds.where(_doc("low") < _doc("high")).select("key", "low"))
+    return sized(tables.save(kinds.where(_doc("low") < _doc("high")).select("key", "low")), KEYS)
 
 
 def _by_text(rows: DataFrame) -> DataFrame:
@@ -476,12 +480,27 @@ def _flagged(tables: Scratch, places: DataFrame, found: DataFrame, size: Lengths
     return tables.save(rows.select("places", "spans").mapInArrow(_flag(size), "key long, at long"), BATCH)
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(_doc().alias("doc"), _doc("low").alias("kept"), (_pos() - _pos("low")).alias("shift"), _pos().alias("pos"))
+
+
+def _islands(met: DataFrame, size: Lengths) -> DataFrame:
+    """What runs met make up: those that follow each other, or are near with the same shift.  Where words repeat over and over, shifts vary, and ``shift`` is null."""
+    order = Window.partitionBy("doc", "kept").orderBy("pos")
+    before = F.lag(F.struct("pos", "shift")).over(order)
+    step = F.col("pos") - before["pos"]
+    rows = _pairs(met).withColumn("new", F.coalesce((step > 1) & ((step > size.run) | (before["shift"] != F.col("shift"))), F.lit(True)))
+    rows = rows.withColumn("island", F.count(F.when(F.col("new"), 1)).over(order)).groupBy("doc", "kept", "island")
+    rows = rows.agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.min(F.col("pos") - F.col("shift")).alias("kfirst"), F.max(F.col("pos") - F.col("shift")).alias("klast"), F.min("shift").alias("least"), F.max("shift").alias("most"))
+    return rows.select("doc", "kept", "first", "last", "kfirst", "klast", F.when(F.col("least") == F.col("most"), F.col("least")).alias("shift"))
+
+
 def _verified(tables: Scratch, texts: DataFrame, met: DataFrame, size: Lengths) -> DataFrame:
-    """The passages around pairs of places from which runs met."""
-    margin = 2 * size.run
-    pos, low = _pos(), _pos("low")
-    met = met.select(_doc().alias("doc"), _doc("low").alias("kept"), (pos - low).alias("shift"), pos.alias("pos"))
-    chains = met.groupBy("doc", "kept", "shift").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+    """The passages around runs that met: as they are, or where one shift holds, all aligned words that are alike."""
+    islands = tables.save(_islands(met, size))
+    whole = islands.where("shift is null").select("doc", F.col("first").alias("start_word"), (F.col("last") + size.run).alias("end_word"), "kept", F.col("kfirst").alias("kept_start_word"), (F.col("klast") + size.run).alias("kept_end_word"))
+    chains = islands.where("shift is not null").groupBy("doc", "kept", "shift").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    margin = size.run
     chains = tables.save(
         chains.select(
             "doc",
@@ -493,11 +512,17 @@ def _verified(tables: Scratch, texts: DataFrame, met: DataFrame, size: Lengths)
             (F.col("last") - F.col("shift") + size.run + margin).alias("khi"),
         )
     )
+
+    def words_of(side: str) -> DataFrame:
+        own = tables.save(chains.select(F.col(side).alias("doc")).distinct())
+        return texts.select("doc", "w").join(sized(own), "doc", "left_semi").withColumnRenamed("doc", side).hint("merge")
+
     cut = lambda lo, hi: F.substring("w", F.col(lo).cast("int") * 4 + 1, (F.col(hi) - F.col(lo)).cast("int") * 4)
-    both = chains.join(texts.select("doc", "w").hint("merge"), "doc").withColumn("wa", cut("lo", "hi")).drop("w", "hi")
-    both = both.join(texts.select(F.col("doc").alias("kept"), "w").hint("merge"), "kept").withColumn("wb", cut("klo", "khi")).drop("w", "khi")
-    found = tables.save(both.select("doc", "kept", "shift", "lo", "klo", "wa", "wb").mapInArrow(_verify(size), _FOUND), 4 * BATCH)
-    tables.drop(chains)
+    both = chains.join(words_of("doc"), "doc").withColumn("wa", cut("lo", "hi")).drop("w", "hi")
+    both = both.join(words_of("kept"), "kept").withColumn("wb", cut("klo", "khi")).drop("w", "khi")
+    alike = both.select("doc", "kept", "shift", "lo", "klo", "wa", "wb").mapInArrow(_verify(size), _FOUND)
+    found = tables.save(alike.unionByName(whole), 4 * BATCH)
+    tables.drop(chains, islands)
     return found
 
 
@@ -505,7 +530,7 @@ def _clustered(found: DataFrame, members: DataFrame, tables: Scratch) -> DataFra
     """Overlapping passages of a text are one; the removals between them connect.  Copies of a text go whole."""
     copies = tables.save(members.where("not first"))
     ends = found.select(F.col("doc").alias("d"), F.col("start_word").alias("s"), F.col("end_word").alias("e")).unionByName(
-        found.selectExpr("kept as d", "kept_start_word as s", "kept_start_word + end_word - start_word as e")
+        found.selectExpr("kept as d", "kept_start_word as s", "kept_end_word as e")
     )
     ends = ends.unionByName(copies.selectExpr("doc as d", "0L as s", "n as e")).distinct()
     order = Window.partitionBy("d").orderBy("s", "e")
@@ -516,13 +541,8 @@ def _clustered(found: DataFrame, members: DataFrame, tables: Scratch) -> DataFra
         .select("d", "s", "e", F.xxhash64("d", "start").alias("passage"))
     )
     mine = whole.select(F.col("d").alias("doc"), F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("passage").alias("x"))
-    kept = whole.select(F.col("d").alias("kept"), F.col("s").alias("kept_start_word"), F.col("e").alias("kept_end"), F.col("passage").alias("y"))
-    linked = tables.save(
-        found.join(mine, ["doc", "start_word", "end_word"])
-        .withColumn("kept_end", F.expr("kept_start_word + end_word - start_word"))
-        .join(kept, ["kept", "kept_start_word", "kept_end"])
-        .drop("kept_end")
-    )
+    kept = whole.select(F.col("d").alias("kept"), F.col("s").alias("kept_start_word"), F.col("e").alias("kept_end_word"), F.col("passage").alias("y"))
+    linked = tables.save(found.join(mine, ["doc", "start_word", "end_word"]).join(kept, ["kept", "kept_start_word", "kept_end_word"]).drop("kept_end_word"))
     tables.drop(found)
     cluster = connected_components(linked, "x", "y").select(F.col("id").alias("x"), "component")
     # a passage inside another of the same text adds nothing to what can go; its link is in the cluster
