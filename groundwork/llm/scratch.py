@@ -31,8 +31,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def save(self, df: DataFrame, batch: int | None = None) -> DataFrame:
-        """Write and read back; ``batch`` bounds the rows that are handed to Python at once, for rows that hold long arrays or texts."""
+    def save(self, df: DataFrame, batch: int | None = None, by: str | None = None) -> DataFrame:
+        """Write and read back; ``batch`` bounds the rows that are handed to Python at once, for rows that hold long arrays or texts.
+
+        A table written ``by`` a column is dealt into buckets, so that joins on the column move only the other side.
+        """
         self.count += 1
         path = f"{self.root}/{self.count}"
         name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -40,10 +43,16 @@ class Scratch:
         if batch:
             self.spark.conf.set(name, str(min(batch, int(before)) if int(before) > 0 else batch))
         try:
-            df.write.mode("overwrite").parquet(path)
+            if by:
+                parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                table = f"groundwork_{uuid.uuid4().hex}"
+                df.repartition(parts, by).write.option("path", path).bucketBy(parts, by).sortBy(by).format("parquet").saveAsTable(table)
+                out = self.spark.table(table)
+            else:
+                df.write.mode("overwrite").parquet(path)
+                out = self.spark.read.schema(df.schema).parquet(path)
         finally:
             self.spark.conf.set(name, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 

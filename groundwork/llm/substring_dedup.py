@@ -33,10 +33,10 @@ from .sizes import sized
 SHINGLE = 5
 #: Bits of a place that number the words of a text, and one more.
 PLACE = 27
-#: Texts whose places are broadcast, at most; for more, the texts are dealt by number.
-WANTED = 200_000
-#: Keys of 16 bytes that are broadcast, at most; for more, the rows are dealt by key.
-KEYS = 1_000_000
+#: Rows of 16 bytes that are broadcast, at most; for more, the other side is dealt by key.
+KEYS = 250_000
+#: Rows with passages that are broadcast, at most, each passage counted.
+WANTED = 250_000
 #: Rows with texts or word lists that are handed to Python at once.
 BATCH = 500
 
@@ -364,25 +364,19 @@ def _by_text(rows: DataFrame) -> DataFrame:
     return rows.groupBy(_doc().alias("doc")).agg(F.collect_set("at").alias("places"))
 
 
-def _read(tables: Scratch, texts: DataFrame, places: DataFrame, work, schema: str = "key long, at long") -> DataFrame:
-    """``work`` on the texts that have places."""
-    with_places = texts.select("doc", "w").join(sized(tables.save(places), WANTED), "doc")
-    return tables.save(with_places.mapInArrow(work, schema))
-
-
 def _met(tables: Scratch, rows: DataFrame) -> DataFrame:
     """Each open place with the smallest text that has its key."""
     return rows.where(F.col("at").bitwiseAND(1) == 1).join(_shared(tables, rows), "key").select("at", "low").where(_doc("low") < _doc())
 
 
-def numbered(docs: DataFrame, tables: Scratch, id_col: str, text_col: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """Texts as numbers: one row ``(doc, n, w)`` for all texts of the same words, and ``(doc, id, h, first)`` for every row of at least ``least`` words.
+def numbered(docs: DataFrame, tables: Scratch, id_col: str, text_col: str, least: int) -> tuple[Texts, DataFrame]:
+    """Texts as numbers, one for all texts of the same words, and ``(doc, id, h, n, first_id, first)`` for every row of at least ``least`` words.
 
     ``doc`` counts from 0 in the order of the smallest id (null ids last), then of the words; ``h`` is the hash of the text as it is, ``first`` says that the row stands for its text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= 2 * least - 1)
     rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", F.xxhash64("text").alias("h"), "text")
-    given = tables.save(rows.mapInArrow(_number, "row long, id long, h long, key binary, n long, w binary").where(F.col("n") >= least), BATCH)
+    given = tables.save(rows.mapInArrow(_number, "row long, id long, h long, key binary, n long, w binary").where(F.col("n") >= least), BATCH, "row")
     order = F.struct(F.col("id").isNull().alias("null"), "id", "row", "h")
     kinds = given.groupBy("key").agg(F.min(order).alias("o")).select("key", F.col("o.id").alias("first_id"), F.col("o.row").alias("row"), F.col("o.h").alias("first_h"))
     kinds = tables.save(kinds.orderBy(F.col("first_id").asc_nulls_last(), "key").select("*", F.monotonically_increasing_id().alias("m")))
@@ -395,11 +389,24 @@ def numbered(docs: DataFrame, tables: Scratch, id_col: str, text_col: str, least
         raise ValueError("too many texts")
     offset = F.element_at(F.create_map(*(F.lit(x) for p in sorted(base) for x in (p, base[p]))), part) if base else F.lit(0)
     kinds = tables.save(kinds.select("key", "first_id", "first_h", "row", (F.col("m").bitwiseAND((1 << 33) - 1) + offset).cast("long").alias("doc")))
-    texts = tables.save(given.select("row", "n", "w").join(sized(kinds.select("row", "doc")), "row").select("doc", "n", "w"), BATCH)
     members = given.select("id", "h", "key", "n").join(kinds.select("key", "doc", "first_id", "first_h"), "key").distinct()
     members = tables.save(members.select("doc", "id", "h", "n", "first_id", (F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).alias("first")))
-    tables.drop(given)
-    return texts, members
+    return Texts(tables, given.select("row", "w"), kinds.select("doc", "row")), members
+
+
+class Texts:
+    """Texts in buckets by row, so that what is known of some can be joined without moving a text."""
+
+    def __init__(self, tables: Scratch, words_: DataFrame, rows: DataFrame):
+        self.tables, self.words, self.rows = tables, words_, rows
+
+    def join(self, some: DataFrame) -> DataFrame:
+        """Rows of ``some`` (column ``doc``) with the words ``w`` of their texts."""
+        return self.words.join(some.join(self.rows, "doc").hint("merge"), "row").drop("row")
+
+    def read(self, some: DataFrame, work, schema: str = "key long, at long") -> DataFrame:
+        """``work`` on the texts of ``some``."""
+        return self.tables.save(self.join(some).mapInArrow(work, schema), BATCH)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0.8, recall: float = 0.95, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -427,26 +434,26 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0
     tables = Scratch(docs.sparkSession, "substring")
     size = Lengths(min_words, threshold)
     texts, members = numbered(docs, tables, id_col, text_col, min_words)
-    keys = tables.save(texts.mapInArrow(_bands(size, *tune(threshold, recall)), "key long, at long"))
+    keys = texts.read(texts.rows.select("doc"), _bands(size, *tune(threshold, recall)))
     live = keys.join(_shared(tables, keys), "key", "left_semi")
-    seeds = _read(tables, texts, _by_text(live), _seeds(size))
+    seeds = texts.read(_by_text(live), _seeds(size))
     tables.drop(keys)
     live = tables.save(seeds.join(_shared(tables, seeds), "key", "left_semi"))
     tables.drop(seeds)
-    runs = _read(tables, texts, _by_text(live), _runs(size))
+    runs = texts.read(_by_text(live), _runs(size))
     met = tables.save(_met(tables, runs))
-    found = _verified(tables, texts, met, size)
     tables.drop(runs)
+    found = _verified(tables, texts, met, size)
     if size.loose:
         live = _flagged(tables, live, found, size)
         held = tables.save(_by_text(met).withColumnRenamed("places", "held"))
-        wide, narrow = size.run // 5, max(1, min(SHINGLE, size.run // 16))
+        wide, narrow = size.run // 5, max(1, min(SHINGLE - 1, size.run // 12))
         for step in (wide, narrow):
-            asked = live.join(_shared(tables, live), "key", "left_semi")
-            live = _read(tables, texts, _by_text(asked).join(held, "doc", "left"), _coarse_keys(size, step), "key long, at long, number int")
+            asked = _by_text(live.join(_shared(tables, live), "key", "left_semi"))
+            live = texts.read(asked.join(held, "doc", "left"), _coarse_keys(size, step), "key long, at long, number int")
         asked = live.join(_shared(tables, live), "key", "left_semi").groupBy(_doc().alias("doc")).agg(F.collect_list("at").alias("places"), F.collect_list("number").alias("numbers"))
-        runs = _read(tables, texts, asked.join(held, "doc", "left"), _loose_keys(size, narrow))
-        found = tables.save(found.unionByName(_verified(tables, texts, _met(tables, runs), size)).distinct())
+        runs = texts.read(asked.join(held, "doc", "left"), _loose_keys(size, narrow))
+        found = tables.save(found.unionByName(_verified(tables, texts, tables.save(_met(tables, runs)), size)).distinct())
         tables.drop(runs)
     tables.drop(live)
     return _clustered(found, members, tables)
@@ -495,7 +502,7 @@ def _islands(met: DataFrame, size: Lengths) -> DataFrame:
     return rows.select("doc", "kept", "first", "last", "kfirst", "klast", F.when(F.col("least") == F.col("most"), F.col("least")).alias("shift"))
 
 
-def _verified(tables: Scratch, texts: DataFrame, met: DataFrame, size: Lengths) -> DataFrame:
+def _verified(tables: Scratch, texts: Texts, met: DataFrame, size: Lengths) -> DataFrame:
     """The passages around runs that met: as they are, or where one shift holds, all aligned words that are alike."""
     islands = tables.save(_islands(met, size))
     whole = islands.where("shift is null").select("doc", F.col("first").alias("start_word"), (F.col("last") + size.run).alias("end_word"), "kept", F.col("kfirst").alias("kept_start_word"), (F.col("klast") + size.run).alias("kept_end_word"))
@@ -513,13 +520,9 @@ def _verified(tables: Scratch, texts: DataFrame, met: DataFrame, size: Lengths)
         )
     )
 
-    def words_of(side: str) -> DataFrame:
-        own = tables.save(chains.select(F.col(side).alias("doc")).distinct())
-        return texts.select("doc", "w").join(sized(own), "doc", "left_semi").withColumnRenamed("doc", side).hint("merge")
-
     cut = lambda lo, hi: F.substring("w", F.col(lo).cast("int") * 4 + 1, (F.col(hi) - F.col(lo)).cast("int") * 4)
-    both = chains.join(words_of("doc"), "doc").withColumn("wa", cut("lo", "hi")).drop("w", "hi")
-    both = both.join(words_of("kept"), "kept").withColumn("wb", cut("klo", "khi")).drop("w", "khi")
+    both = texts.join(chains).withColumn("wa", cut("lo", "hi")).drop("w", "hi")
+    both = texts.join(both.withColumnsRenamed({"doc": "own", "kept": "doc"})).withColumn("wb", cut("klo", "khi")).drop("w", "khi").withColumnsRenamed({"doc": "kept", "own": "doc"})
     alike = both.select("doc", "kept", "shift", "lo", "klo", "wa", "wb").mapInArrow(_verify(size), _FOUND)
     found = tables.save(alike.unionByName(whole), 4 * BATCH)
     tables.drop(chains, islands)
@@ -598,7 +601,8 @@ def remove_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     new = "__span"
     while any(c.lower().startswith(new) for c in docs.columns):
         new += "_"
+    n = passages.count()
     spans = passages.groupBy(F.col("doc_id").alias(f"{new}_id"), F.col("text_hash").alias(f"{new}_hash")).agg(F.collect_set(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias(f"{new}s"))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col(f"{new}_id")) & (F.xxhash64(docs["text"]) == F.col(f"{new}_hash"))
-    rows = docs.join(sized(spans, WANTED), same, "left").drop(f"{new}_id", f"{new}_hash")
+    rows = docs.join(F.broadcast(spans) if n <= WANTED else spans.hint("merge"), same, "left").drop(f"{new}_id", f"{new}_hash")
     return rows.mapInArrow(_cut("text", f"{new}s"), docs.schema)
