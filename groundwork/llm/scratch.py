@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,10 +41,13 @@ class Scratch:
         """
         self.count += 1
         path = f"{self.root}/{self.count}"
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = self.spark.conf.get(name)
+        own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}  # a table's shuffle files go when it is written
         if batch:
-            self.spark.conf.set(name, str(min(batch, int(before)) if int(before) > 0 else batch))
+            rows = int(self.spark.conf.get(ROWS))
+            own[ROWS] = str(min(batch, rows) if rows > 0 else batch)
+        before = {name: self.spark.conf.get(name, None) for name in own}
+        for name, value in own.items():
+            self.spark.conf.set(name, value)
         try:
             if by:
                 parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -52,7 +58,11 @@ class Scratch:
                 df.write.mode("overwrite").parquet(path)
                 out = self.spark.read.schema(df.schema).parquet(path)
         finally:
-            self.spark.conf.set(name, before)
+            for name, value in before.items():
+                if value is None:
+                    self.spark.conf.unset(name)
+                else:
+                    self.spark.conf.set(name, value)
         out.scratch_path = path
         return out
 

@@ -34,7 +34,7 @@ SHINGLE = 5
 #: Bits of a place that number the words of a text, and one more.
 PLACE = 27
 #: Rows of 16 bytes that are broadcast, at most; for more, the other side is dealt by key.
-KEYS = 250_000
+KEYS = 1_000_000
 #: Rows with passages that are broadcast, at most, each passage counted.
 WANTED = 250_000
 #: Rows with texts or word lists that are handed to Python at once.
@@ -245,8 +245,21 @@ def _first(part: pa.RecordBatch, lens: np.ndarray, size: Lengths):
     return lambda row, a, b: total[a + 1] == total[np.minimum(a, np.maximum((np.cumsum(lens) - lens)[row], b - size.run))]
 
 
-def _coarse_keys(size: Lengths, step: int):
+def _follows(size: Lengths, step: int, before: int) -> np.ndarray:
+    """For each window of the step ``before`` the bits of those of ``step`` that the same substituted word may leave alike."""
+
+    def may(x, y) -> bool:
+        (a, b, s, t), (c, d, u, v) = x, y
+        return max(b, d) - min(a, c) <= size.run and (max(s, u) < min(t, v) or u < a or v > b)
+
+    return np.array([sum(1 << i for i, y in enumerate(_coarse(size, step)) if may(x, y)) for x in _coarse(size, before)], np.uint64)
+
+
+def _coarse_keys(size: Lengths, step: int, before: int | None = None):
+    """Windows around the seeds in ``places``; after the step ``before``, only those that its windows in ``numbers`` leave."""
     windows = _coarse(size, step)
+    assert len(windows) < 64
+    follows = _follows(size, step, before) if before else None
 
     @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +267,15 @@ def _coarse_keys(size: Lengths, step: int):
             ids, flat, lens = _flat(part)
             row, at, open_ = _listed(part, lens, "places")
             start, ranges, first = np.cumsum(lens) - lens, _Ranges(flat), _first(part, lens, size)
+            bits = np.full(len(at), (1 << len(windows)) - 1, np.uint64)
+            if follows is not None and len(at):
+                order = np.lexsort((open_, at, row))
+                row, at, open_ = row[order], at[order], open_[order]
+                own = follows[part.column(part.schema.get_field_index("numbers")).flatten().to_numpy(zero_copy_only=False)[order]]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (at[1:] != at[:-1]) | (open_[1:] != open_[:-1])])
+                row, at, open_, bits = row[new], at[new], open_[new], np.bitwise_or.reduceat(own, new)
             for number, (a, b, s, t) in enumerate(windows):
-                ok = np.flatnonzero((at + a >= 0) & (at + b <= lens[row]))
+                ok = np.flatnonzero((at + a >= 0) & (at + b <= lens[row]) & (bits >> np.uint64(number) & np.uint64(1)).astype(bool))
                 o = (start[row] + at)[ok]
                 new = first(row[ok], o + a, o + b)
                 ok, o = ok[new], o[new]
@@ -448,10 +468,10 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, threshold: float = 0
         live = _flagged(tables, live, found, size)
         held = tables.save(_by_text(met).withColumnRenamed("places", "held"))
         wide, narrow = size.run // 5, max(1, min(SHINGLE - 1, size.run // 12))
-        for step in (wide, narrow):
-            asked = _by_text(live.join(_shared(tables, live), "key", "left_semi"))
-            live = texts.read(asked.join(held, "doc", "left"), _coarse_keys(size, step), "key long, at long, number int")
-        asked = live.join(_shared(tables, live), "key", "left_semi").groupBy(_doc().alias("doc")).agg(F.collect_list("at").alias("places"), F.collect_list("number").alias("numbers"))
+        asked = _by_text(live.join(_shared(tables, live), "key", "left_semi"))
+        for step, before in ((wide, None), (narrow, wide)):
+            live = texts.read(asked.join(held, "doc", "left"), _coarse_keys(size, step, before), "key long, at long, number int")
+            asked = live.join(_shared(tables, live), "key", "left_semi").groupBy(_doc().alias("doc")).agg(F.collect_list("at").alias("places"), F.collect_list("number").alias("numbers"))
         runs = texts.read(asked.join(held, "doc", "left"), _loose_keys(size, narrow))
         found = tables.save(found.unionByName(_verified(tables, texts, tables.save(_met(tables, runs)), size)).distinct())
         tables.drop(runs)
