@@ -34,7 +34,7 @@ SHINGLE = 5
 #: Bits of a place that number the words of a text, and one more.
 PLACE = 27
 #: Rows of 16 bytes that are broadcast, at most; for more, the other side is dealt by key.
-KEYS = 1_000_000
+KEYS = 250_000
 #: Rows with passages that are broadcast, at most, each passage counted.
 WANTED = 250_000
 #: Rows with texts or word lists that are handed to Python at once.
