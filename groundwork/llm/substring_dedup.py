@@ -28,13 +28,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import words
 from .components import connected_components
 from .scratch import Scratch
-from .sizes import sized
 
 SHINGLE = 5
 #: Bits of a place that number the words of a text, and one more.
 PLACE = 27
-#: Rows of 16 bytes that are broadcast, at most; for more, the other side is dealt by key.
-KEYS = 250_000
 #: Rows with passages that are broadcast, at most, each passage counted.
 WANTED = 250_000
 #: Rows with texts or word lists that are handed to Python at once.
@@ -176,7 +173,7 @@ def _seeds(size: Lengths):
             ids, flat, lens = _flat(part)
             h, doc, pos = words.windows(flat, lens, size.seed)
             inside = np.flatnonzero(doc[: max(0, len(h) - size.near + 1)] == doc[size.near - 1 :])
-            near = _around(part, lens, "places", size.run - SHINGLE, size.run - size.seed)
+            near = _around(part, lens, "places", size.seed, SHINGLE)
             start = np.cumsum(lens) - lens
             inside = inside[near[start[doc[inside]] + pos[inside]] | near[start[doc[inside]] + pos[inside] + size.near - 1]]
             at = np.unique(_smallest(h, inside, size.near))
@@ -377,11 +374,11 @@ def _shared(tables: Scratch, rows: DataFrame) -> DataFrame:
     """Keys of an open place that a smaller text has too, with their smallest place.  A key's rows are summed up before they move, so it may hold any share of them."""
     open_ = F.when(F.col("at").bitwiseAND(1) == 1, F.col("at"))
     kinds = rows.groupBy("key").agg(F.min("at").alias("low"), F.max(open_).alias("high"))
-    return sized(tables.save(kinds.where(_doc("low") < _doc("high")).select("key", "low")), KEYS)
+    return tables.save(kinds.where(_doc("low") < _doc("high")).select("key", "low"))
 
 
 def _by_text(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(_doc().alias("doc")).agg(F.collect_set("at").alias("places"))
+    return rows.groupBy(_doc().alias("doc")).agg(F.collect_list("at").alias("places"))
 
 
 def _met(tables: Scratch, rows: DataFrame) -> DataFrame:
