@@ -27,33 +27,45 @@ from .scratch import Scratch
 
 #: Words whose ids a worker keeps.
 KEPT = 500_000
+#: Bytes of text whose words are looked up at once.
+SLICE = 8 << 20
 #: For each first length of a three-document pattern, so many second lengths are tried.
 SECOND = 24
 ROUNDS = 300
 #: Pieces of one length that are numbered in one task, at most about this many.
-NUMBERED = 1_000_000
+NUMBERED = 2_000
 
 
-#: Punctuation that ends a word after an ASCII letter or digit is tokenized by itself in any case.
-_TAIL = re.compile(rb"(?<=[A-Za-z0-9])[,.;:!?#%&$*|]+(?!\S)")
+#: Punctuation that ends a word after such a letter or an ASCII digit is tokenized by itself in any case.
+_TAIL = b",.;:!?#%&$*|"
+_ENDS = re.compile(rb"(?:[a-zA-Z0-9]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])\Z")
 #: Words of such letters alone are one pre-token each, with one end-of-word token at its end.
 _LETTERS = re.compile("[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
 
 
-def spread(text: bytes) -> list[bytes]:
-    """Words of a text such that its token ids are theirs, one after the other.
+def spread(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of all texts, the number of each word one text after the other, and where each text ends.
 
-    The tokenizer drops white space and no token spans it; it lower-cases, so
-    the case of ASCII texts can go.  Texts that may hold special strings are
-    only cut at white space.
+    The tokenizer drops white space and no token spans it, so the token ids of
+    a text are those of its words; it lower-cases, so the case of ASCII texts
+    can go where they hold no special string.
     """
-    if b"<|" in text:
-        return text.split()
-    return _TAIL.sub(rb" \g<0>", text.lower() if text.isascii() else text).split()
+    plain = [t.lower() if t.isascii() and b"<|" not in t else t for t in texts]
+    offsets = np.r_[0, np.cumsum([len(t) for t in plain])].astype(np.int32)
+    array = pa.StringArray.from_buffers(len(plain), pa.py_buffer(offsets), pa.py_buffer(b"".join(plain)))
+    split = pa.compute.ascii_split_whitespace(array)
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary.cast(pa.binary()).to_pylist(), np.asarray(coded.indices), np.asarray(split.offsets)[1:]
+
+
+def stem(word: bytes) -> bytes:
+    """The word without the punctuation at its end, where the ids of both one after the other are the whole's."""
+    own = word.rstrip(_TAIL)
+    return own if len(own) < len(word) and _ENDS.search(own) and b"<|" not in word else word
 
 
 class WordIds:
-    """Token ids of single words as little-endian bytes; a worker keeps up to KEPT words."""
+    """Token ids of single words as little-endian bytes.  A worker keeps up to KEPT words; beyond, those that came again stay."""
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,32 +76,41 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {b"": b""}
+        self.again: set[bytes] = set()
 
-    def learn(self, found: set[bytes]) -> None:
+    def learn(self, found: list[bytes]) -> None:
         """Make sure that all of these are in ``words``."""
-        if len(self.words) > KEPT:
-            self.words.clear()
-        texts = [(w, w.decode()) for w in found - self.words.keys()]
-        self._joined([x for x in texts if _LETTERS.fullmatch(x[1])])
-        self._each([x for x in texts if x[0] not in self.words])
-
-    def _joined(self, texts: list[tuple[bytes, str]]) -> None:
-        for at in range(0, len(texts), 512):
-            some = texts[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in some)], add_special_tokens=False)[0].ids, "<u4")
+        words_ = self.words
+        if len(words_) > KEPT:
+            words_ = self.words = {w: words_[w] for w in self.again} if len(self.again) < KEPT // 2 else {}
+            words_[b""] = b""
+            self.again = set()
+        new = [w for w in found if w not in words_]
+        self.again.update(found)
+        self.again.difference_update(new)
+        stems = list(map(stem, new))
+        tails = [w[len(x) :] for w, x in zip(new, stems)]
+        whole = [w for w in {*stems, *tails} if w not in words_]
+        self._joined([w for w in whole if _LETTERS.fullmatch(w.decode())])
+        self._each([w for w in whole if w not in words_])
+        for w, x, tail in zip(new, stems, tails):
+            words_[w] = words_[x] + words_[tail]
+
+    def _joined(self, whole: list[bytes]) -> None:
+        for at in range(0, len(whole), 512):
+            some = whole[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
-                data, start = ids.tobytes(), 0
-                for (part, _), end in zip(some, (4 * ends).tolist()):
-                    self.words[part] = data[start:end]
-                    start = end
+                data, stops = ids.tobytes(), (4 * ends).tolist()
+                self.words.update(zip(some, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops))))
 
-    def _each(self, texts: list[tuple[bytes, str]]) -> None:
-        for at in range(0, len(texts), 512):
-            some = texts[at : at + 512]
-            for (part, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False)):
-                self.words[part] = np.array(e.ids, "<u4").tobytes()
+    def _each(self, whole: list[bytes]) -> None:
+        for at in range(0, len(whole), 512):
+            some = whole[at : at + 512]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
 
 
 @functools.lru_cache(1)
@@ -102,13 +123,20 @@ def _pieces(file: str, size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end = _word_ids(file), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for part, texts in words.slices(batch):
-                split = [spread(text) for text in texts]
-                ids_of.learn(set().union(*split))
-                known = ids_of.words
+            for part, texts in words.slices(batch, limit=SLICE):
+                found, place, ends = spread(texts)
+                ids_of.learn(found)
+                own = [ids_of.words[w] for w in found]
+                n = np.fromiter(map(len, own), np.int64, len(own)) // 4
+                each = n[place]
+                total = np.r_[0, np.cumsum(each)]
+                # the ids of all words, gathered from those of the distinct ones
+                at = np.repeat((np.cumsum(n) - n)[place] - total[:-1], each) + np.arange(total[-1])
+                all_ = np.frombuffer(b"".join(own), "<u4")[at].tobytes()
                 row, piece, start, length, crc, data = [], [], [], [], [], []
-                for i, own in enumerate(split):
-                    ids = b"".join(map(known.__getitem__, own)) + end
+                last = 0
+                for i, stop in enumerate((4 * total[ends]).tolist()):
+                    ids, last = all_[last:stop] + end, stop
                     for p, at in enumerate(range(0, len(ids), 4 * size)):
                         cut = ids[at : at + 4 * size]
                         row.append(i)

@@ -56,3 +56,20 @@ def test_plan_covers_the_histogram_and_wastes_little():
         least = sum(k * v for k, v in hist.items()) / size
         assert least <= sequences <= 1.02 * least + 2
         assert len(rows) <= 30 * size
+
+
+def test_words_of_hard_texts():
+    from groundwork.llm.packing import WordIds, spread
+
+    rng = random.Random(15)
+    parts = list("aBcÉéßİıΣσ12.,;:!?#%&$*|<>'-_/\\ \t\n") + ["<|endoftext|>", "<|EndOfText|>", "it's", "don't.", "!!", "...", "\u0301", "\u0307", "H\u0331", "ﬁ", "日本", "\u2028", "\xa0", "é.", "Ünï,", "word|", "a<|b"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 40))) for _ in range(3000)] + ["", " ", "<|startoftext|>."]
+    ids_of = WordIds(FILE)
+    for some in (texts[:1500], texts[1500:], texts[:700]):
+        found, place, ends = spread([t.encode() for t in some])
+        ids_of.learn(found)
+        last = 0
+        for text, end in zip(some, ends.tolist()):
+            got = np.frombuffer(b"".join(ids_of.words[found[i]] for i in place[last:end]), "<u4").tolist()
+            last = end
+            assert got == TOKENIZER.encode(text, add_special_tokens=False).ids, text
