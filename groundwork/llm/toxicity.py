@@ -2,8 +2,8 @@
 
 A linear classifier on the presence of words is trained in numpy from
 confirmed toxic texts and unlabelled texts.  The risk of the negative class is
-estimated from unlabelled texts corrected by the class prior, and kept from
-going far below zero.
+estimated from unlabelled texts corrected by the class prior; where the
+estimate falls below zero, which no risk can, a step goes back up instead.
 """
 
 from __future__ import annotations
@@ -30,12 +30,10 @@ class Settings:
     least_z: float = 4.0
     #: A word must be in this share of the positives, or of the unlabelled.
     least_share: float = 0.02
-    rounds: int = 600
+    rounds: int = 300
     rate: float = 0.05
-    #: Pull towards the first weights.
-    decay: float = 1e-2
-    #: The estimated negative risk may fall below zero by so many times the prior before a step goes back.
-    below: float = 2.0
+    #: Pull of the weights towards zero.
+    decay: float = 1e-4
 
 
 @dataclass
@@ -68,7 +66,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     The positives are texts labelled 1, the unlabelled texts are drawn from
     all that aren't held out, whatever their label; the prior is the share of
-    label 1 among all labels that aren't held out.
+    label 1 among all labels that aren't held out.  Null ids and labels are
+    left out, null texts are empty, copies of a text are one example of each
+    kind, a repeated id counts as toxic if any of its labels is 1; a text is
+    used whole, however long.  Without positives every score is 0; without
+    words that tell the kinds apart every score is the prior.
     """
     tables = Scratch(docs.sparkSession, "toxicity")
     known = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -100,64 +102,50 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     )
     found = chosen.collect()
     names = [r["word"] for r in found]
-    start = first_weights(np.array([r["p"] for r in found], float), np.array([r["u"] for r in found], float), n_p, n_u, prior)
     if not names:
         return Model(bias=float(np.log(prior / (1 - prior))))
     listed = F.array(*[F.lit(n) for n in names]) if len(names) < 200 else None
     kept = F.array_intersect("words", listed) if listed is not None else F.col("words")
     index = {n: i for i, n in enumerate(names)}
     rows = [(r["positive"], [index[w] for w in r["words"] if w in index]) for r in bags.select("positive", kept.alias("words")).toLocalIterator()]
-    w, bias = train(rows, start, prior, settings)
+    w, bias, _ = train(rows, len(names), prior, settings)
     tables.drop(bags)
     return Model({n.encode(): float(x) for n, x in zip(names, w)}, float(bias))
 
 
-def first_weights(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
-    """Log-ratio of each word's rates among positives and negatives, towards 0 by a standard error of either.
-
-    The negatives' rate is the unlabelled rate corrected by the class prior.
-    """
-    rate = p / n_p
-    negative = (u / n_u - prior * rate) / (1 - prior)
-    error_p, error_n = (np.sqrt(p) + 1) / n_p, (np.sqrt(u) + 1) / n_u / (1 - prior) + prior * (np.sqrt(p) + 1) / n_p / (1 - prior)
-    more = np.log(np.maximum(rate - error_p, 1e-9) / (np.maximum(negative, 0) + error_n))
-    less = np.log((rate + error_p) / np.maximum(negative - error_n, 1e-9))
-    return np.where(more > 0, more, np.where(less < 0, less, 0.0))
+def risks(f: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float]:
+    """The risks of both classes for the logistic loss: prior * E_P[l(f)], and E_U[l(-f)] - prior * E_P[l(-f)], which may be below zero."""
+    loss = lambda x: np.logaddexp(0, -x)
+    return prior * loss(f[positive]).mean(), loss(-f[~positive]).mean() - prior * loss(-f[positive]).mean()
 
 
-def train(rows: list[tuple[bool, list[int]]], start: np.ndarray, prior: float, settings: Settings) -> tuple[np.ndarray, float]:
-    """Minimise prior * E_P[l(f)] + max(0, E_U[l(-f)] - prior * E_P[l(-f)]) for the logistic loss l by Adam, in full batches.
+def train(rows: list[tuple[bool, list[int]]], n: int, prior: float, settings: Settings) -> tuple[np.ndarray, float, int]:
+    """Weights of ``n`` words, the intercept, and how many steps the negative risk was corrected in.
 
-    Without the bound, f tends to the log-odds of prior * p(x) / u(x).  The
-    weights begin at ``start``, are pulled back to it, and keep its signs, so
-    words that always come together share their weight.
+    Minimises the positive risk + max(0, the negative risk) by Adam in full
+    batches, from zero on.  Where the negative risk is below zero the step
+    follows its slope upwards, away from learning the unlabelled by heart.
     """
-    n, signs = len(start), np.sign(start)
     positive = np.array([p for p, _ in rows])
     at = np.concatenate([np.array(x, np.int64) for _, x in rows] + [np.empty(0, np.int64)])
     row = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
     each = np.where(positive, 1 / positive.sum(), 1 / (~positive).sum())
     theta = np.zeros(n + 1)
-    theta[:n] = start
     theta[n] = np.log(prior / (1 - prior))
-    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    m, v, corrected = np.zeros(n + 1), np.zeros(n + 1), 0
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
     for step in range(1, settings.rounds + 1):
         f = theta[n] + np.bincount(row, theta[at], minlength=len(rows))
-        as_negative = np.logaddexp(0, f) * each
-        negative = as_negative[~positive].sum() - prior * as_negative[positive].sum()
-        rising = sigmoid(f) * each  # slope of l(-f)
-        slope_negative = np.where(positive, -prior * rising, rising)
-        if negative >= -settings.below * prior:
-            slope = slope_negative - np.where(positive, prior * sigmoid(-f) * each, 0)
-        else:  # the estimate has gone below zero: step back
-            slope = -slope_negative
-        g = np.r_[np.bincount(at, slope[row], minlength=n), slope.sum()] + settings.decay * np.r_[theta[:n] - start, 0]
+        slope = np.where(positive, -prior, 1) * sigmoid(f) * each  # of the negative risk
+        if risks(f, positive, prior)[1] >= 0:
+            slope -= np.where(positive, prior * sigmoid(-f) * each, 0)
+        else:
+            slope, corrected = -slope, corrected + 1
+        g = np.r_[np.bincount(at, slope[row], minlength=n), slope.sum()] + settings.decay * np.r_[theta[:n], 0]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta -= settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        theta[:n] = signs * np.maximum(0, signs * theta[:n])
     f = np.bincount(row, theta[at], minlength=len(rows))
-    return theta[:n], -cut(f, positive, prior)
+    return theta[:n], -cut(f, positive, prior), corrected
 
 
 def cut(f: np.ndarray, positive: np.ndarray, prior: float) -> float:
