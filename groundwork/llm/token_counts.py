@@ -3,12 +3,15 @@
 Each text is cut where no piece of the vocabulary can reach across, distinct
 pre-tokens are laid end to end as one ragged array of symbols, and in every
 round each pre-token merges its own lowest-rank pair, all pre-tokens at once.
+Characters that no piece has side by side part pre-tokens further, so long
+strings of junk are many short sequences.
 The surviving symbols are the tokens.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -20,6 +23,8 @@ from . import words
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
+#: Equal ranks of a sequence that must take turns, from which on a heap merges it.
+LONG = 64
 #: Pre-tokens whose counts a worker keeps.
 KEPT = 300_000
 
@@ -84,13 +89,28 @@ class Merger:
         for p, i in ids.items():
             if len(p) == 1:
                 self.char[ord(p)] = i
+        # Characters that no piece has next to each other part a pre-token into sequences that merge each by itself.
+        letters = sorted({c for p in names for c in p})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[list(map(ord, letters))] = np.arange(1, len(letters) + 1)
+        self.next = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for p in names:
+            for a, b in zip(p, p[1:]):
+                self.next[self.letter[ord(a)], self.letter[ord(b)]] = True
         self.splits = not any(a != SPACE and b == SPACE for p in names for a, b in zip(p, p[1:]))
 
     def counts(self, tokens: list[str]) -> np.ndarray:
         """Number of tokens of each pre-token."""
-        s = self.char[np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32)]
-        q = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-        out = np.zeros(len(tokens), np.int64)
+        code = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32)
+        s, letter = self.char[code], self.letter[code]
+        token = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+        new = np.r_[True, (token[1:] != token[:-1]) | ~self.next[letter[:-1], letter[1:]]][: len(code)]
+        token, q = token[new], np.cumsum(new) - 1
+        return np.bincount(token, self._merged(s, q, len(token)), len(tokens)).astype(np.int64)
+
+    def _merged(self, s: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
+        """Number of tokens of each of ``n`` sequences of symbols."""
+        out = np.zeros(n, np.int64)
         m, r = self._look(s, q, np.arange(len(s)))
         while len(s):
             at = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
@@ -105,6 +125,13 @@ class Merger:
                     break
             hit = r == best
             if (lonely := hit & self.alone[np.maximum(m, 0)]).any():
+                n = np.bincount(q[np.flatnonzero(lonely)], minlength=len(out))
+                if (n[q] > LONG).any():
+                    apart = n[q] > LONG
+                    for k in np.flatnonzero(n > LONG):
+                        out[k] = self._one_by_one(s[q == k])
+                    s, q, m, r = s[~apart], q[~apart], m[~apart], r[~apart]
+                    continue
                 i = np.flatnonzero(lonely)
                 hit[i[np.r_[False, q[i[1:]] == q[i[:-1]]]]] = False
             i = np.flatnonzero(hit)
@@ -120,6 +147,31 @@ class Merger:
             m[at], r[at] = self._look(s, q, at)
         return out
 
+    def _one_by_one(self, s: np.ndarray) -> int:
+        """Number of tokens of one sequence, merged from a heap: for long ones in which equal ranks must take turns from the left."""
+        _, rank = self._look(s, np.zeros(len(s), np.int64), np.arange(len(s)))
+        heap = [(a, i) for i, a in enumerate(rank.tolist()) if a != NONE]
+        heapq.heapify(heap)
+        merged, ranks, n = self.dictionary, self.rank.tolist(), len(s)
+        s, right, left = s.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            a, i = heapq.heappop(heap)
+            j = right[i]
+            if s[i] < 0 or j >= n or (x := merged.get(s[i] << 32 | s[j])) is None or ranks[x] != a:
+                continue  # one of the two has been merged since
+            s[i], s[j], right[i] = x, -1, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+            for k in (left[i], i):
+                if k >= 0 and right[k] < n and (x := merged.get(s[k] << 32 | s[right[k]])) is not None:
+                    heapq.heappush(heap, (ranks[x], k))
+        return sum(1 if x < self.n else x - self.n for x in s if x >= 0)
+
+    @functools.cached_property
+    def dictionary(self) -> dict[int, int]:
+        there = self.pairs.keys >= 0
+        return dict(zip(self.pairs.keys[there].tolist(), self.pairs.values[there].tolist()))
+
     def _look(self, s: np.ndarray, q: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Merged symbol and rank of the pairs that start at ``at``."""
         m, r = np.full(len(at), -1, np.int32), np.full(len(at), NONE, np.int32)

@@ -1,3 +1,4 @@
+import base64
 import random
 
 import public_tokenizers
@@ -26,7 +27,8 @@ def test_counts_match_the_library(text):
 
 def test_long_runs_and_words():
     rng = random.Random(1)
-    for text in ("a" * 50_000, " " * 3_001, "ab" * 20_000, "".join(rng.choice("etaoinshr") for _ in range(30_000)), "<s></s><unk> \u2581x"):
+    junk = base64.b64encode(rng.randbytes(300_000)).decode()
+    for text in (junk, " " * 60_000, "x" + " " * 9_000 + "y  " * 3_000, "=-" * 20_000, "a" * 50_000, " " * 3_001, "ab" * 20_000, "".join(rng.choice("etaoinshr") for _ in range(30_000)), "<s></s><unk> \u2581x"):
         assert count(text) == len(SP.encode(text))
 
 
