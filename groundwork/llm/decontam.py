@@ -1,8 +1,8 @@
 """Benchmark decontamination by spaced seeds: fixed masks that ignore some word positions.
 
 Hashes of the masked words of test items and training texts are joined;
-around each hit the two texts are aligned and the best overlap that tolerates
-substituted words is measured.
+around each hit the two texts are aligned and the overlaps that tolerate
+substituted words are measured.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words
+from .rows import keyed
 from .scratch import Scratch
 from .sizes import sized
 
@@ -118,6 +119,17 @@ def overlap(same: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(same[start:end].sum())
 
 
+def stretches(same: np.ndarray, least: int, identity: float) -> Iterator[tuple[int, int, int]]:
+    """The best stretch and, as long as they have ``least`` equal words and ``identity`` of theirs equal, the best on either side of one found."""
+    parts = [(0, len(same))]
+    while parts:
+        lo, hi = parts.pop()
+        s, e, n = overlap(same[lo:hi])
+        if e > s and n >= least and n >= identity * (e - s):
+            yield lo + s, lo + e, n
+            parts += [(lo, lo + s), (lo + e, hi)]
+
+
 def _verify(least: int, identity: float):
     @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,8 +140,7 @@ def _verify(least: int, identity: float):
             for i, (doc, item, shift, lo) in enumerate(zip(*(get(c).to_pylist() for c in ("doc", "item", "shift", "lo")))):
                 a, b = ours[i].values.to_numpy(), theirs[i].values.to_numpy()
                 start, stop = max(lo, shift), min(lo + len(a), shift + len(b))
-                s, e, n = overlap(a[start - lo : stop - lo] == b[start - shift : stop - shift])
-                if e > s and n >= min(least, math.ceil(identity * len(b))) and n >= identity * (e - s):
+                for s, e, n in stretches(a[start - lo : stop - lo] == b[start - shift : stop - shift], min(least, math.ceil(identity * len(b))), identity):
                     rows.append((doc, item, start + s, start + s - shift, e - s, n))
             columns = list(zip(*rows)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_equal"])
@@ -170,6 +181,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, identity: f
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without texts that hold part of a test item."""
-    hit = overlaps(docs, benchmark, **how).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(sized(hit), docs["doc_id"] == F.col("__id"), "left_anti")
+    """The rows of ``docs`` (columns ``doc_id`` and ``text`` among them) without texts that hold part of a test item.
+
+    Rows without an id and rows that share one are each judged by their own
+    text; null and empty texts stay; equal rows go or stay together.
+    """
+    rows, key = keyed(docs)
+    hit = overlaps(rows, benchmark, id_col=key, **how).select(F.col("doc_id").alias("__hit")).distinct()
+    return rows.join(sized(hit), rows[key] == F.col("__hit"), "left_anti").select(*(rows[c] for c in docs.columns))

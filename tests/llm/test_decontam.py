@@ -60,3 +60,24 @@ def test_empty_tables(spark):
     assert overlaps(docs(spark, [(1, "a b c")]), none).collect() == []
     assert overlaps(docs(spark, []), none).collect() == []
     assert decontaminate(docs(spark, [(1, "a b c")]), none).count() == 1
+
+
+def test_every_stretch_of_an_alignment(spark):
+    rng = random.Random(18)
+    item = prose(rng, 110)
+    text = prose(rng, 20) + item[:40] + prose(rng, 40) + item[80:] + prose(rng, 15)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = overlaps(docs(spark, [(5, " ".join(text))]), bench).collect()
+    assert sorted((r["doc_start"], r["item_start"], r["n_words"], r["n_equal"]) for r in found) == [(20, 0, 40, 40), (100, 80, 30, 30)]
+
+
+def test_repeated_ids_long_texts_and_clashing_names(spark):
+    rng = random.Random(19)
+    item, clean = prose(rng, 30), " ".join(prose(rng, 50_000))
+    leak = " ".join(prose(rng, 10) + item)
+    rows = [(3, leak), (3, clean), (None, leak), (None, "no leak"), (4, clean + " " + leak), (5, None), (6, ""), (3, leak)]
+    df = spark.createDataFrame([(i, t, 0, "y") for i, t in rows], "doc_id long, text string, seed int, __key string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item))], "item_id long, text string")
+    kept = decontaminate(df, bench)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, clean), (None, "no leak"), (5, None), (6, "")], key=repr)
