@@ -22,7 +22,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     seen = _mark(e)
     while seen[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # written, so that both sides of the join are plain tables and a hot id's edges can be split
+        low = lows = tables.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -33,7 +34,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .distinct()
         )
         new = tables.save(small)
-        tables.drop(e)
+        tables.drop(e, lows)
         e, last, seen = new, seen, _mark(new)
         if last == seen:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,12 +14,13 @@ ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of our own if the session runs on one machine only (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + os.path.join(tempfile.gettempdir(), "groundwork-shared")
-        spark.conf.set("groundwork.scratch.dir", where)
-    return where
+    if where:
+        return where
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "groundwork-shared")
 
 
 class Scratch:

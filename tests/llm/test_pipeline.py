@@ -99,3 +99,48 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, root).select("doc_id", "piece", "length", "ids_crc32").collect()), key=repr) == sorted(
         ((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed), key=repr
     )
+
+
+def test_hard_rows_in_every_stage(spark, tmp_path):
+    rng = random.Random(12)
+
+    def prose(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+
+    root, passage, item = str(tmp_path), prose(60), prose(30)
+    copy, long_ = " ".join(prose(80)), " ".join(prose(40_000))
+    rows = [(1, copy), (1, copy), (2, copy), (None, copy), (None, copy), (3, " ".join(prose(70) + passage)), (3, " ".join(prose(90))), (None, " ".join(passage + prose(20)))]
+    rows += [(4, " ".join(prose(5) + item)), (None, " ".join(prose(6) + item)), (5, long_), (6, None), (6, None), (7, ""), (8, "scum " + " ".join(prose(9))), (None, "scum and more"), (9, " ".join(passage + prose(50)))]
+    rows += [(100 + i, " ".join(prose(12) + ["scum"] * (i % 3 == 0))) for i in range(120)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, __key int, component int, score int, length int"
+    spark.createDataFrame([(i, t, "en", "s", None, 1, 2, 3, 4) for i, t in rows], columns).write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(100 + i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    df = spark.read.parquet(f"{root}/documents.parquet")
+    left = []
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        made = stage(spark, df, root)
+        assert made.columns == df.columns
+        made.write.parquet(f"{root}/{n}")
+        df = spark.read.parquet(f"{root}/{n}")
+        left.append([(r["doc_id"], r["text"]) for r in df.collect()])
+    order = lambda x: sorted(x, key=repr)
+    assert order(left[0]) == order((i, t) for i, t in rows if "scum" not in (t or ""))
+    near, copies = [x for x in left[0] if x[1] != copy], [x for x in left[1] if x[1] == copy]
+    assert copies == [(2, copy)] or copies == [(1, copy)]
+    assert order(x for x in left[1] if x[1] != copy) == order(near)
+    cut = {i: t for i, t in left[2]}
+    # the smallest id that has the passage keeps it
+    assert sum(" ".join(passage) in (t or "") for _, t in left[2]) == 1 and any(i == 3 and " ".join(passage) in t for i, t in left[2])
+    assert len(left[2]) == len(left[1]) and cut[5] == long_ and cut[7] == "" and cut[6] is None
+    assert order(x for x in left[3]) == order(x for x in left[2] if " ".join(item) not in (x[1] or ""))
+    packed = corpus_pipeline.STAGES[-1][1](spark, df, root).collect()
+    assert {r["doc_id"] for r in packed} == {i for i, _ in left[3]} and sum(r["piece"] == 0 for r in packed) == len(left[3])
+
+
+def test_empty_tables(spark, tmp_path):
+    root = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, root).collect() == []
