@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .scratch import Scratch
 
-#: Centroids of each half.
-CENTROIDS = 64
+#: Centroids of each half, at most; no more than a quarter of the entries.
+CENTROIDS = 128
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 16_384
 ROUNDS = 12
@@ -108,7 +108,7 @@ def _visits(shared, enough: int):
                         row.append(r)
                         tile.append(t // TOGETHER)
                         mask.append(np.packbits(bits[t : t + TOGETHER]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(tile, pa.int32()), pa.array(mask, pa.binary())], ["query_id", "query", "tile", "mask"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(row, pa.int64())) for i in range(3)), pa.array(tile, pa.int32()), pa.array(mask, pa.binary())], ["query_id", "query", "twin", "tile", "mask"])
 
     return run
 
@@ -116,28 +116,30 @@ def _visits(shared, enough: int):
 def _rank(k: int, n_two: int):
     def run(key, queries: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(entries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "twin": [], "vec_id": [], "score": []})
         q, e = np.stack(queries["query"]).astype(np.float64), np.stack(entries["embedding"]).astype(np.float64)
         ids = entries["vec_id"].to_numpy()
         cell = (entries["c1"].to_numpy() % TOGETHER) * n_two + entries["c2"].to_numpy()
         scores = q @ e.T
+        # rounding of a product is far below this share of the norms
+        slack = 1e-12 * np.sqrt((q * q).sum(1)) * np.sqrt((e * e).sum(1).max())
         out = []
-        for i, (own, mask) in enumerate(zip(queries["query_id"], queries["mask"])):
+        for i, (own, twin, mask) in enumerate(zip(queries["query_id"], queries["twin"], queries["mask"])):
             seen = np.unpackbits(np.frombuffer(mask, np.uint8))[cell].astype(bool) & (ids != own)
             at = np.flatnonzero(seen)
             if len(at) > k:
                 s = scores[i, at]
                 limit = np.partition(s, len(s) - k)[len(s) - k]
-                at = at[s >= limit - 1e-9 * max(1.0, abs(limit))]
+                at = at[s >= limit - slack[i]]
             exact = (q[i] * e[at]).sum(1)  # the same sum wherever a vector stands
             best = np.lexsort((ids[at], -exact))[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": ids[at][best], "score": exact[best]}))
+            out.append(pd.DataFrame({"query_id": own, "twin": twin, "vec_id": ids[at][best], "score": exact[best]}))
         return pd.concat(out)
 
     return run
 
 
-def search(vectors: DataFrame, queries, k: int = 20, share: float = 0.5, least: int = 4_096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 20, share: float = 0.4, least: int = 200, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` found nearest of every row that the condition ``queries`` picks.
 
     Nearness is the inner product in double precision, ties go to the smaller
@@ -146,7 +148,9 @@ def search(vectors: DataFrame, queries, k: int = 20, share: float = 0.5, least:
     entries than that the search is exact.  Vectors that are null, zero or of
     another length than most (the longer of equals), or that hold null or
     non-finite components, take no part, nor do null ids.  Every other row is indexed;
-    rows that repeat an id are entries of their own.  Other columns are ignored.
+    rows that repeat an id are entries of their own, and queries of their own
+    where their vectors differ.  Ties beyond the k-th go by id; an empty table
+    gives no rows.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     tables = Scratch(spark, "ann")
@@ -161,7 +165,8 @@ def search(vectors: DataFrame, queries, k: int = 20, share: float = 0.5, least:
     rows = rows.where(F.size(v) == n)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toPandas()["embedding"]
     x = np.stack(sample).astype(np.float64)
-    books = kmeans(x[:, : (n + 1) // 2], CENTROIDS), kmeans(x[:, (n + 1) // 2 :], CENTROIDS)
+    k_means = max(1, min(CENTROIDS, len(x) // 4))
+    books = kmeans(x[:, : (n + 1) // 2], k_means), kmeans(x[:, (n + 1) // 2 :], k_means)
     kind = rows.schema["embedding"].dataType.elementType.simpleString()
     index = tables.save(rows.mapInArrow(_assign(spark.sparkContext.broadcast(books)), f"vec_id long, embedding array<{kind}>, c1 int, c2 int"))
     counts = np.zeros((len(books[0]), len(books[1])), np.int64)
@@ -169,7 +174,8 @@ def search(vectors: DataFrame, queries, k: int = 20, share: float = 0.5, least:
         counts[r["c1"], r["c2"]] = r["count"]
     enough = max(least, math.ceil(share * int(counts.sum())))
     asked = index.where(queries).select("vec_id", "embedding").withColumnRenamed("vec_id", "query_id").withColumnRenamed("embedding", "query")
-    visits = asked.mapInArrow(_visits(spark.sparkContext.broadcast((books, counts)), enough), f"query_id long, query array<{kind}>, tile int, mask binary")
+    asked = asked.withColumn("twin", F.xxhash64("query")).dropDuplicates(["query_id", "twin"])
+    visits = asked.mapInArrow(_visits(spark.sparkContext.broadcast((books, counts)), enough), f"query_id long, query array<{kind}>, twin long, tile int, mask binary")
 
     # Each tile of cells is dealt in blocks of entries and of queries, and every pair of blocks is a task's work.
     tiles = math.ceil(len(books[0]) / TOGETHER)
@@ -179,6 +185,6 @@ def search(vectors: DataFrame, queries, k: int = 20, share: float = 0.5, least:
     left = visits.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("eb", F.explode(F.sequence(F.lit(0), e_blocks - 1)))
     entries = index.withColumn("tile", F.floor(F.col("c1") / TOGETHER).cast("int"))
     entries = entries.withColumn("eb", F.pmod(F.xxhash64("vec_id"), e_blocks).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    near = left.groupBy("tile", "qb", "eb").cogroup(entries.groupBy("tile", "qb", "eb")).applyInPandas(_rank(k, len(books[1])), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    near = left.groupBy("tile", "qb", "eb").cogroup(entries.groupBy("tile", "qb", "eb")).applyInPandas(_rank(k, len(books[1])), "query_id long, twin long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "twin").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -35,7 +35,7 @@ def test_exact_where_all_entries_are_visited(spark, monkeypatch):
     monkeypatch.setattr(ann, "ENTRIES", 150)
     monkeypatch.setattr(ann, "QUERIES", 40)
     rows = vectors(900, 16) + [(1000 + i, [0.5] * 16) for i in range(60)]
-    got, want = run(spark, rows, k=7), brute(rows, 7, 5)
+    got, want = run(spark, rows, k=7, share=1.0), brute(rows, 7, 5)
     assert got.keys() == want.keys()
     for q in want:
         assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
@@ -43,10 +43,18 @@ def test_exact_where_all_entries_are_visited(spark, monkeypatch):
 
 
 def test_recall(spark):
-    rows = vectors(6000, 64)
-    got, want = run(spark, rows, every=40, k=20, least=100), brute(rows, 20, 40)
-    hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
-    assert hit / (20 * len(want)) >= 0.9
+    for n, every in ((500, 5), (6000, 40)):
+        rows = vectors(n, 64)
+        got, want = run(spark, rows, every=every, k=20), brute(rows, 20, every)
+        hit = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
+        assert 0.9 <= hit / (20 * len(want)) < 1
+
+
+def test_queries_that_share_an_id(spark):
+    rows = vectors(80, 8) + [(5, [1.0] + [0.0] * 7), (5, [1.0] + [0.0] * 7)]
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)
+    got = search(df, F.col("vec_id") == 5, k=3, share=1.0).collect()
+    assert sorted(r["rank"] for r in got) == [1, 1, 2, 2, 3, 3] and all(r["vec_id"] != 5 for r in got)
 
 
 def test_odd_rows(spark):
