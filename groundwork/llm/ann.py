@@ -26,6 +26,8 @@ SAMPLE = 16_384
 ROUNDS = 12
 #: First-half centroids whose cells share a tile.
 TOGETHER = 8
+#: Queries whose cells one task finds, about.
+TRAVERSED = 128
 #: Entries and queries of one task, about.
 ENTRIES, QUERIES = 8_192, 2_048
 
@@ -174,13 +176,15 @@ def search(vectors: DataFrame, queries, k: int = 20, share: float = 0.4, least:
         counts[r["c1"], r["c2"]] = r["count"]
     enough = max(least, math.ceil(share * int(counts.sum())))
     asked = index.where(queries).select("vec_id", "embedding").withColumnRenamed("vec_id", "query_id").withColumnRenamed("embedding", "query")
-    asked = asked.withColumn("twin", F.xxhash64("query")).dropDuplicates(["query_id", "twin"])
+    asked = tables.save(asked.withColumn("twin", F.xxhash64("query")).dropDuplicates(["query_id", "twin"]))
+    n_asked = asked.count()
+    asked = asked.repartition(max(1, math.ceil(n_asked / TRAVERSED)))
     visits = asked.mapInArrow(_visits(spark.sparkContext.broadcast((books, counts)), enough), f"query_id long, query array<{kind}>, twin long, tile int, mask binary")
 
     # Each tile of cells is dealt in blocks of entries and of queries, and every pair of blocks is a task's work.
     tiles = math.ceil(len(books[0]) / TOGETHER)
     per_tile = [max(1, math.ceil(int(counts[t * TOGETHER : (t + 1) * TOGETHER].sum()) / ENTRIES)) for t in range(tiles)]
-    q_blocks = max(1, math.ceil(asked.count() / QUERIES))
+    q_blocks = max(1, math.ceil(n_asked / QUERIES))
     e_blocks = F.element_at(F.array(*map(F.lit, per_tile)), F.col("tile") + 1)
     left = visits.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("eb", F.explode(F.sequence(F.lit(0), e_blocks - 1)))
     entries = index.withColumn("tile", F.floor(F.col("c1") / TOGETHER).cast("int"))
