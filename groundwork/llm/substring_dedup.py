@@ -374,7 +374,7 @@ def _shared(tables: Scratch, rows: DataFrame) -> DataFrame:
     """Keys of an open place that a smaller text has too, with their smallest place.  A key's rows are summed up before they move, so it may hold any share of them."""
     open_ = F.when(F.col("at").bitwiseAND(1) == 1, F.col("at"))
     kinds = rows.groupBy("key").agg(F.min("at").alias("low"), F.max(open_).alias("high"))
-    return tables.save(kinds.where(_doc("low") < _doc("high")).select("key", "low"))
+    return tables.save(kinds.where(_doc("low") < _doc("high")).select("key", "low")).hint("shuffle_hash")  # far fewer than the rows, which need no sorting then
 
 
 def _by_text(rows: DataFrame) -> DataFrame:
