@@ -510,7 +510,7 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 def _islands(met: DataFrame, size: Lengths) -> DataFrame:
     """What runs met make up: those that follow each other, or are near with the same shift.  Where words repeat over and over, shifts vary, and ``shift`` is null."""
-    order = Window.partitionBy("doc", "kept").orderBy("pos")
+    order = Window.partitionBy("doc", "kept").orderBy("pos", "shift")
     before = F.lag(F.struct("pos", "shift")).over(order)
     step = F.col("pos") - before["pos"]
     rows = _pairs(met).withColumn("new", F.coalesce((step > 1) & ((step > size.run) | (before["shift"] != F.col("shift"))), F.lit(True)))
