@@ -46,15 +46,31 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``question_id, relevant_doc_ids``: documents that hold the item's text, met on the hash of its first words."""
-    first = 4
-    q = questions(spark, sf_dir).withColumn("w", T.words("question")).where(F.size("w") >= first)
-    q = q.select("question_id", "question", F.xxhash64(F.slice("w", 1, first)).alias("h"))
-    d = corpus(spark, sf_dir).select("doc_id", T.words("text").alias("w")).where(F.size("w") >= first)
-    at = F.sequence(F.lit(1), F.size("w") - (first - 1))
-    d = d.select("doc_id", F.explode(F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.slice("w", i, F.lit(first)))))).alias("h"))
-    met = q.join(d, "h").select("question_id", "question", "doc_id").distinct()
-    held = met.join(corpus(spark, sf_dir).select("doc_id", "text"), "doc_id").where(F.contains("text", "question"))
+    """``question_id, relevant_doc_ids``: documents that hold the item's text.
+
+    An item may begin and end inside a word of a document; the words between
+    stand in it as they are, so items and documents meet on the hash of up to
+    four of them.  Items of fewer than three words meet all documents.
+    """
+    q = questions(spark, sf_dir).withColumn("w", T.words("question"))
+    n = F.least(F.size("w") - 2, F.lit(4))
+    long_ = q.where(F.size("w") > 2).select("question_id", "question", n.alias("n"), F.xxhash64(F.slice("w", F.lit(2), n)).alias("h"))
+    docs = corpus(spark, sf_dir).select("doc_id", "text")
+    sizes = [r["n"] for r in long_.select("n").distinct().collect()]  # four at most
+    words = docs.select("doc_id", T.words("text").alias("w"))
+
+    def hashes(n: int):
+        at = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        return F.when(F.size("w") >= n, F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", i, F.lit(n))).alias("h"))))
+
+    held = spark.createDataFrame([], "question_id string, doc_id string")
+    if sizes:
+        runs = F.array_distinct(F.flatten(F.array_compact(F.array(*map(hashes, sizes)))))
+        met = long_.join(words.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.n", "r.h"), ["n", "h"]).select("question_id", "question", "doc_id").distinct()
+        held = met.join(docs, "doc_id").where(F.contains("text", "question")).select("question_id", "doc_id")
+    short = q.where(F.size("w") <= 2).select("question_id", "question")
+    if not short.isEmpty():
+        held = held.unionByName(docs.join(short, F.contains("text", "question")).select("question_id", "doc_id"))
     found = held.groupBy("question_id").agg(F.array_sort(F.collect_set("doc_id")).alias("relevant_doc_ids"))
     return questions(spark, sf_dir).join(found, "question_id", "left").withColumn("relevant_doc_ids", F.coalesce("relevant_doc_ids", F.array().cast("array<string>")))
 

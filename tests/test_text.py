@@ -39,7 +39,7 @@ def test_tokens_words_sentences(spark):
 
 
 def test_citations(spark):
-    rows = [("uses [1] and [2] and again [1] and bogus [9]", [1, 2]), ("", []), ("[0][3][99999999999999999999]", []), ("[2] [1]", [2, 1])]
+    rows = [("Tides follow the moon [2], storms the sun [1][2]; see also [7].", [2, 1]), ("", []), ("[0][3][99999999999999999999]", []), ("[2] [1]", [2, 1])]
     df = spark.createDataFrame([(t,) for t, _ in rows], "t string").withColumn("ids", F.array(F.lit("x"), F.lit("y")))
     got = df.select(T.citations("t", 2).alias("n"), T.cited("t", "ids").alias("c"), T.strip_citations("t").alias("p")).collect()
     assert [r["n"] for r in got] == [n for _, n in rows]
