@@ -99,7 +99,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(own)))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of each language: ``lang, rank, phrase, a, l, r, n, score``."""
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"), least=100, first=2000)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (op1_inverted_multi_index, op2_token_counts, op3_license_scan, op4_sharding, op5_toxicity, op6_ngram_jaccard_join, op7_decontamination, op8_substring_dedup, op9_best_fit_packing, op10_chat_formatting)
+    for q in (op1_inverted_multi_index, op2_token_counts, op3_license_scan, op4_sharding, op5_toxicity, op6_ngram_jaccard_join, op7_decontamination, op8_substring_dedup, op9_best_fit_packing, op10_chat_formatting, op12_phrase_collocations)
 }

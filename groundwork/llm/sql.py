@@ -83,8 +83,31 @@ SELECT f.doc_id, f.path, coalesce(ow.license_id, ih.license_id) AS license_id, c
 FROM f LEFT JOIN ow USING (path) LEFT JOIN ih ON ih.folder = regexp_replace(f.path, '/?[^/]*$', '')
 """
 
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+     q AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+     w AS (SELECT lang, id, unnest(w) AS w1, generate_subscripts(w, 1) AS pos FROM q),
+     h AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4, lead(w1, 4) OVER o AS w5 FROM w WINDOW o AS (PARTITION BY id ORDER BY pos)),
+     g AS (SELECT lang, 1 AS k, w1 AS phrase FROM h UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM h UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM h
+           UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM h UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM h),
+     f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g WHERE phrase IS NOT NULL GROUP BY ALL),
+     n AS (SELECT lang, sum(f)::bigint AS n FROM f WHERE k = 1 GROUP BY lang),
+     c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 100),
+     i AS (SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda s: array_to_string(w[s:s + m - 1], ' '))))) AS phrase FROM c WHERE k >= 3),
+     b AS (SELECT lang, phrase, max(a) AS within FROM i GROUP BY ALL),
+     d AS (SELECT c.* FROM c LEFT JOIN b USING (lang, phrase) WHERE within IS NULL OR 100 * within < 100 * a),
+     x AS MATERIALIZED (SELECT d.*, cut, array_to_string(w[:cut], ' ') AS p1, array_to_string(w[cut + 1:], ' ') AS p2 FROM d, unnest(range(1, k)) t(cut)),
+     y AS MATERIALIZED (SELECT x.*, f.f AS l FROM x JOIN f ON f.lang = x.lang AND f.phrase = x.p1),
+     z AS MATERIALIZED (SELECT y.*, f.f AS r FROM y JOIN f ON f.lang = y.lang AND f.phrase = y.p2),
+     s AS (SELECT z.lang, z.phrase, a, cut, l, r, n, (1000::hugeint * a * n // (l::hugeint * r))::bigint AS score FROM z JOIN n USING (lang)),
+     o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM s) WHERE best = 1),
+     t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o)
+SELECT lang, rank, phrase, a, l, r, n, score FROM t WHERE rank <= 2000
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": LICENSES,
     "op6_ngram_jaccard_join": JACCARD,
     "op10_chat_formatting": CHAT,
+    "op12_phrase_collocations": PHRASES,
 }
