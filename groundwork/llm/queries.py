@@ -99,6 +99,13 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(turns.unionByName(own)))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: ``page_id, url, text, n_chars``."""
+    from .html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 best collocations of each language: ``lang, rank, phrase, a, l, r, n, score``."""
     from .collocations import collocations
@@ -108,5 +115,5 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (op1_inverted_multi_index, op2_token_counts, op3_license_scan, op4_sharding, op5_toxicity, op6_ngram_jaccard_join, op7_decontamination, op8_substring_dedup, op9_best_fit_packing, op10_chat_formatting, op12_phrase_collocations)
+    for q in (op1_inverted_multi_index, op2_token_counts, op3_license_scan, op4_sharding, op5_toxicity, op6_ngram_jaccard_join, op7_decontamination, op8_substring_dedup, op9_best_fit_packing, op10_chat_formatting, op11_html_extraction, op12_phrase_collocations)
 }

@@ -105,9 +105,23 @@ WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_
 SELECT lang, rank, phrase, a, l, r, n, score FROM t WHERE rank <= 2000
 """
 
+_BLOCK = r"</?(?:p|h[1-6]|div|ul|ol|li|table|tr|td|section|blockquote|pre)(?:\s[^>]*)?>"
+_DECODED = "x"
+for _name, _char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"), ("&amp", "&")):
+    _DECODED = f"replace({_DECODED}, {_q(_name)}, {_q(_char)})"
+
+#: These tables' pages hold their text in one ``article`` element, which says what the cut must find.
+PAGES = rf"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1) AS html FROM pages),
+     b AS (SELECT page_id, url, list_transform(regexp_split_to_array(html, '{_BLOCK}'), lambda x: trim(regexp_replace({_DECODED.replace("(x", "(regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g')", 1)}, '\s+', ' ', 'g'))) AS b FROM a),
+     t AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM t
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": LICENSES,
     "op6_ngram_jaccard_join": JACCARD,
     "op10_chat_formatting": CHAT,
+    "op11_html_extraction": PAGES,
     "op12_phrase_collocations": PHRASES,
 }
