@@ -22,18 +22,30 @@ def _place(token: str, dim: int) -> tuple[int, float]:
     return h % dim, 1.0 if h >> 63 else -1.0
 
 
-def embed_one(text: str | None, dim: int) -> np.ndarray:
-    out = np.zeros(dim, np.float32)
-    found = [_place(t, dim) for t in _TOKEN.findall((text or "").lower())]
+@functools.lru_cache(1 << 18)
+def _md5_place(token: str, dim: int) -> tuple[int, float]:
+    """Bucket and sign from md5, as ``embed_md5`` has them."""
+    h = hashlib.md5(token.encode()).hexdigest()
+    return int(h[:15], 16) % dim, 1.0 if h[15] >= "8" else -1.0
+
+
+def embed_one(text: str | None, dim: int, place=_place, kind=np.float32) -> np.ndarray:
+    out = np.zeros(dim, kind)
+    found = [place(t, dim) for t in _TOKEN.findall((text or "").lower())]
     if found:
         bucket, sign = zip(*found)
-        np.add.at(out, np.array(bucket), np.array(sign, np.float32))
+        np.add.at(out, np.array(bucket), np.array(sign, kind))
         norm = float(np.linalg.norm(out))
         if norm > 0:
             out /= norm
     return out
 
 
+def md5_matrix(texts: list[str | None], dim: int) -> np.ndarray:
+    """A row of ``embed_md5`` for each text, in double precision."""
+    return np.stack([embed_one(t, dim, _md5_place, float) for t in texts]) if texts else np.zeros((0, dim))
+
+
 def embed(text: Column, dim: int) -> Column:
     """Unit vector of a text (zero without tokens); blake2b isn't among the built-in functions."""
     if dim <= 0:

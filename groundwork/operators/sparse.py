@@ -1,8 +1,16 @@
-"""BM25 over an inverted index."""
+"""BM25 over an inverted index.
+
+Postings are counted inside a chunk's row, so a corpus is dealt once, by term
+and block.  A stored index keeps lists: a row holds one term's postings in one
+block of neighbouring chunks with the largest count and the shortest length,
+which bound what the term can add to any chunk of the block (block-max
+indexes, Ding and Suel, 2011).  Lists hold counts, not weights, so they stay
+right when the corpus and its statistics grow.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
 from .ranking import by_score, top_k
@@ -10,30 +18,124 @@ from .ranking import by_score, top_k
 # Fixed values of Okapi BM25; a negative idf becomes EPSILON times the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
+#: Chunks of a block.
+BLOCK = 128
+#: Blocks of a question that are scored first, to learn what its k-th chunk scores at least.
+SEEDS = 4
+#: Up to so many asked terms are handed to the reader by name; more are joined.
+NAMED = 500
+#: Up to so many asked terms are broadcast.
+BROADCAST = 1_000_000
+_CHUNK = ("chunk_id", "doc_id", "doc_seq", "ordinal")
 
-def build(chunks: DataFrame) -> dict[str, DataFrame]:
-    """``postings`` with each term's weight in its chunk, ``term_stats`` and the one row of ``corpus_stats``."""
-    split = chunks.select("chunk_id", "doc_id", "doc_seq", "ordinal", tokens("text").alias("t"))
-    length = F.size("t")
-    whole = split.agg(F.count("*").alias("n"), F.avg(length).alias("avgdl"))
-    tf = split.select("chunk_id", "doc_id", "doc_seq", "ordinal", length.alias("dl"), F.explode("t").alias("term"))
-    tf = tf.groupBy("chunk_id", "doc_id", "doc_seq", "ordinal", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+
+def frequencies(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, doc_id, doc_seq, ordinal, block, dl, term, tf``; runs of the sorted tokens are counted within the row, so nothing is shuffled."""
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1)
+    rows = chunks.select(*_CHUNK, block.alias("block"), F.array_sort(tokens("text")).alias("s")).where(F.size("s") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
+    rows = rows.withColumn("at", begins)
+    runs = F.transform("at", lambda i, j: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("at", j + 1), F.size("s")) - i).cast("long").alias("tf")))
+    return rows.select(*_CHUNK, "block", F.size("s").alias("dl"), F.explode(runs).alias("r")).select(*_CHUNK, "block", "dl", "r.term", "r.tf")
+
+
+def lists(tf: DataFrame) -> DataFrame:
+    """``term, block, n, words, max_tf, min_dl, postings``: a row for each term of a block."""
+    posting = F.struct("chunk_id", "doc_id", "doc_seq", "ordinal", "tf", "dl")
+    return tf.groupBy("term", "block").agg(
+        F.count("*").alias("n"), F.sum("tf").alias("words"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(posting).alias("postings")
+    )
+
+
+def statistics(df: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``term_stats`` and the one row of ``corpus_stats`` from ``term, df`` and the one row ``n, avgdl``."""
     raw = df.crossJoin(F.broadcast(whole)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # whole is one row
     mean = raw.agg(F.avg("raw").alias("avg_idf"))
     stats = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw")).alias("idf"))
-    corpus = whole.crossJoin(F.broadcast(mean))
-    saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    postings = tf.join(stats.select("term", "idf"), "term").crossJoin(F.broadcast(whole.select("avgdl")))
-    postings = postings.select("term", "chunk_id", "doc_id", "doc_seq", "ordinal", "tf", (F.col("idf") * saturation).alias("weight"))
-    return {"postings": postings, "term_stats": stats, "corpus_stats": corpus}
+    return stats, whole.crossJoin(F.broadcast(mean))
+
+
+def saturation(tf: str, dl: str, avgdl: Column) -> Column:
+    """Grows with the count and falls with the length."""
+    return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / avgdl))
+
+
+def weighted(tf: DataFrame, stats: DataFrame, whole: DataFrame) -> DataFrame:
+    """``postings``: each term's weight in its chunk."""
+    rows = tf.join(stats.select("term", "idf"), "term").crossJoin(F.broadcast(whole.select("avgdl")))
+    return rows.select("term", *_CHUNK, "tf", (F.col("idf") * saturation("tf", "dl", F.col("avgdl"))).alias("weight"))
+
+
+def build(chunks: DataFrame) -> dict[str, DataFrame]:
+    """Lazy tables: ``frequencies``, ``postings``, ``term_stats``, ``corpus_stats``."""
+    whole = chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens("text"))).alias("avgdl"))
+    tf = frequencies(chunks)
+    stats, corpus = statistics(tf.groupBy("term").agg(F.count("*").alias("df")), whole)
+    return {"frequencies": tf, "postings": weighted(tf, stats, whole), "term_stats": stats, "corpus_stats": corpus}
 
 
-def scores(questions: DataFrame, postings: DataFrame) -> DataFrame:
-    """``question_id, chunk_id, doc_seq, ordinal, score`` of chunks that share a term; a repeated question term counts each time."""
+def stored(found: DataFrame, df: DataFrame, sizes: DataFrame) -> dict[str, DataFrame]:
+    """The same tables from stored ``lists``, ``term, df`` and ``n, words``, which may come in parts (a growing index)."""
+    whole = sizes.agg(F.sum("n").alias("n"), (F.sum("words") / F.nullif(F.sum("n"), F.lit(0))).alias("avgdl"))
+    stats, corpus = statistics(df.groupBy("term").agg(F.sum("df").alias("df")), whole)
+    flat = found.select("term", F.explode("postings").alias("p")).select("term", "p.*")
+    return {"lists": found, "postings": weighted(flat, stats, whole), "term_stats": stats, "corpus_stats": corpus}
+
+
+def _terms(questions: DataFrame) -> tuple[DataFrame, bool]:
+    """``question_id, term, qtf``, and whether they are few; then they are broadcast, so that postings don't move."""
     terms = questions.select("question_id", F.explode(tokens("question")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
-    met = terms.join(postings, "term")
-    return met.groupBy("question_id", "chunk_id", "doc_seq", "ordinal").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    few = terms.count() <= BROADCAST
+    return (F.broadcast(terms) if few else terms), few
+
+
+def _summed(met: DataFrame, avgdl: Column) -> DataFrame:
+    return met.groupBy("question_id", "chunk_id", "doc_seq", "ordinal").agg(F.sum(F.col("weight") * saturation("tf", "dl", avgdl)).alias("score"))
+
+
+def _skipping(asked: DataFrame, found: DataFrame, avgdl: float, k: int) -> DataFrame:
+    """Scores of all chunks that can be among a question's first ``k``, no block read that can't hold one.
+
+    A block's bound is the sum of its terms' largest weights.  The blocks of
+    the highest bounds are scored first; their k-th score is a floor, and only
+    blocks whose bound reaches it are scored.
+    """
+    where = [c for c in ("delta", "block") if c in found.columns]
+    peak = F.col("weight") * saturation("max_tf", "min_dl", F.lit(avgdl))
+    bounds = asked.join(found.select("term", *where, "max_tf", "min_dl"), "term").groupBy("question_id", *where).agg(F.sum(peak).alias("bound"))
+
+    def scored(blocks: DataFrame) -> DataFrame:
+        wanted = asked.join(blocks.select("question_id", *where), "question_id")
+        met = found.select("term", *where, "postings").join(wanted, ["term", *where])
+        return _summed(met.select("question_id", "weight", F.explode("postings").alias("p")).select("question_id", "weight", "p.*"), F.lit(avgdl))
+
+    first = scored(top_k(bounds, ["question_id"], [F.desc("bound"), *map(F.col, where)], SEEDS))
+    kth = top_k(first, ["question_id"], by_score("doc_seq", "ordinal"), k).where(F.col("rank") == k).select("question_id", F.col("score").alias("floor"))
+    # scores that differ by less than 1e-9 tie, and sums differ in their last digits
+    return scored(bounds.join(kth, "question_id", "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - 1e-6))
+
+
+def scores(questions: DataFrame, index: dict[str, DataFrame], k: int | None = None) -> DataFrame:
+    """``question_id, chunk_id, doc_seq, ordinal, score`` of chunks that share a term; a repeated question term counts each time.
+
+    With ``k``, chunks that can't be among a question's first ``k`` may be left
+    out; stored lists then skip the blocks that hold only such chunks.
+    """
+    terms, few = _terms(questions)
+    asked = index["term_stats"].select("term", "idf").join(terms, "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    if "lists" not in index:
+        met = index["frequencies"].join(terms.select("term").distinct(), "term", "left_semi").join(asked, "term")
+        return _summed(met.crossJoin(F.broadcast(index["corpus_stats"].select("avgdl"))), F.col("avgdl"))  # one row
+    corpus = index["corpus_stats"].first()
+    found, avgdl = index["lists"], corpus["avgdl"] or 1.0
+    names = [r["term"] for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
+    if len(names) <= NAMED:
+        found = found.where(F.col("term").isin(names))
+    small = F.broadcast(asked) if few else asked
+    if k is not None and k > 0 and (corpus["avg_idf"] or 0) >= 0:
+        return _skipping(small, found, avgdl, k)
+    flat = found.select("term", F.explode("postings").alias("p")).select("term", "p.*")
+    return _summed(flat.join(small, "term"), F.lit(avgdl))
 
 
 def search(questions: DataFrame, index: dict[str, DataFrame], k: int) -> DataFrame:
@@ -43,7 +145,7 @@ def search(questions: DataFrame, index: dict[str, DataFrame], k: int) -> DataFra
     chunks of the corpus: 2k of them hold enough unless scores can be negative
     (a mean idf below 0, as in corpora of a few chunks); then all do.
     """
-    found = scores(questions, index["postings"])
+    found = scores(questions, index, k)
     negative = index["corpus_stats"].where("avg_idf < 0").limit(1).count() > 0
     first = index["chunks"].select("chunk_id", "doc_seq", "ordinal").orderBy("doc_seq", "ordinal")
     first = first if negative else first.limit(2 * max(k, 0))

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..operators import chunking, dense, sparse
 from ..settings import Settings
 
-TABLES = ("chunks", "postings", "term_stats", "corpus_stats", "vectors")
+#: Tables of a saved index; each is a folder with one part for each time that documents were added.
+TABLES = ("chunks", "lists", "terms", "sizes", "vectors")
 
 
 def build(docs: DataFrame, how: Settings) -> dict[str, DataFrame]:
@@ -34,15 +39,14 @@ def folder(root: str, how: Settings) -> str:
 
 
 def save(index: dict[str, DataFrame], how: Settings, root: str) -> str:
-    """Parquet tables and ``meta.json`` in a folder named by the settings' signature."""
+    """Parquet tables and ``meta.json`` in a folder named by the settings' signature; what was there is replaced.
+
+    Chunks are written once; postings and statistics are made from the written rows.
+    """
     out = folder(root, how)
     spark = index["chunks"].sparkSession
-    for name in TABLES:
-        df = index[name]
-        if name == "postings":  # so that a search for terms reads few row groups
-            df = df.repartitionByRange("term").sortWithinPartitions("term")
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
-    n = spark.read.parquet(f"{out}/chunks").count()
+    _part(spark, out, 0, index["chunks"], index["vectors"], fresh=True)
+    n = _read(spark, out, "sizes").agg(F.sum("n")).first()[0]
     if not n:
         raise ValueError("the corpus gave no chunks; check the chunking settings")
     meta = {"signature": how.signature(), "config_name": how.name, "num_chunks": n, "embedder": how.embedder.backend, "vector_store": how.vector_store.backend}
@@ -50,14 +54,79 @@ def save(index: dict[str, DataFrame], how: Settings, root: str) -> str:
     return out
 
 
+def _part(spark: SparkSession, out: str, number: int, chunks: DataFrame, vectors: DataFrame | Settings, fresh: bool = False) -> DataFrame:
+    """Write one part of every table and return its chunks; a part that is written again replaces itself, a ``fresh`` one replaces all."""
+
+    def write(df: DataFrame, name: str, *order: str) -> DataFrame:
+        rows = df.select(*[f.name for f in schemas.STORED[name]], F.lit(number).alias("delta"))
+        rows = rows.sortWithinPartitions("delta", *order) if order else rows
+        how = rows.write.mode("overwrite").partitionBy("delta").option("partitionOverwriteMode", "static" if fresh else "dynamic")
+        how.parquet(f"{out}/{name}")
+        return _read(spark, out, name).where(F.col("delta") == number)
+
+    rows = write(chunks, "chunks")
+    # sorted by term, so that a search for terms reads few row groups
+    found = write(sparse.lists(sparse.frequencies(rows)), "lists", "term", "block")
+    write(found.groupBy("term").agg(F.sum("n").alias("df")), "terms")
+    words = found.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+    write(rows.agg(F.count("*").alias("n")).crossJoin(words), "sizes")  # a row each
+    write(dense.vectors(rows, ["chunk_id", "doc_id"], "text", vectors.embedder) if isinstance(vectors, Settings) else vectors, "vectors")
+    return rows
+
+
+def _read(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """A stored table with ``delta``; FileNotFoundError where there is none."""
+    schema = T.StructType([*schemas.STORED[name], T.StructField("delta", T.IntegerType())])
+    try:
+        return spark.read.schema(schema).parquet(f"{out}/{name}")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            raise FileNotFoundError(f"no index at {out}") from error
+        raise
+
+
+def add(docs: DataFrame, how: Settings, root: str, number: int | None = None) -> dict[str, int]:
+    """Add documents to a saved index, or begin one; ``number, documents, chunks`` of what was added.
+
+    Documents whose id the index has stay as they are there.  Only the part
+    ``number`` (by default one more than the last) is written; statistics of
+    all parts are summed when the index is read.  A part that is written
+    again, after a failure, replaces itself and holds the same rows.
+    ``doc_seq`` must place new documents among the old ones; a rebuild with
+    ``save`` joins all parts into one.
+    """
+    out, spark = folder(root, how), docs.sparkSession
+    try:
+        last = _read(spark, out, "sizes").agg(F.max("delta")).first()[0]
+        old = _read(spark, out, "chunks")
+    except FileNotFoundError:
+        last = old = None
+    if number is None:
+        number = 0 if last is None else last + 1
+    if old is not None:
+        docs = docs.join(old.where(F.col("delta") != number).select("doc_id").distinct(), "doc_id", "left_anti")
+    rows = _part(spark, out, number, chunking.chunk(docs.dropDuplicates(["doc_id"]), how.chunking), how)
+    found = rows.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks")).first()
+    return {"number": number, **found.asDict()}
+
+
 def load(spark: SparkSession, how: Settings, root: str) -> dict[str, DataFrame]:
-    """The saved tables; FileNotFoundError without ``meta.json``."""
+    """The saved tables, statistics summed over parts; FileNotFoundError where there is no index."""
     dense.store(how.vector_store)
     out = folder(root, how)
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/meta.json")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        raise FileNotFoundError(f"no index at {out}")
-    return {name: spark.read.schema(schemas.EDGE[name]).parquet(f"{out}/{name}") for name in TABLES}
+    found = {name: _read(spark, out, name) for name in TABLES}
+    own = sparse.stored(found["lists"], found["terms"], found["sizes"])
+    return {"chunks": found["chunks"].drop("delta"), **own, "vectors": found["vectors"].drop("delta")}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder of our own if the session runs on one machine only (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "groundwork-shared")
 
 
 def _write(spark: SparkSession, path: str, text: str) -> None:

@@ -7,15 +7,18 @@ documents are those that hold its text), ``embeddings`` are vectors,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import schemas
 from .functions import hashing, text as T
 from .operators import chunking, dense, generation, judging, metrics, ranking, sparse, statistics
-from .plans import report
+from .plans import index as index_plan, report
+from .plans.index import shared_dir
+from .plans.relevance import containing
 from .settings import BASE, Chunking, Settings, from_dict, merged
 from .sql import ORACLE_SQL  # noqa: F401
 
@@ -46,76 +49,52 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``question_id, relevant_doc_ids``: documents that hold the item's text.
-
-    An item may begin and end inside a word of a document; the words between
-    stand in it as they are, so items and documents meet on the hash of up to
-    four of them.  Items of fewer than three words meet all documents.
-    """
-    q = questions(spark, sf_dir).withColumn("w", T.words("question"))
-    n = F.least(F.size("w") - 2, F.lit(4))
-    long_ = q.where(F.size("w") > 2).select("question_id", "question", n.alias("n"), F.xxhash64(F.slice("w", F.lit(2), n)).alias("h"))
-    docs = corpus(spark, sf_dir).select("doc_id", "text")
-    sizes = [r["n"] for r in long_.select("n").distinct().collect()]  # four at most
-    words = docs.select("doc_id", T.words("text").alias("w"))
-
-    def hashes(n: int):
-        at = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        return F.when(F.size("w") >= n, F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", i, F.lit(n))).alias("h"))))
-
-    held = spark.createDataFrame([], "question_id string, doc_id string")
-    if sizes:
-        runs = F.array_distinct(F.flatten(F.array_compact(F.array(*map(hashes, sizes)))))
-        met = long_.join(words.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.n", "r.h"), ["n", "h"]).select("question_id", "question", "doc_id").distinct()
-        held = met.join(docs, "doc_id").where(F.contains("text", "question")).select("question_id", "doc_id")
-    short = q.where(F.size("w") <= 2).select("question_id", "question")
-    if not short.isEmpty():
-        held = held.unionByName(docs.join(short, F.contains("text", "question")).select("question_id", "doc_id"))
-    found = held.groupBy("question_id").agg(F.array_sort(F.collect_set("doc_id")).alias("relevant_doc_ids"))
-    return questions(spark, sf_dir).join(found, "question_id", "left").withColumn("relevant_doc_ids", F.coalesce("relevant_doc_ids", F.array().cast("array<string>")))
+    return containing(questions(spark, sf_dir), corpus(spark, sf_dir))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held for the session, as the several parts of a plan read them; Spark finds the same plan again and spills what doesn't fit."""
-    return chunking.chunk(corpus(spark, sf_dir), FIXED).persist()
+    return chunking.chunk(corpus(spark, sf_dir), FIXED)
 
 
-def _bm25(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
-    index = sparse.build(chunks)
-    index["postings"] = index["postings"].persist()
-    return sparse.search(questions(spark, sf_dir), {"chunks": chunks, **index}, K)
+def _index(spark: SparkSession, sf_dir: str, md5: bool = False) -> dict[str, DataFrame]:
+    """An index of ``documents``, stored once in a folder of its own and read by all parts of a plan; with ``md5``, vectors that SQL can compute too."""
+    root, chunks = f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}", _chunks(spark, sf_dir)
+    none = spark.createDataFrame([], schemas.VECTORS)
+    index_plan.save({"chunks": chunks, "vectors": none}, SETTINGS, root)
+    index = index_plan.load(spark, SETTINGS, root)
+    if md5:
+        _md5_vectors(index["chunks"], "chunk_id", "text").write.parquet(f"{root}/md5")
+        index["vectors"] = spark.read.schema("chunk_id string, vec array<double>").parquet(f"{root}/md5")
+    return index
 
 
-def _md5_vectors(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Dense vectors of the md5 embedding, held as a search reads them more than once."""
+def _bm25(spark: SparkSession, sf_dir: str, index: dict[str, DataFrame]) -> DataFrame:
+    return sparse.search(questions(spark, sf_dir), index, K)
+
 
-    @F.pandas_udf("array<double>")
-    def dense_vector(buckets: pd.Series, weights: pd.Series) -> pd.Series:
-        def one(at, w):
-            out = np.zeros(DIM)
-            if at is not None:
-                out[at] = w
-            return out
+def _md5_vectors(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, vec`` of the md5 embedding, whole batches at once and nothing shuffled."""
 
-        return pd.Series([one(at, w) for at, w in zip(buckets, weights)])
+    def embed(batches):
+        for batch in batches:
+            made = hashing.md5_matrix(batch.column(1).to_pylist(), DIM)
+            flat = pa.array(made.reshape(-1), pa.float64())
+            vectors = pa.FixedSizeListArray.from_arrays(flat, DIM).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[id_col, "vec"])
 
-    parts = hashing.embed_md5(rows, id_col, text_col, DIM).groupBy("id").agg(F.collect_list(F.struct("bucket", "weight")).alias("p"))
-    both = rows.select(F.col(id_col).alias("id")).join(parts, "id", "left")
-    return both.select("id", dense_vector(F.col("p.bucket"), F.col("p.weight")).alias("vec")).persist()
+    return rows.select(id_col, text_col).mapInArrow(embed, f"{id_col} string, vec array<double>")
 
 
-def _dense(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
-    q = _md5_vectors(questions(spark, sf_dir), "question_id", "question").withColumnRenamed("id", "question_id")
-    e = _md5_vectors(chunks.select("chunk_id", "text"), "chunk_id", "text").withColumnRenamed("id", "chunk_id")
-    return dense.nearest(q, e, K)
+def _dense(spark: SparkSession, sf_dir: str, index: dict[str, DataFrame]) -> DataFrame:
+    return dense.nearest(_md5_vectors(questions(spark, sf_dir), "question_id", "question"), index["vectors"], K)
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
-    return ranking.reciprocal_rank_fusion([_bm25(spark, sf_dir, chunks), _dense(spark, sf_dir, chunks)], K, RRF)
+def _hybrid(spark: SparkSession, sf_dir: str, index: dict[str, DataFrame]) -> DataFrame:
+    return ranking.reciprocal_rank_fusion([_bm25(spark, sf_dir, index), _dense(spark, sf_dir, index)], K, RRF)
 
 
-def _reranked(spark: SparkSession, sf_dir: str, chunks: DataFrame) -> DataFrame:
-    return ranking.rerank(_hybrid(spark, sf_dir, chunks), questions(spark, sf_dir), chunks)
+def _reranked(spark: SparkSession, sf_dir: str, index: dict[str, DataFrame]) -> DataFrame:
+    return ranking.rerank(_hybrid(spark, sf_dir, index), questions(spark, sf_dir), index["chunks"])
 
 
 def _out(found: DataFrame) -> DataFrame:
@@ -165,19 +144,19 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.build(_chunks(spark, sf_dir))["term_stats"].select("term", "df", r6("idf").alias("idf"))
+    return _index(spark, sf_dir)["term_stats"].select("term", "df", r6("idf").alias("idf"))
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.build(_chunks(spark, sf_dir))["postings"].select("term", "chunk_id", "tf", r6("weight").alias("weight"))
+    return _index(spark, sf_dir)["postings"].select("term", "chunk_id", "tf", r6("weight").alias("weight"))
 
 
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sparse.build(_chunks(spark, sf_dir))["corpus_stats"].select("n", r6("avgdl").alias("avgdl"), r6("avg_idf").alias("avg_idf"))
+    return _index(spark, sf_dir)["corpus_stats"].select("n", r6("avgdl").alias("avgdl"), r6("avg_idf").alias("avg_idf"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(_bm25(spark, sf_dir, _chunks(spark, sf_dir)))
+    return _out(_bm25(spark, sf_dir, _index(spark, sf_dir)))
 
 
 def hash_embed_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,25 +176,25 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_md5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(_dense(spark, sf_dir, _chunks(spark, sf_dir)))
+    return _out(_dense(spark, sf_dir, _index(spark, sf_dir, md5=True)))
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(_hybrid(spark, sf_dir, _chunks(spark, sf_dir)))
+    return _out(_hybrid(spark, sf_dir, _index(spark, sf_dir, md5=True)))
 
 
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _out(_reranked(spark, sf_dir, _chunks(spark, sf_dir)))
+    return _out(_reranked(spark, sf_dir, _index(spark, sf_dir, md5=True)))
 
 
 def collapse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir)
-    return ranking.collapse(_bm25(spark, sf_dir, c), c)
+    index = _index(spark, sf_dir)
+    return ranking.collapse(_bm25(spark, sf_dir, index), index["chunks"])
 
 
 def pool_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir)
-    return ranking.pool([ranking.collapse(r, c) for r in (_bm25(spark, sf_dir, c), _dense(spark, sf_dir, c))], 5)
+    index = _index(spark, sf_dir, md5=True)
+    return ranking.pool([ranking.collapse(r, index["chunks"]) for r in (_bm25(spark, sf_dir, index), _dense(spark, sf_dir, index))], 5)
 
 
 def oracle_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,8 +207,8 @@ def oracle_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir)
-    found = generation.contexts(_reranked(spark, sf_dir, c), c, SETTINGS.retrieval.top_k)
+    index = _index(spark, sf_dir, md5=True)
+    found = generation.contexts(_reranked(spark, sf_dir, index), index["chunks"], SETTINGS.retrieval.top_k)
     return generation.answer(questions(spark, sf_dir), found, SETTINGS.generation)
 
 
@@ -264,11 +243,11 @@ def abstention_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``variant, question_id, metric, value`` of three rankings in one plan."""
-    c = _chunks(spark, sf_dir)
-    found = {"dense_only": _dense(spark, sf_dir, c), "hybrid": _hybrid(spark, sf_dir, c), "hybrid_rerank": _reranked(spark, sf_dir, c)}
+    index = _index(spark, sf_dir, md5=True)
+    found = {"dense_only": _dense(spark, sf_dir, index), "hybrid": _hybrid(spark, sf_dir, index), "hybrid_rerank": _reranked(spark, sf_dir, index)}
     rel, rows = relevance(spark, sf_dir), None
     for name, r in found.items():
-        docs = ranking.collapse(r, c).withColumn("variant", F.lit(name))
+        docs = ranking.collapse(r, index["chunks"]).withColumn("variant", F.lit(name))
         rows = docs if rows is None else rows.unionByName(docs)
     asked = rel.select("question_id", "relevant_doc_ids", F.explode(F.array(*map(F.lit, found))).alias("variant"))
     keys = ("variant", "question_id")
@@ -276,8 +255,8 @@ def _metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metrics_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _chunks(spark, sf_dir)
-    m = metrics.retrieval_metrics(relevance(spark, sf_dir), ranking.collapse(_bm25(spark, sf_dir, c), c), (1, 3, 5, 10), precision=True)
+    index = _index(spark, sf_dir)
+    m = metrics.retrieval_metrics(relevance(spark, sf_dir), ranking.collapse(_bm25(spark, sf_dir, index), index["chunks"]), (1, 3, 5, 10), precision=True)
     return m.select("question_id", *[r6(F.col(f"`{x}`")).alias(x.replace("@", "_at_")) for x in m.columns[1:]])
 
 

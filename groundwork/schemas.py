@@ -16,12 +16,12 @@ JUDGE_LABELS = _struct(id=_S, question=_S, reference_answer=_S, answer=_S, conte
 
 #: Tables of an index.
 CHUNKS = _struct(chunk_id=_S, doc_id=_S, ordinal=_I, title=_S, text=_S, metadata=T.MapType(_S, _S), doc_seq=_L)
-POSTINGS = _struct(term=_S, chunk_id=_S, doc_id=_S, doc_seq=_L, ordinal=_I, tf=_L, weight=_D)
-TERM_STATS = _struct(term=_S, df=_L, idf=_D)
-CORPUS_STATS = _struct(n=_L, avgdl=_D, avg_idf=_D)
+LISTS = _struct(term=_S, block=_L, n=_L, words=_L, max_tf=_L, min_dl=_I, postings=T.ArrayType(_struct(chunk_id=_S, doc_id=_S, doc_seq=_L, ordinal=_I, tf=_L, dl=_I)))
+TERMS = _struct(term=_S, df=_L)
+SIZES = _struct(n=_L, words=_L)
 VECTORS = _struct(chunk_id=_S, doc_id=_S, vec=T.ArrayType(T.FloatType()))
 
 #: One row per retrieved chunk of a question.
 RANKING = _struct(question_id=_S, chunk_id=_S, rank=_I, score=_D, source=_S)
 THRESHOLDS = _struct(metric=_S, floor=_D)
-EDGE = {"chunks": CHUNKS, "postings": POSTINGS, "term_stats": TERM_STATS, "corpus_stats": CORPUS_STATS, "vectors": VECTORS}
+STORED = {"chunks": CHUNKS, "lists": LISTS, "terms": TERMS, "sizes": SIZES, "vectors": VECTORS}
