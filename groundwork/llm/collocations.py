@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -26,8 +27,10 @@ BITS, PART_BITS = 28, 18
 #: First words with more than this share of all words are dealt further, by the words after them.
 HOT, SALTS = 1 / 1024, 64
 #: Bytes of text that are handled at once; longer texts are parted at separators.
-AT_ONCE = 6 << 20
+AT_ONCE = 12 << 20
 PAIR = np.uint64(0x9E3779B97F4A7C15)
+#: In a sorted suffix a byte below all others stands between words; the two bytes that it could be taken for are written as two.
+CODES = ((b"\x01", b"\x01\x03"), (b"\x00", b"\x01\x02"))
 
 
 class _Ids(dict):
@@ -77,19 +80,31 @@ def _pairs(at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(hashes[a] * PAIR + hashes[b]) >> np.uint64(64 - BITS), (a > 0) & (b > 0)
 
 
+def _coded(word: bytes) -> bytes:
+    for plain, code in CODES:
+        word = word.replace(plain, code)
+    return word
+
+
+def _plain(word: bytes) -> str:
+    for plain, code in reversed(CODES):
+        word = word.replace(code, plain)
+    return word.decode()
+
+
 @frugal
 def _count_pairs(batches):
-    """Rows of ``part, counts``: the counters of pairs in this task's texts, as numbers within the part and counts up to 255; and of ``lang, word, n`` for words that are common here."""
+    """Rows of ``part, counts``: the counters of pairs in these texts, as numbers within the part and counts up to 255; of ``lang, word, n`` for words that are common here; and ``lang, n`` for all of them."""
     for lang, ids, at, hashes in _numbered(batches):
         bucket, ok = _pairs(at, hashes)
+        words, often = list(ids), np.bincount(at, minlength=len(ids))
+        often[0] = 0
         found, n = np.unique(bucket[ok], return_counts=True)
         part = (found >> np.uint64(PART_BITS)).astype(np.int32)
         inside = (found & np.uint64((1 << PART_BITS) - 1)).astype("<u4")
         n = np.minimum(n, 255).astype(np.uint8)
         edges = np.flatnonzero(np.diff(part, prepend=-1, append=-2)) if len(part) else np.zeros(1, np.int64)
         blobs = [inside[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:])]
-        words, often = list(ids), np.bincount(at, minlength=len(ids))
-        often[0] = 0
         total = int(often.sum())
         common = [(words[i].decode(), int(often[i])) for i in np.flatnonzero(often * 2048 >= max(total, 1))]
         k, m = len(blobs), len(common) + 1
@@ -122,7 +137,8 @@ def _sum_pairs(least: int):
                     now, sums = part, np.zeros(1 << PART_BITS, np.int32)
                 k = len(blob) // 5
                 at = np.frombuffer(blob, "<u4", k)
-                sums[at] = np.minimum(sums[at] + np.where((c := np.frombuffer(blob, np.uint8, k, 4 * k)) == 255, least, c), least)
+                n = np.frombuffer(blob, np.uint8, k, 4 * k)
+                sums[at] = np.minimum(sums[at] + np.where(n == 255, least, n), least)
         if now is not None:
             yield out()
 
@@ -130,7 +146,7 @@ def _sum_pairs(least: int):
 
 
 def _suffixes(frequent, hot: dict[str, list[bytes]]):
-    """Rows of ``lang, key, words, n``: suffixes that end before the first pair that can't be frequent, summed up within the texts at hand."""
+    """Rows of ``lang, key, suffix, n``: suffixes that end before the first pair that can't be frequent, summed up within the texts at hand."""
 
     @frugal
     def run(batches):
@@ -168,36 +184,35 @@ def _suffixes(frequent, hot: dict[str, list[bytes]]):
                 rest = mix(rest * PAIR + np.where(grid[:, j] > 0, hashes[grid[:, j]], np.uint64(0)))
             salt = np.where(often[grid[:, 0]], rest % np.uint64(SALTS) + np.uint64(1), np.uint64(0))
             key = mix(hashes[grid[:, 0]] + salt * PAIR)
-            text = pa.array(list(ids), pa.binary()).cast(pa.string())
+            text = pa.array([_coded(w) for w in ids], pa.binary())
             for a in range(0, len(grid), 100_000):
                 some = grid[a : a + 100_000]
-                size = (some > 0).sum(axis=1)
-                flat = text.take(pa.array(some[some > 0]))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
-                m = len(some)
+                columns = [text.take(pa.array(some[:, j], mask=some[:, j] == 0)) for j in range(LONGEST)]
+                suffix = pa.compute.binary_join_element_wise(*columns, b"\x00", null_handling="skip")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * m, pa.string()), pa.array(key[a : a + m].view(np.int64)), pa.array(salt[a : a + m] > 0), lists, pa.array(n[a : a + m], pa.int64())],
-                    names=["lang", "key", "salted", "words", "n"],
+                    [pa.array([lang] * len(some), pa.string()), pa.array(key[a : a + 100_000].view(np.int64)), suffix, pa.array(n[a : a + 100_000], pa.int64())],
+                    names=["lang", "key", "suffix", "n"],
                 )
 
     return run
 
 
-def _prefixes(least: int):
+def _prefixes(least: int, hot: dict[str, list[bytes]]):
     """Rows of ``lang, phrase, k, n``: every prefix of the sorted suffixes with its count.
 
     One stack holds the words of the open prefix with a count for each
     length.  A suffix first closes what it doesn't share with the one before;
     a closed prefix hands its count on to the one that is a word shorter.
     Suffixes of a first word that wasn't dealt further are all here, so its
-    counts are only handed on from ``least``.  ``k`` 0 counts all words.
+    counts are only handed on from ``least``.
     """
 
     @frugal
     def run(batches):
         path: list[str] = []
         counts: list[int] = []
-        lang, partial, before = "", False, []
+        lang, partial = "", False
+        before: list[bytes] = []
         out: list[tuple[str, str, int, int]] = []
 
         def close(depth: int) -> None:
@@ -209,40 +224,28 @@ def _prefixes(least: int):
                     out.append((lang, " ".join(path), len(path), n))
                 path.pop()
 
+        dealt = {(name, word.decode()) for name, some in hot.items() for word in some}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            langs, salted, n = (batch.column(c).to_pylist() for c in ("lang", "salted", "n"))
-            lists = batch.column("words")
-            size = np.asarray(lists.value_lengths()).astype(np.int64)
-            start = np.cumsum(size) - size
-            coded = lists.flatten().dictionary_encode()
-            code, names = np.asarray(coded.indices).astype(np.int64), coded.dictionary.to_pylist()
-            shared = np.zeros(len(n), np.int64)  # leading words that a suffix shares with the one before
-            same = np.ones(len(n), bool)
-            for j in range(LONGEST):
-                word = np.where(size > j, code[np.where(size > j, start + j, 0)], -1)
-                same[1:] &= (word[1:] == word[:-1]) & (word[1:] >= 0)
-                shared += same
-            first = [names[c] for c in code[: size[0]]]
-            shared[0] = next((j for j, (x, y) in enumerate(zip(first, before)) if x != y), min(len(first), len(before)))
-            before = [names[c] for c in code[start[-1] :]]
-            words = code.tolist()
-            for i, (depth, m, at) in enumerate(zip(shared.tolist(), size.tolist(), start.tolist())):
-                if langs[i] != lang:
-                    depth = 0
+            langs, n = batch.column("lang").to_pylist(), batch.column("n").to_pylist()
+            for name, suffix, count in zip(langs, batch.column("suffix").to_pylist(), n):
+                words = suffix.split(b"\x00")
+                depth = 0
+                if name == lang:
+                    for x, y in zip(words, before):
+                        if x != y:
+                            break
+                        depth += 1
                 close(depth)
-                lang, partial = langs[i], salted[i]
-                for j in range(depth, m):
-                    path.append(names[words[at + j]])
+                for word in words[depth:]:
+                    path.append(_plain(word) if b"\x01" in word else word.decode())
                     counts.append(0)
-                counts[-1] += n[i]
-            totals: dict[str, int] = {}
-            for x, c in zip(langs, n):
-                totals[x] = totals.get(x, 0) + c
-            out += [(x, "", 0, c) for x, c in totals.items()]
-            yield _counted(out)
-            out.clear()
+                lang, before = name, words
+                if not depth:
+                    partial = (lang, path[0]) in dealt
+                counts[-1] += count
+            if out:
+                yield _counted(out)
+                out.clear()
         close(0)
         if out:
             yield _counted(out)
@@ -270,20 +273,22 @@ def phrase_counts(docs: DataFrame, least: int = 100) -> DataFrame:
     rows = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), "text")
     seen = tables.save(rows.mapInArrow(_count_pairs, "part int, counts binary, lang string, word string, n long"), batch=2_000)
     bits = seen.where("part is not null").select("part", "counts").repartition("part").sortWithinPartitions("part")
-    pieces = {r["part"]: bytes(r["bits"]) for r in bits.mapInArrow(_sum_pairs(min(least, 1 << 20)), "part int, bits binary").collect()}  # 32 MB at most
+    bits = tables.save(bits.mapInArrow(_sum_pairs(min(least, 1 << 20)), "part int, bits binary"))
+    pieces = {r["part"]: bytes(r["bits"]) for r in bits.collect()}  # 32 MB at most
     empty = bytes((1 << PART_BITS) // 8)
     frequent = spark.sparkContext.broadcast(b"".join(pieces.get(i, empty) for i in range(1 << (BITS - PART_BITS))))
     total = seen.where("part is null and word is null").agg(F.sum("n")).first()[0] or 0
     common = seen.where("word is not null").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") > total * HOT).select("lang", "word").collect()  # 1,024 at most
-    tables.drop(seen)
+    whole = tables.save(seen.where("part is null and word is null").groupBy("lang").agg(F.sum("n").alias("n")))
+    tables.drop(seen, bits)
     hot: dict[str, list[bytes]] = {}
     for r in common:
         hot.setdefault(r["lang"], []).append(r["word"].encode())
-    dealt = rows.mapInArrow(_suffixes(frequent, hot), "lang string, key long, salted boolean, words array<string>, n long")
-    dealt = dealt.repartition("key").sortWithinPartitions(F.desc("key"), F.desc("lang"), F.desc("words"))
-    counts = dealt.mapInArrow(_prefixes(least), "lang string, phrase string, k int, n long")
-    counts = counts.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= least))
-    return tables.save(counts, batch=20_000)
+    dealt = rows.mapInArrow(_suffixes(frequent, hot), "lang string, key long, suffix binary, n long")
+    dealt = dealt.repartition("key").sortWithinPartitions(F.desc("key"), F.desc("lang"), F.desc("suffix"))
+    counts = dealt.mapInArrow(_prefixes(least, hot), "lang string, phrase string, k int, n long")
+    counts = counts.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return tables.save(counts.unionByName(whole.select("lang", F.lit("").alias("phrase"), F.lit(0).alias("k"), "n")))
 
 
 def collocations(docs: DataFrame, least: int = 100, first: int = 2000) -> DataFrame:
