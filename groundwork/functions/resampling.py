@@ -1,4 +1,12 @@
-"""Bootstrap and rank statistics: numpy's generator for reported figures, built-in functions where SQL must agree."""
+"""Bootstrap with numpy's generator, in parts that can be drawn anywhere; rank statistics.
+
+numpy draws ``integers(0, n)`` from a stream of 32-bit words and throws some
+words away, so the place of a draw in the stream isn't known beforehand.  The
+stream is counted in blocks: which words of a block are kept follows from the
+words alone, and the sums of the counts before a block tell which draw it
+begins with.  A task sets the generator to the block in which its first draw
+lies and goes on from there; its draws are those of one generator.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +14,51 @@ import math
 
 import numpy as np
 
+#: Words of the stream that are counted at once.
+WORDS = 1 << 22
+
+
+def kept_words(seed: int, n: int, block: int, words: int = WORDS) -> int:
+    """How many words of a block become draws below ``n``."""
+    bits = np.random.PCG64(seed)
+    bits.advance(block * (words // 2))
+    low = (bits.random_raw(words // 2).view("<u4").astype(np.uint64) * np.uint64(n)) & np.uint64(0xFFFFFFFF)
+    return int(np.count_nonzero(low >= np.uint64(((1 << 32) - n) % n)))
+
+
+def generator_at(seed: int, draw: int, n: int, before: list[int], words: int = WORDS) -> np.random.Generator:
+    """A generator whose next ``integers(0, n)`` is draw number ``draw``; ``before`` holds the draws that stand before each counted block, from block 0."""
+    block = max(0, int(np.searchsorted(before, draw, "right")) - 1)
+    bits = np.random.PCG64(seed)
+    bits.advance(block * (words // 2))
+    generator = np.random.Generator(bits)
+    skip = draw - (before[block] if before else 0)
+    while skip:
+        now = min(skip, words)
+        generator.integers(0, n, size=now)
+        skip -= now
+    return generator
+
+
+def resampled_means(x: np.ndarray, first: int, count: int, seed: int, before: list[int], words: int = WORDS) -> np.ndarray:
+    """Means of the resamples ``first`` to ``first + count - 1`` of all values, as one generator would draw them."""
+    n = len(x)
+    generator = generator_at(seed, first * n, n, before, words)
+    at_once = max(1, words // n)
+    parts = [x[generator.integers(0, n, size=(min(at_once, count - i), n))].mean(axis=1) for i in range(0, count, at_once)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def interval(means: np.ndarray, confidence: float) -> tuple[float, float]:
+    tail = (1.0 - confidence) / 2.0
+    low, high = np.quantile(means, [tail, 1.0 - tail])
+    return float(low), float(high)
+
+
+def two_sided(means: np.ndarray) -> float:
+    """Twice the smaller tail beyond zero."""
+    return min(1.0, 2.0 * min(float((means <= 0).mean()), float((means >= 0).mean())))
+
 
 def mean_interval(values: np.ndarray, iterations: int, confidence: float, seed: int) -> tuple[float | None, float | None, float | None, int]:
     """Mean and percentile bootstrap interval; undefined values are left out."""
@@ -15,19 +68,15 @@ def mean_interval(values: np.ndarray, iterations: int, confidence: float, seed:
         return None, None, None, 0
     if len(x) == 1:
         return float(x[0]), float(x[0]), float(x[0]), 1
-    means = x[np.random.default_rng(seed).integers(0, len(x), size=(iterations, len(x)))].mean(axis=1)
-    tail = (1.0 - confidence) / 2.0
-    low, high = np.quantile(means, [tail, 1.0 - tail])
-    return float(x.mean()), float(low), float(high), len(x)
+    return float(x.mean()), *interval(resampled_means(x, 0, iterations, seed, []), confidence), len(x)
 
 
 def paired_test(diff: np.ndarray, iterations: int = 10_000, seed: int = 0) -> tuple[float | None, float | None, int]:
-    """Mean difference and two-sided p-value: twice the smaller tail beyond zero."""
+    """Mean difference and two-sided p-value of the bootstrap."""
     d = np.asarray(diff, float)
     if not len(d):
         return None, None, 0
-    means = d[np.random.default_rng(seed).integers(0, len(d), size=(iterations, len(d)))].mean(axis=1)
-    return float(d.mean()), min(1.0, 2.0 * min(float((means <= 0).mean()), float((means >= 0).mean()))), len(d)
+    return float(d.mean()), two_sided(resampled_means(d, 0, iterations, seed, [])), len(d)
 
 
 def normal_tail(x: float) -> float:

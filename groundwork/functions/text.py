@@ -6,6 +6,8 @@ words.  Words are what white space parts; chunk budgets count words.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Function words that content tokens leave out.
@@ -64,31 +66,61 @@ def cited(text: Column | str, ids: Column | str) -> Column:
     return F.transform(citations(text, F.size(ids)), lambda n: F.element_at(ids, n))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def runs(tokens: Column) -> Column:
+    """``token, n`` of each distinct token, sorted; time grows as for sorting."""
+
+    def cut(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        made = let(begins, lambda at: F.transform(at, lambda i, j: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(at, j + 1), F.size(s)) - i).alias("n"))))
+        return F.when(F.size(s) > 0, made).otherwise(F.array().cast("array<struct<token:string,n:int>>"))
+
+    return let(F.array_sort(tokens), cut)
+
+
 def overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays."""
-    return F.aggregate(
-        F.array_intersect(a, b),
-        F.lit(0),
-        lambda total, t: total + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))),
-    )
+    """Size of the multiset intersection of two arrays of tokens without ``#``: equal tokens are numbered, and the numbered ones intersected as sets."""
+
+    def numbered(tokens: Column) -> Column:
+        return F.flatten(F.transform(runs(tokens), lambda r: F.transform(F.sequence(F.lit(1), r["n"]), lambda i: F.concat_ws("#", r["token"], i.cast("string")))))
+
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
 
 
 def token_f1(predicted: Column, reference: Column) -> Column:
     """F1 of two token multisets: 1 if both are empty, 0 if one is or nothing is shared."""
-    n = overlap(predicted, reference).cast("double")
-    p, r = n / F.size(predicted), n / F.size(reference)
-    return (
-        F.when((F.size(predicted) == 0) & (F.size(reference) == 0), 1.0)
-        .when((F.size(predicted) == 0) | (F.size(reference) == 0), 0.0)
-        .when(n == 0, 0.0)
-        .otherwise(2 * p * r / (p + r))
-    )
+
+    def score(n: Column, np: Column, nr: Column) -> Column:
+        p, r = n / np, n / nr
+        return F.when((np == 0) & (nr == 0), 1.0).when((np == 0) | (nr == 0), 0.0).when(n == 0, 0.0).otherwise(2 * p * r / (p + r))
+
+    counts = let(F.struct(predicted.alias("p"), reference.alias("r")), lambda x: F.struct(overlap(x["p"], x["r"]).cast("double").alias("n"), F.size(x["p"]).alias("np"), F.size(x["r"]).alias("nr")))
+    return let(counts, lambda c: score(c["n"], c["np"], c["nr"]))
 
 
 def grounding(answer: Column | str, context: Column | str) -> Column:
-    """Share of the answer's content tokens that the context has; 1 without any."""
-    a, c = content_tokens(strip_citations(answer)), F.array_distinct(content_tokens(context))
-    return F.when(F.size(a) == 0, 1.0).otherwise(F.size(F.filter(a, lambda t: F.array_contains(c, t))) / F.size(a))
+    """Share of the answer's content tokens that the context has; 1 without any.
+
+    Tokens of both are sorted together, the context's first among equals, and
+    counted in one pass.
+    """
+    mark = lambda tokens, last: F.transform(tokens, lambda t: F.concat(t, F.lit(last)))
+
+    def share(a: Column) -> Column:
+        both = F.array_sort(F.concat(mark(a, "#2"), mark(F.array_distinct(content_tokens(context)), "#1")))
+        start = F.struct(F.lit("").alias("had"), F.lit(0).alias("n"))
+
+        def add(state: Column, t: Column) -> Column:
+            token, first = F.substring_index(t, "#", 1), F.endswith(t, F.lit("#1"))
+            return F.struct(F.when(first, token).otherwise(state["had"]).alias("had"), (state["n"] + F.when(~first & (token == state["had"]), 1).otherwise(0)).alias("n"))
+
+        return F.when(F.size(a) == 0, 1.0).otherwise(F.aggregate(both, start, add, lambda s: s["n"]) / F.size(a))
+
+    return let(content_tokens(strip_citations(answer)), share)
 
 
 def interval(mean: Column, low: Column, high: Column, n: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import sentences, words
+from ..functions.text import let, sentences, words
 from ..settings import Chunking
 
 
@@ -20,27 +22,45 @@ def fixed(text: Column, size: int, overlap: int) -> Column:
     return _pieces(words(text), size, size - overlap)
 
 
-def recursive(text: Column, size: int, overlap: int) -> Column:
-    """Sentences packed until the next would pass ``size``; a chunk after the first begins with the last ``overlap`` words.
+def packed(lengths: np.ndarray, size: int, overlap: int) -> list[int]:
+    """Begin and end of each chunk, one after the other, in words: units of these lengths packed as ``recursive`` says.
+
+    With the words before each unit summed up, the last unit of a chunk is
+    found by bisection, so that a chunk takes one step however long it is.
+    """
+    ends = np.cumsum(lengths)
+    out: list[int] = []
+    begin, unit = 0, 0
+    while unit < len(ends):
+        # the units that end within size words from here; one at least
+        unit = max(unit + 1, int(np.searchsorted(ends, begin + size, "right")))
+        end = int(ends[unit - 1])
+        out += (begin, end)
+        begin = max(begin, end - overlap)
+    return out
+
+
+def recursive(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """``docs`` with ``made``: sentences packed until the next would pass ``size``; a chunk after the first begins with the last ``overlap`` words.
 
     Longer sentences are cut into windows of ``size``.  The words carried over
     aren't counted before they are put in front, so a chunk may hold up to
-    ``size + overlap`` words.
+    ``size + overlap`` words.  A chunk is a stretch of the text's words, so
+    only lengths are packed; time grows with the text.
     """
-    units = F.flatten(F.transform(sentences(text), lambda s: _pieces(words(s), size, size)))
-    chunk, none = "array<string>", F.array()
 
-    def add(state: Column, unit: Column) -> Column:
-        current = state["current"]
-        full = (F.size(current) > 0) & (F.size(current) + F.size(unit) > size)
-        tail = F.when(F.size(current) <= overlap, current).otherwise(F.slice(current, -overlap, overlap)) if overlap else none.cast(chunk)
-        return F.struct(
-            F.when(full, F.array_append(state["done"], current)).otherwise(state["done"]).alias("done"),
-            F.when(full, F.concat(tail, unit)).otherwise(F.concat(current, unit)).alias("current"),
-        )
+    lengths = F.flatten(F.transform(sentences("text"), lambda s: F.transform(_pieces(words(s), size, size), F.size)))
+
+    def pack(batches):
+        for batch in batches:
+            at = [None if x is None else packed(np.asarray(x, int), size, overlap) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(at, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "at"])
 
-    start = F.struct(none.cast(f"array<{chunk}>").alias("done"), none.cast(chunk).alias("current"))
-    return F.aggregate(units, start, add, lambda s: F.when(F.size(s["current"]) > 0, F.array_append(s["done"], s["current"])).otherwise(s["done"]))
+    rows = docs.withColumn("at", lengths)
+    rows = rows.mapInArrow(pack, rows.schema)
+    spans = F.sequence(F.lit(0), F.greatest(F.size("at") - 2, F.lit(0)), F.lit(2))
+    made = let(words("text"), lambda w: F.transform(spans, lambda i: F.slice(w, F.get("at", i) + 1, F.get("at", i + 1) - F.get("at", i))))
+    return rows.withColumn("made", F.when(F.size("at") > 1, made)).drop("at")
 
 
 def chunk(docs: DataFrame, how: Chunking) -> DataFrame:
@@ -50,8 +70,13 @@ def chunk(docs: DataFrame, how: Chunking) -> DataFrame:
     """
     if how.strategy == "semantic":
         raise NotImplementedError("semantic chunking is not there; use fixed or recursive")
-    make = fixed if how.strategy == "fixed" else recursive
-    rows = docs.select("doc_id", "title", "metadata", "doc_seq", F.posexplode(make(F.col("text"), how.chunk_size, how.chunk_overlap)).alias("ordinal", "w"))
+    rows = docs.select("doc_id", "title", "metadata", "doc_seq", "text")
+    if how.strategy == "fixed":
+        rows = rows.withColumn("made", fixed(F.col("text"), how.chunk_size, how.chunk_overlap))
+    else:
+        rows = recursive(rows, how.chunk_size, how.chunk_overlap)
+    # not plain posexplode: the optimizer would put a filter on the chunks below it, and so make them twice
+    rows = rows.select("doc_id", "title", "metadata", "doc_seq", F.posexplode_outer("made").alias("ordinal", "w")).where("ordinal is not null")
     return rows.select(
         F.concat_ws("#", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "ordinal", "title", F.array_join("w", " ").alias("text"), "metadata", "doc_seq"
     )

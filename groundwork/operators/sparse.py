@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import tokens
+from ..functions.text import runs, tokens
 from .ranking import by_score, top_k
 
 # Fixed values of Okapi BM25; a negative idf becomes EPSILON times the mean idf.
@@ -32,11 +32,10 @@ _CHUNK = ("chunk_id", "doc_id", "doc_seq", "ordinal")
 def frequencies(chunks: DataFrame) -> DataFrame:
     """``chunk_id, doc_id, doc_seq, ordinal, block, dl, term, tf``; runs of the sorted tokens are counted within the row, so nothing is shuffled."""
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1)
-    rows = chunks.select(*_CHUNK, block.alias("block"), F.array_sort(tokens("text")).alias("s")).where(F.size("s") > 0)
-    begins = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i) != F.get("s", i - 1)))
-    rows = rows.withColumn("at", begins)
-    runs = F.transform("at", lambda i, j: F.struct(F.get("s", i).alias("term"), (F.coalesce(F.get("at", j + 1), F.size("s")) - i).cast("long").alias("tf")))
-    return rows.select(*_CHUNK, "block", F.size("s").alias("dl"), F.explode(runs).alias("r")).select(*_CHUNK, "block", "dl", "r.term", "r.tf")
+    rows = chunks.select(*_CHUNK, block.alias("block"), tokens("text").alias("t"))
+    # explode_outer: for explode, the optimizer would put a filter on the runs below it, and so count twice
+    found = rows.select(*_CHUNK, "block", F.size("t").alias("dl"), F.explode_outer(runs(F.col("t"))).alias("r")).where("r is not null")
+    return found.select(*_CHUNK, "block", "dl", F.col("r.token").alias("term"), F.col("r.n").cast("long").alias("tf"))
 
 
 def lists(tf: DataFrame) -> DataFrame:

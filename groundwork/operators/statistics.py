@@ -4,27 +4,89 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.resampling import mean_interval, normal_tail, paired_test
+from ..functions import resampling as R
 
-_ESTIMATE = "mean double, ci_low double, ci_high double, n long"
+#: Resamples of one group are dealt in so many parts at most.
+PARTS = 64
+
+
+def _packed(values: DataFrame, keys: list[str], order: str, value: Column) -> DataFrame:
+    """``keys, x``: each group's defined values in the order of ``order``; empty for a group without any."""
+    defined = value.isNotNull() & ~F.isnan(value)
+    listed = F.array_sort(F.collect_list(F.when(defined, F.struct(F.col(order).alias("o"), value.alias("v")))))
+    return values.groupBy(*keys).agg(listed.alias("s")).select(*keys, F.transform("s", lambda r: r["v"]).alias("x"))
+
+
+def _kept_before(spark: SparkSession, sizes: list[int], iterations: int, seed: int) -> dict[int, list[int]]:
+    """For each size whose draws fill more than one block of the generator's stream: the draws before each block."""
+    blocks = {n: -(-iterations * n // R.WORDS) for n in sizes}
+    wanted = [(n, b) for n, count in blocks.items() for b in range(count) if count > 1]  # one for 4 million draws
+    if not wanted:
+        return {}
+    words = R.WORDS
+
+    def count(batches):
+        for batch in batches:
+            yield batch.assign(kept=[R.kept_words(seed, int(n), int(b), words) for n, b in zip(batch["n"], batch["b"])])
+
+    rows = spark.createDataFrame(wanted, "n long, b long").repartition(min(len(wanted), 1000)).mapInPandas(count, "n long, b long, kept long").collect()
+    found: dict[int, list[int]] = {}
+    for n, b, kept in sorted(tuple(r) for r in rows):
+        before = found.setdefault(n, [0])
+        before.append(before[-1] + kept)
+    return found
+
+
+def _resampled(packed: DataFrame, keys: list[str], iterations: int, seed: int, finish, fields: str, single: bool) -> DataFrame:
+    """``keys`` and what ``finish(x mean, n, means)`` returns for each group, its resamples drawn in parts and put in order again.
+
+    A group's values travel to the tasks that draw its parts; no group is
+    drawn in one worker.  ``single`` leaves groups of one value alone.
+    """
+    spark = packed.sparkSession
+    sizes = [r["n"] for r in packed.select(F.size("x").alias("n")).where(f"n > {1 if single else 0}").distinct().collect()]
+    before, words = _kept_before(spark, sizes, iterations, seed), R.WORDS
+    # parts of a few million draws, 64 at most, the last one shorter
+    each = F.greatest(F.ceil(F.lit(iterations) / PARTS), F.floor(F.lit(words) / F.greatest(F.size("x"), F.lit(1)))).cast("int")
+    first = F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.least(F.lit(max(iterations, 1)), each)))
+    parts = packed.select(*keys, "x", F.least(F.lit(iterations), each).alias("each"), first.alias("first")).repartition(*keys, "first")
+
+    def draw(batches):
+        for frame in batches:
+            out = frame[keys].copy()
+            xs = [np.asarray(x, float) for x in frame["x"]]
+            many = [len(x) > (1 if single else 0) for x in xs]
+            counts = [min(int(e), iterations - int(f)) for e, f in zip(frame["each"], frame["first"])]
+            out["first"], out["n"] = frame["first"], [len(x) for x in xs]
+            out["mean"] = [float(x.mean()) if len(x) else None for x in xs]
+            out["means"] = [R.resampled_means(x, int(f), c, seed, before.get(len(x), []), words) if m else np.zeros(0) for x, f, c, m in zip(xs, frame["first"], counts, many)]
+            yield out
+
+    types = ", ".join(f"`{k}` {packed.schema[k].dataType.simpleString()}" for k in keys)
+    drawn = parts.mapInPandas(draw, f"{types}, first int, n long, mean double, means array<double>")
+
+    def put_together(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:  # one number for each iteration
+        frame = frame.sort_values("first")
+        n, mean = int(frame["n"].iloc[0]), frame["mean"].iloc[0]
+        return pd.DataFrame([(*key, *finish(mean if n else None, n, np.concatenate([np.asarray(m, float) for m in frame["means"]])))])
+
+    return drawn.groupBy(*keys).applyInPandas(put_together, f"{types}, {fields}")
 
 
 def estimates(values: DataFrame, keys: list[str], order: str, iterations: int, confidence: float, seed: int) -> DataFrame:
     """``keys, mean, ci_low, ci_high, n`` by numpy's generator; values are resampled in the order of column ``order``.
 
-    One group is the values of one metric of one variant: as many as there
-    are questions, which a report's reader bounds.  For groups of any size
-    use ``hashed_interval``.
+    The figures are those of one generator that draws all iterations of a
+    group, to the last bit, though tasks draw them in parts.  A group's values
+    are one row of its own.
     """
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values(order, kind="stable")["value"].to_numpy(float)
-        return pd.DataFrame([(*key, *mean_interval(x, iterations, confidence, seed))])
+    def finish(mean, n, means):
+        return (mean, *(R.interval(means, confidence) if n > 1 else (mean, mean)), n)
 
-    types = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys)
-    return values.groupBy(*keys).applyInPandas(run, f"{types}, {_ESTIMATE}")
+    return _resampled(_packed(values, keys, order, F.col("value")), keys, iterations, seed, finish, "mean double, ci_low double, ci_high double, n long", single=True)
 
 
 def hashed_interval(values: DataFrame, keys: list[str], iterations: int, confidence: float, salt: str = "") -> DataFrame:
@@ -55,26 +117,52 @@ def aligned(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("metric", "ques
 
 
 def comparisons(pairs: DataFrame, keys: list[str], order: str, iterations: int = 10_000, seed: int = 0) -> DataFrame:
-    """``keys, diff_mean, p_value, n`` of the paired bootstrap; one group is the questions of one metric."""
+    """``keys, diff_mean, p_value, n`` of the paired bootstrap, drawn as in ``estimates``."""
+
+    def finish(mean, n, means):
+        return (mean, R.two_sided(means) if n else None, n)
+
+    return _resampled(_packed(pairs, keys, order, F.col("a") - F.col("b")), keys, iterations, seed, finish, "diff_mean double, p_value double, n long", single=False)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        return pd.DataFrame([(*key, *paired_test((frame["a"] - frame["b"]).to_numpy(float), iterations, seed))])
 
-    types = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    return pairs.groupBy(*keys).applyInPandas(run, f"{types}, diff_mean double, p_value double, n long")
+#: Distinct values are dealt in so many ranges to be counted.
+RANGES = 64
+
+
+def _counted_below(counts: DataFrame, value: str) -> DataFrame:
+    """``counts`` (``value, __n``) with ``__before``, the sum of ``__n`` over smaller values, null ones first.
+
+    Values are dealt by ranges and summed up within each; what stands before
+    a range is a sum of at most 64 numbers.
+    """
+    found = counts.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10_000).alias("p")).first()["p"] or []
+    edges = sorted({x for x in found if x is not None})
+    at = sum((F.when(F.col(value) > x, 1).otherwise(0) for x in edges), F.lit(0)) if edges else F.lit(0)
+    dealt = counts.withColumn("__range", at)
+    sums = {r[0]: r[1] for r in dealt.groupBy("__range").agg(F.sum("__n")).collect()}  # 64 at most
+    before = [sum(n for i, n in sums.items() if i < j) for j in range(len(edges) + 1)]
+    inside = Window.partitionBy("__range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.get(F.array(*map(F.lit, before)), F.col("__range"))
+    return dealt.withColumn("__before", start + F.coalesce(F.sum("__n").over(inside), F.lit(0))).drop("__range")
 
 
 def average_ranks(df: DataFrame, value: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks from 1, equal values share their mean rank; counted per distinct value, so no group of ties is gathered."""
+    """Ranks from 1, equal values share their mean rank; counted per distinct value, so no group of ties is gathered.
+
+    Without ``keys``, ranks are of the whole table (numbers only), and no task
+    sees more than a range of its distinct values.
+    """
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / 2.0).drop("__n")
-    other = ranks.select(*keys, F.col(value).alias("__v"), name)
-    on = [F.col(value).eqNullSafe(F.col("__v"))] if not keys else None
-    if on:
-        return df.join(other, on[0]).drop("__v")
-    return df.join(ranks, [*keys, value])
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    else:
+        counts = _counted_below(counts, value)
+    ranks = counts.withColumn(name, F.col("__before") + (F.col("__n") + 1) / 2.0).drop("__n", "__before")
+    if keys:
+        return df.join(ranks, [*keys, value])
+    other = ranks.select(F.col(value).alias("__v"), name)
+    return df.join(other, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 
 def wilcoxon(pairs: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
@@ -95,7 +183,7 @@ def with_p_value(tests: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def tail(z: pd.Series) -> pd.Series:
-        return z.map(lambda x: 1.0 if x is None or np.isnan(x) else min(1.0, 2.0 * normal_tail(abs(x))))
+        return z.map(lambda x: 1.0 if x is None or np.isnan(x) else min(1.0, 2.0 * R.normal_tail(abs(x))))
 
     return tests.withColumn("p_value", tail("z"))
 

@@ -4,6 +4,9 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from groundwork.functions import resampling as R
 from groundwork.functions.resampling import mean_interval, paired_test
 from groundwork.operators import statistics as S
 
@@ -70,3 +73,55 @@ def test_gate_and_percentiles(spark):
     assert {r["metric"]: r["passed"] for r in S.gate(floors, found).collect()} == {"a": True, "b": False, "c": False, "d": False}
     df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 10)], "v double")
     assert S.percentiles(df, "v", {"p95": 0.95}).first()["p95"] == pytest.approx(8.95)
+
+
+def one_generator(x, iterations, seed):
+    """All resamples at once, as numpy draws them."""
+    return x[np.random.default_rng(seed).integers(0, len(x), size=(iterations, len(x)))].mean(axis=1)
+
+
+@pytest.mark.parametrize("n", [2, 3, 1000, 99_991, 2_863_311_531, 3_000_000_000])
+def test_draws_can_begin_anywhere(n):
+    """Of the two largest sizes a third of all words is thrown away."""
+    words, draws = 1 << 10, 20_000
+    want = np.random.default_rng(5).integers(0, n, size=draws)
+    before = [0]
+    while before[-1] < draws:
+        before.append(before[-1] + R.kept_words(5, n, len(before) - 1, words))
+    for first in (0, 1, 1023, 1024, 7777, 19_999):
+        assert (R.generator_at(5, first, n, before, words).integers(0, n, size=draws - first) == want[first:]).all()
+    assert (R.generator_at(5, 3000, n, before[:3], words).integers(0, n, size=10) == want[3000:3010]).all()
+
+
+@pytest.mark.parametrize("iterations", [1, 10, 1000, 10_000])
+def test_parts_are_bit_equal(spark, monkeypatch, iterations):
+    monkeypatch.setattr(R, "WORDS", 1 << 12)
+    rng = np.random.default_rng(8)
+    groups = {"a": rng.random(37), "b": rng.normal(size=211), "one": np.array([0.5]), "c": rng.random(211)}
+    rows = [(k, i, float(v), float(v) - 0.4) for k, x in groups.items() for i, v in enumerate(x)] + [("a", 99, math.nan, 1.0), ("none", 0, None, None)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "metric string, slot int, value double, a double").repartition(3)
+    got = {r["metric"]: tuple(r)[1:] for r in S.estimates(df, ["metric"], "slot", iterations, 0.95, 42).collect()}
+    assert got["none"] == (None, None, None, 0) and got["one"] == (0.5, 0.5, 0.5, 1)
+    for k in "abc":
+        tail = (1.0 - 0.95) / 2.0
+        low, high = np.quantile(one_generator(groups[k], iterations, 42), [tail, 1.0 - tail])
+        assert got[k] == (groups[k].mean(), pytest.approx(low, abs=0), pytest.approx(high, abs=0), len(groups[k]))
+    pairs = df.where("metric in ('a', 'b', 'c', 'one') and not isnan(value)").withColumn("b", F.lit(0.0))
+    for r in S.comparisons(pairs, ["metric"], "slot", iterations, 3).collect():
+        means = one_generator(groups[r["metric"]] - 0.4, iterations, 3)
+        assert r["p_value"] == min(1.0, 2.0 * min((means <= 0).mean(), (means >= 0).mean())) and r["n"] == len(groups[r["metric"]])
+
+
+def test_ranks_of_a_whole_table(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 300, 3000).astype(float), rng.normal(size=3000).round(2)
+    df = spark.createDataFrame([(a, b) for a, b in zip(x.tolist(), y.tolist())] + [(None, 1.0)], "x double, y double")
+    ranks = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    got = S.average_ranks(df.where("x is not null"), "x", "r").select("x", "r").collect()
+    assert sorted(map(tuple, got)) == sorted(zip(x, ranks(x)))
+    found = S.spearman(df.where("x is not null"), "x", "y")
+    assert found.first()["rho"] == pytest.approx(np.corrcoef(ranks(x), ranks(y))[0, 1])
+    assert "SinglePartition" not in S.average_ranks(df, "x", "r")._jdf.queryExecution().executedPlan().toString()
+    assert S.average_ranks(df, "x", "r").where("x is null").first()["r"] == 1.0
+    assert S.average_ranks(df.limit(0), "x", "r").collect() == []

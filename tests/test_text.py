@@ -60,3 +60,23 @@ def test_f1_and_grounding(spark):
         assert abs(r["f"] - f1(r["a"], r["b"])) < 1e-12
     g = spark.createDataFrame([("moons phobos [1] rome", "mars moons Phobos"), ("the of", "x")], "a string, c string").select(T.grounding("a", "c").alias("g")).collect()
     assert [round(r["g"], 6) for r in g] == [0.666667, 1.0]
+
+
+def test_overlap_of_long_and_odd_tokens(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(2)
+    rows = [([rng.choice("abcdefg") for _ in range(rng.randrange(30))], [rng.choice("cdefghi") for _ in range(rng.randrange(30))]) for _ in range(60)]
+    rows += [(["x"] * 20_000 + [str(i) for i in range(20_000)], ["x"] * 15_000 + [str(i) for i in range(0, 40_000, 2)]), (["1", "11"], ["11", "1", "1"])]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a array<string>, b array<string>")
+    got = {r["i"]: r["n"] for r in df.select("i", T.overlap(F.col("a"), F.col("b")).alias("n")).collect()}
+    assert all(got[i] == sum((Counter(a) & Counter(b)).values()) for i, (a, b) in enumerate(rows))
+    counted = {r["i"]: r["r"] for r in df.select("i", T.runs(F.col("a")).alias("r")).collect()}
+    assert all([tuple(x) for x in counted[i]] == sorted(Counter(a).items()) for i, (a, _) in enumerate(rows))
+
+
+def test_grounding_of_long_texts(spark):
+    answer, context = " ".join(f"w{i % 5000}" for i in range(30_000)), " ".join(f"w{i}" for i in range(0, 20_000, 2))
+    df = spark.createDataFrame([(answer, context), ("w1 w1 w2", ""), ("", "w1"), (None, "w1")], "a string, c string")
+    assert [r["g"] for r in df.select(T.grounding("a", "c").alias("g")).collect()] == [0.5, 0.0, 1.0, None]
