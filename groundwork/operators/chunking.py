@@ -12,10 +12,14 @@ from ..settings import Chunking
 
 def _pieces(w: Column, size: int, step: int) -> Column:
     """Windows of ``size`` words, one every ``step``, until one reaches the end; none without words."""
-    n = F.size(w)
-    last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
-    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * step + 1, size))
-    return F.when(n > 0, made).otherwise(F.array().cast("array<array<string>>"))
+
+    def cut(w: Column) -> Column:  # the words are found once, not for each window
+        n = F.size(w)
+        last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
+        made = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * step + 1, size))
+        return F.when(n > 0, made).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(w, cut)
 
 
 def fixed(text: Column, size: int, overlap: int) -> Column:

@@ -1,27 +1,36 @@
 """BM25 over an inverted index.
 
-Postings are counted inside a chunk's row, so a corpus is dealt once, by term
-and block.  A stored index keeps lists: a row holds one term's postings in one
-block of neighbouring chunks with the largest count and the shortest length,
-which bound what the term can add to any chunk of the block (block-max
-indexes, Ding and Suel, 2011).  Lists hold counts, not weights, so they stay
-right when the corpus and its statistics grow.
+A stored index keeps lists: a row holds one term's postings in one block of
+neighbouring chunks, with the largest count and the shortest length, which
+bound what the term can add to any chunk of the block (block-max indexes, Ding
+and Suel, 2011).  Lists hold counts, not weights, so they stay right when the
+corpus and its statistics grow.
+
+A search reads the lists of asked terms only and deals them by block.  A task
+scores a block for all questions at once and keeps its own first k of each, so
+no pair of a question and a chunk is ever a row of a shuffle; a block whose
+bound can't reach a question's k-th score is not scored for it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import runs, tokens
-from .ranking import by_score, top_k
+from .ranking import DIGITS, by_score, top_k
 
 # Fixed values of Okapi BM25; a negative idf becomes EPSILON times the mean idf.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 #: Chunks of a block.
 BLOCK = 128
-#: Blocks of a question that are scored first, to learn what its k-th chunk scores at least.
-SEEDS = 4
+#: Questions that a task scores at once.
+QUESTIONS = 1024
+#: Pairs of a posting and a question that are worked on at once.
+PAIRS = 1 << 21
 #: Up to so many asked terms are handed to the reader by name; more are joined.
 NAMED = 500
 #: Up to so many asked terms are broadcast.
@@ -30,20 +39,50 @@ _CHUNK = ("chunk_id", "doc_id", "doc_seq", "ordinal")
 
 
 def frequencies(chunks: DataFrame) -> DataFrame:
-    """``chunk_id, doc_id, doc_seq, ordinal, block, dl, term, tf``; runs of the sorted tokens are counted within the row, so nothing is shuffled."""
-    block = F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1)
-    rows = chunks.select(*_CHUNK, block.alias("block"), tokens("text").alias("t"))
+    """``chunk_id, doc_id, doc_seq, ordinal, dl, term, tf``; runs of the sorted tokens are counted within the row, so nothing is shuffled."""
+    rows = chunks.select(*_CHUNK, tokens("text").alias("t"))
     # explode_outer: for explode, the optimizer would put a filter on the runs below it, and so count twice
-    found = rows.select(*_CHUNK, "block", F.size("t").alias("dl"), F.explode_outer(runs(F.col("t"))).alias("r")).where("r is not null")
-    return found.select(*_CHUNK, "block", "dl", F.col("r.token").alias("term"), F.col("r.n").cast("long").alias("tf"))
-
-
-def lists(tf: DataFrame) -> DataFrame:
-    """``term, block, n, words, max_tf, min_dl, postings``: a row for each term of a block."""
-    posting = F.struct("chunk_id", "doc_id", "doc_seq", "ordinal", "tf", "dl")
-    return tf.groupBy("term", "block").agg(
-        F.count("*").alias("n"), F.sum("tf").alias("words"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(posting).alias("postings")
-    )
+    found = rows.select(*_CHUNK, F.size("t").alias("dl"), F.explode_outer(runs(F.col("t"))).alias("r")).where("r is not null")
+    return found.select(*_CHUNK, "dl", F.col("r.token").alias("term"), F.col("r.n").cast("long").alias("tf"))
+
+
+_POSTING = pa.struct([("chunk_id", pa.string()), ("doc_seq", pa.int64()), ("ordinal", pa.int32()), ("tf", pa.int64()), ("dl", pa.int32())])
+LISTS = "term string, block long, n long, words long, max_tf long, min_dl int, postings array<struct<chunk_id:string,doc_seq:long,ordinal:int,tf:long,dl:int>>"
+
+
+def _lists(batches):
+    """Lists of the blocks of one partition; a block is up to BLOCK of its chunks, in order."""
+    block = TaskContext.get().partitionId() << 32
+    for whole in batches:
+        for start in range(0, whole.num_rows, BLOCK):
+            batch = whole.slice(start, BLOCK)
+            listed = batch.column("t")
+            dl = np.asarray(listed.value_lengths().fill_null(0)).astype(np.int64)
+            coded = listed.flatten().dictionary_encode()
+            chunk = np.repeat(np.arange(len(dl)), dl)
+            pairs, tf = np.unique(np.asarray(coded.indices).astype(np.int64) * BLOCK + chunk, return_counts=True)
+            code, chunk = pairs // BLOCK, pairs % BLOCK
+            begins = np.flatnonzero(np.diff(code, prepend=-1))
+            at = pa.array(chunk)
+            parts = [batch.column(c).take(at) for c in ("chunk_id", "doc_seq", "ordinal")] + [pa.array(tf.astype(np.int64)), pa.array(dl[chunk].astype(np.int32))]
+            postings = pa.ListArray.from_arrays(pa.array(np.append(begins, len(code)), pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_POSTING)))
+            sums = [np.diff(np.append(begins, len(code)))] + ([np.add.reduceat(tf, begins), np.maximum.reduceat(tf, begins), np.minimum.reduceat(dl[chunk], begins)] if len(begins) else [begins] * 3)
+            n, words, max_tf, min_dl = (pa.array(x.astype(np.int64)) for x in sums)
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(code[begins])), pa.array(np.full(len(begins), block)), n, words, max_tf, min_dl.cast(pa.int32()), postings],
+                names=["term", "block", "n", "words", "max_tf", "min_dl", "postings"],
+            )
+            block += 1
+
+
+def lists(chunks: DataFrame) -> DataFrame:
+    """``term, block, n, words, max_tf, min_dl, postings``: a row for each term of a block.
+
+    Blocks lie within partitions, so a partition's rows hold whole lists;
+    ``chunks`` must be a written table, whose partitions stay as they are.
+    """
+    rows = chunks.select("chunk_id", "doc_seq", "ordinal", tokens("text").alias("t"))
+    return rows.mapInArrow(_lists, LISTS)
 
 
 def statistics(df: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +101,7 @@ def saturation(tf: str, dl: str, avgdl: Column) -> Column:
 def weighted(tf: DataFrame, stats: DataFrame, whole: DataFrame) -> DataFrame:
     """``postings``: each term's weight in its chunk."""
     rows = tf.join(stats.select("term", "idf"), "term").crossJoin(F.broadcast(whole.select("avgdl")))
-    return rows.select("term", *_CHUNK, "tf", (F.col("idf") * saturation("tf", "dl", F.col("avgdl"))).alias("weight"))
+    return rows.select("term", "chunk_id", "doc_seq", "ordinal", "tf", (F.col("idf") * saturation("tf", "dl", F.col("avgdl"))).alias("weight"))
 
 
 def build(chunks: DataFrame) -> dict[str, DataFrame]:
@@ -92,49 +131,146 @@ def _summed(met: DataFrame, avgdl: Column) -> DataFrame:
     return met.groupBy("question_id", "chunk_id", "doc_seq", "ordinal").agg(F.sum(F.col("weight") * saturation("tf", "dl", avgdl)).alias("score"))
 
 
-def _skipping(asked: DataFrame, found: DataFrame, avgdl: float, k: int) -> DataFrame:
-    """Scores of all chunks that can be among a question's first ``k``, no block read that can't hold one.
+class _First:
+    """The first ``k`` of each question so far, for the questions that a task works on."""
 
-    A block's bound is the sum of its terms' largest weights.  The blocks of
-    the highest bounds are scored first; their k-th score is a floor, and only
-    blocks whose bound reaches it are scored.
-    """
-    where = [c for c in ("delta", "block") if c in found.columns]
-    peak = F.col("weight") * saturation("max_tf", "min_dl", F.lit(avgdl))
-    bounds = asked.join(found.select("term", *where, "max_tf", "min_dl"), "term").groupBy("question_id", *where).agg(F.sum(peak).alias("bound"))
+    def __init__(self, k: int):
+        self.k, self.rows, self.floor = k, {}, {}
 
-    def scored(blocks: DataFrame) -> DataFrame:
-        wanted = asked.join(blocks.select("question_id", *where), "question_id")
-        met = found.select("term", *where, "postings").join(wanted, ["term", *where])
-        return _summed(met.select("question_id", "weight", F.explode("postings").alias("p")).select("question_id", "weight", "p.*"), F.lit(avgdl))
+    def add(self, question: str, score: np.ndarray, chunk: np.ndarray, doc_seq: np.ndarray, ordinal: np.ndarray) -> None:
+        had = self.rows.get(question)
+        if had is not None:
+            score, chunk, doc_seq, ordinal = (np.concatenate(p) for p in zip(had, (score, chunk, doc_seq, ordinal)))
+        order = np.lexsort((ordinal, doc_seq, -np.round(score, DIGITS)))[: self.k]
+        self.rows[question] = tuple(x[order] for x in (score, chunk, doc_seq, ordinal))
+        if len(order) == self.k:
+            self.floor[question] = float(score[order[-1]])
 
-    first = scored(top_k(bounds, ["question_id"], [F.desc("bound"), *map(F.col, where)], SEEDS))
-    kth = top_k(first, ["question_id"], by_score("doc_seq", "ordinal"), k).where(F.col("rank") == k).select("question_id", F.col("score").alias("floor"))
-    # scores that differ by less than 1e-9 tie, and sums differ in their last digits
-    return scored(bounds.join(kth, "question_id", "left").where(F.col("bound") >= F.coalesce("floor", F.lit(0.0)) - 1e-6))
+    def out(self) -> pa.RecordBatch:
+        ids = [q for q, r in self.rows.items() for _ in r[0]]
+        score, chunk, doc_seq, ordinal = (np.concatenate(x) for x in zip(*self.rows.values()))
+        self.rows, self.floor = {}, {}
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.string()), pa.array(chunk.tolist(), pa.string()), pa.array(doc_seq), pa.array(ordinal.astype(np.int32)), pa.array(score)], names=["question_id", "chunk_id", "doc_seq", "ordinal", "score"]
+        )
 
 
-def scores(questions: DataFrame, index: dict[str, DataFrame], k: int | None = None) -> DataFrame:
-    """``question_id, chunk_id, doc_seq, ordinal, score`` of chunks that share a term; a repeated question term counts each time.
+def _score_block(lists_: pa.Table, first: _First, avgdl: float) -> int:
+    """Score one block for the questions that its lists are asked by; how many pairs of a posting and a question that took.
 
-    With ``k``, chunks that can't be among a question's first ``k`` may be left
-    out; stored lists then skip the blocks that hold only such chunks.
+    A row has a list and the questions that have its term, with their weights.
+    Questions whose floor is above their bound on this block are left out.
     """
+    asked = lists_.column("asked").combine_chunks()
+    m = np.asarray(asked.value_lengths()).astype(np.int64)
+    flat = asked.flatten()
+    coded = flat.field("question_id").dictionary_encode()
+    names, q, w = coded.dictionary.to_pylist(), np.asarray(coded.indices).astype(np.int64), np.asarray(flat.field("weight"))
+    row = np.repeat(np.arange(len(m)), m)
+
+    def saturated(tf, dl):
+        return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+    peak = saturated(lists_.column("max_tf").to_numpy(), lists_.column("min_dl").to_numpy())
+    bound = np.bincount(q, w * peak[row], minlength=len(names))
+    # scores that differ by less than 1e-9 tie, and sums differ in their last digits
+    wanted = bound >= np.array([first.floor.get(x, -np.inf) for x in names]) - 1e-6
+    keep = wanted[q]
+    q, w, row = q[keep], w[keep], row[keep]
+    m = np.bincount(row, minlength=len(m))
+    postings = lists_.column("postings").combine_chunks()
+    n = np.asarray(postings.value_lengths()).astype(np.int64)
+    flat = postings.flatten()
+    ids = flat.field("chunk_id").dictionary_encode()
+    chunk = np.asarray(ids.indices).astype(np.int64)
+    s = saturated(np.asarray(flat.field("tf")), np.asarray(flat.field("dl")))
+    total, n_chunks = np.zeros(len(names) * len(ids.dictionary)), len(ids.dictionary)
+    p0, q0, pairs = np.cumsum(n) - n, np.cumsum(m) - m, n * m
+    edges = np.concatenate([[0], np.cumsum(pairs)])
+    start = 0
+    while start < len(m):
+        stop = max(start + 1, int(np.searchsorted(edges, edges[start] + PAIRS, "right")) - 1)
+        r = np.repeat(np.arange(start, stop), pairs[start:stop])
+        at = np.arange(len(r)) + edges[start] - edges[r]
+        p, a = p0[r] + at // np.maximum(m[r], 1), q0[r] + at % np.maximum(m[r], 1)
+        total += np.bincount(q[a] * n_chunks + chunk[p], s[p] * w[a], minlength=len(total))
+        start = stop
+    where = np.zeros(n_chunks, np.int64)
+    where[chunk] = np.arange(len(chunk))
+    doc_seq, ordinal = np.asarray(flat.field("doc_seq"))[where], np.asarray(flat.field("ordinal"))[where]
+    chunk_ids = np.array(ids.dictionary.to_pylist(), object)
+    total = total.reshape(len(names), n_chunks)
+    for i in np.flatnonzero(wanted):
+        found = np.flatnonzero(total[i] > max(first.floor.get(names[i], 0.0) - 1e-6, 0.0))
+        if len(found):
+            first.add(names[i], total[i][found], chunk_ids[found], doc_seq[found], ordinal[found])
+    return int(edges[-1])
+
+
+def _scorer(k: int, avgdl: float):
+    def run(batches):
+        first, group, now = _First(k), [], None
+
+        def finish():
+            if group:
+                _score_block(pa.Table.from_batches(group), first, avgdl)
+                group.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("part", "delta", "block"))))
+            begins = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            for i, j in zip(begins, begins[1:] + [len(keys)]):
+                if keys[i] != now:
+                    finish()
+                    if now is not None and keys[i][0] != now[0] and first.rows:
+                        yield first.out()
+                    now = keys[i]
+                group.append(batch.slice(i, j - i))
+        finish()
+        if first.rows:
+            yield first.out()
+
+    return run
+
+
+def _terms(questions: DataFrame) -> tuple[DataFrame, bool]:
+    """``question_id, term, qtf``, and whether they are few; then they are broadcast, so that postings don't move."""
+    terms = questions.select("question_id", F.explode(tokens("question")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))
+    few = terms.count() <= BROADCAST
+    return (F.broadcast(terms) if few else terms), few
+
+
+def _asked(terms: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """``question_id, term, weight`` of known terms: idf, times how often a question has the term."""
+    return index["term_stats"].select("term", "idf").join(terms, "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+
+
+def _nearest(questions: DataFrame, index: dict[str, DataFrame], avgdl: float, k: int) -> DataFrame:
+    """``question_id, chunk_id, doc_seq, ordinal, score`` from stored lists: at least each question's first ``k`` that score above 0."""
     terms, few = _terms(questions)
-    asked = index["term_stats"].select("term", "idf").join(terms, "term").select("question_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    if "lists" not in index:
-        met = index["frequencies"].join(terms.select("term").distinct(), "term", "left_semi").join(asked, "term")
-        return _summed(met.crossJoin(F.broadcast(index["corpus_stats"].select("avgdl"))), F.col("avgdl"))  # one row
-    corpus = index["corpus_stats"].first()
-    found, avgdl = index["lists"], corpus["avgdl"] or 1.0
+    part = F.pmod(F.xxhash64("question_id"), F.greatest(F.lit(1), F.ceil(F.lit(questions.count()) / QUESTIONS))).cast("int")
+    asked = _asked(terms, index).groupBy("term", part.alias("part")).agg(F.collect_list(F.struct("question_id", "weight")).alias("asked"))
+    found = index["lists"]
     names = [r["term"] for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
     if len(names) <= NAMED:
         found = found.where(F.col("term").isin(names))
-    small = F.broadcast(asked) if few else asked
-    if k is not None and k > 0 and (corpus["avg_idf"] or 0) >= 0:
-        return _skipping(small, found, avgdl, k)
-    flat = found.select("term", F.explode("postings").alias("p")).select("term", "p.*")
-    return _summed(flat.join(small, "term"), F.lit(avgdl))
+    rows = found.select("term", "delta", "block", "max_tf", "min_dl", "postings").join(F.broadcast(asked) if few else asked, "term")
+    dealt = rows.drop("term").repartition("part", "delta", "block").sortWithinPartitions("part", "delta", "block")
+    return dealt.mapInArrow(_scorer(k, avgdl), "question_id string, chunk_id string, doc_seq long, ordinal int, score double")
+
+
+def scores(questions: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
+    """``question_id, chunk_id, doc_seq, ordinal, score`` of all chunks that share a term; a repeated question term counts each time."""
+    terms, _ = _terms(questions)
+    if "lists" in index:
+        tf = index["lists"].select("term", F.explode("postings").alias("p")).select("term", "p.*")
+    else:
+        tf = index["frequencies"]
+    met = tf.join(terms.select("term").distinct(), "term", "left_semi").join(_asked(terms, index), "term")
+    met = met.crossJoin(F.broadcast(index["corpus_stats"].select("avgdl")))  # one row
+    return met.groupBy("question_id", "chunk_id", "doc_seq", "ordinal").agg(F.sum(F.col("weight") * saturation("tf", "dl", F.col("avgdl"))).alias("score"))
 
 
 def search(questions: DataFrame, index: dict[str, DataFrame], k: int) -> DataFrame:
@@ -144,11 +280,13 @@ def search(questions: DataFrame, index: dict[str, DataFrame], k: int) -> DataFra
     chunks of the corpus: 2k of them hold enough unless scores can be negative
     (a mean idf below 0, as in corpora of a few chunks); then all do.
     """
-    found = scores(questions, index, k)
-    negative = index["corpus_stats"].where("avg_idf < 0").limit(1).count() > 0
+    corpus = index["corpus_stats"].first()
+    negative = corpus["avg_idf"] is not None and corpus["avg_idf"] < 0
+    found = _nearest(questions, index, corpus["avgdl"] or 1.0, k) if "lists" in index and not negative and k > 0 else scores(questions, index)
     first = index["chunks"].select("chunk_id", "doc_seq", "ordinal").orderBy("doc_seq", "ordinal")
     first = first if negative else first.limit(2 * max(k, 0))
-    pads = questions.select("question_id").join(F.broadcast(first) if not negative else first, F.lit(True))
-    pads = pads.join(found.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    ranked = top_k(found.unionByName(pads), ["question_id"], by_score("doc_seq", "ordinal"), k)
+    pads = questions.select("question_id").join(F.broadcast(first) if not negative else first, F.lit(True)).withColumn("score", F.lit(None).cast("double"))
+    # a chunk that is found keeps its score, one that isn't has none: 0
+    both = found.unionByName(pads).groupBy("question_id", "chunk_id", "doc_seq", "ordinal").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+    ranked = top_k(both, ["question_id"], by_score("doc_seq", "ordinal"), k)
     return ranked.select("question_id", "chunk_id", "rank", "score", F.lit("bm25").alias("source"))

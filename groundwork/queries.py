@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table in fewer parts than there are cores, dealt over all of them; larger ones stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
@@ -39,7 +45,7 @@ def r6(c) -> F.Column:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     none = F.create_map().cast("map<string,string>")
     return d.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("title"), "text", none.alias("metadata"), F.col("doc_id").alias("doc_seq"))
 

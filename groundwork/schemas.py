@@ -16,7 +16,7 @@ JUDGE_LABELS = _struct(id=_S, question=_S, reference_answer=_S, answer=_S, conte
 
 #: Tables of an index.
 CHUNKS = _struct(chunk_id=_S, doc_id=_S, ordinal=_I, title=_S, text=_S, metadata=T.MapType(_S, _S), doc_seq=_L)
-LISTS = _struct(term=_S, block=_L, n=_L, words=_L, max_tf=_L, min_dl=_I, postings=T.ArrayType(_struct(chunk_id=_S, doc_id=_S, doc_seq=_L, ordinal=_I, tf=_L, dl=_I)))
+LISTS = _struct(term=_S, block=_L, n=_L, words=_L, max_tf=_L, min_dl=_I, postings=T.ArrayType(_struct(chunk_id=_S, doc_seq=_L, ordinal=_I, tf=_L, dl=_I)))
 TERMS = _struct(term=_S, df=_L)
 SIZES = _struct(n=_L, words=_L)
 VECTORS = _struct(chunk_id=_S, doc_id=_S, vec=T.ArrayType(T.FloatType()))

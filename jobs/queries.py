@@ -26,7 +26,7 @@ def job1_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):  # a pattern, as the table is one file or a folder of files
         index_documents.run(spark, f"{sf_dir}/documents*.parquet", f"{root}/index", f"{root}/checkpoint", config)
     built = index.load(spark, pipeline(config), f"{root}/index")
-    chunks = built["chunks"].select("chunk_id", "title", F.size(F.split("text", " ")).cast("long").alias("n_words"))
+    chunks = built["chunks"].select("chunk_id", "doc_id", "title", F.size(F.split("text", " ")).cast("long").alias("n_words"))
     rows = built["postings"].join(chunks, "chunk_id")
     return rows.select("term", "chunk_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "title", "n_words", "tf", F.round("weight", 6).alias("weight"))
 

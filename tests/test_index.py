@@ -4,6 +4,7 @@ import random
 import shutil
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from groundwork import settings as C
@@ -55,21 +56,38 @@ def test_skipping_gives_the_same_ranking(spark, tmp_path, monkeypatch, block, k)
 
 
 def test_blocks_are_skipped(spark, tmp_path, monkeypatch):
-    """Chunks that share only common words with a question that has a rare one aren't scored."""
-    monkeypatch.setattr(sparse, "BLOCK", 8)
-    common = [" ".join(WORDS[j % 7] for j in range(i, i + 9)) + f" only{i}" for i in range(600)]
-    rows = [(i, t + (" needle needle" if i % 200 == 7 else "")) for i, t in enumerate(common)]
-    I.save(I.build(table(spark, rows).coalesce(1), HOW), HOW, str(tmp_path))
-    stored = I.load(spark, HOW, str(tmp_path))
-    q = spark.createDataFrame([("q", "w1 w2 needle")], "question_id string, question string")
-    assert sparse.scores(q, stored, 3).count() < sparse.scores(q, stored).count() / 4
-    assert ranking(sparse.search(q, stored, 3)) == ranking(sparse.search(q, I.build(table(spark, rows), HOW), 3))
+    """Blocks that share only common words with a question aren't scored once better chunks are known."""
+    took = []
+    real = sparse._score_block
+    monkeypatch.setattr(sparse, "_score_block", lambda *a: took.append(real(*a)) or took[-1])
+    first = sparse._First(2)
+
+    def block(n, words):
+        asked = pa.array([[{"question_id": "q", "weight": w}] for w, _ in words], pa.list_(pa.struct([("question_id", pa.string()), ("weight", pa.float64())])))
+        lists = pa.array([[{"chunk_id": f"{n}-{i}", "doc_seq": n, "ordinal": i, "tf": tf, "dl": 10} for i in range(5)] for _, tf in words], pa.list_(sparse._POSTING))
+        return pa.table({"max_tf": [tf for _, tf in words], "min_dl": [10] * len(words), "postings": lists, "asked": asked})
+
+    for n, words in enumerate([[(0.1, 1)], [(0.1, 1), (5.0, 2)], [(0.1, 3)], [(0.1, 1), (5.0, 2)]]):
+        sparse._score_block(block(n, words), first, 10.0)
+    assert took == [5, 10, 0, 10]  # the third block is left out, the fourth can tie
+    score, chunk, _, _ = first.rows["q"]
+    assert chunk.tolist() == ["1-0", "1-1"]
+
+
+def test_questions_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sparse, "QUESTIONS", 4)
+    monkeypatch.setattr(sparse, "PAIRS", 10)
+    monkeypatch.setattr(sparse, "BLOCK", 16)
+    built = I.build(table(spark, list(enumerate(texts(6, 300)))).repartition(3), HOW)
+    I.save(built, HOW, str(tmp_path))
+    q = asked(spark, 4, 30)
+    assert ranking(sparse.search(q, I.load(spark, HOW, str(tmp_path)), 7)) == ranking(sparse.search(q, built, 7))
 
 
 def test_asked_terms_reach_the_reader(spark, tmp_path):
     I.save(I.build(table(spark, list(enumerate(texts(1, 50)))), HOW), HOW, str(tmp_path))
     q = spark.createDataFrame([("q", "w1 needle")], "question_id string, question string")
-    plan = sparse.scores(q, I.load(spark, HOW, str(tmp_path)), 5)._jdf.queryExecution().toString()
+    plan = sparse.search(q, I.load(spark, HOW, str(tmp_path)), 5)._jdf.queryExecution().toString()
     assert "In(term, [" in plan
 
 

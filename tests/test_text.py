@@ -80,3 +80,14 @@ def test_grounding_of_long_texts(spark):
     answer, context = " ".join(f"w{i % 5000}" for i in range(30_000)), " ".join(f"w{i}" for i in range(0, 20_000, 2))
     df = spark.createDataFrame([(answer, context), ("w1 w1 w2", ""), ("", "w1"), (None, "w1")], "a string, c string")
     assert [r["g"] for r in df.select(T.grounding("a", "c").alias("g")).collect()] == [0.5, 0.0, 1.0, None]
+
+
+def test_all_white_space(spark):
+    """Every code point that Python's str.split takes for white space, and some that it doesn't."""
+    import sys
+
+    space = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
+    other = ["\u200b", "\u180e", "\u2060", "\ufeff", "\x1b", "\x21", "\x84"]
+    rows = [(f"{c}a.{c}b{c}{c}c{c}",) for c in space + other]
+    for (t,), r in zip(rows, spark.createDataFrame(rows, "t string").coalesce(1).select(T.words("t").alias("w"), T.strip("t").alias("s"), T.sentences("t").alias("z")).collect()):
+        assert r["w"] == t.split() and r["s"] == t.strip() and r["z"] == [x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x]
