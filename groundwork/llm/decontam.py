@@ -27,26 +27,57 @@ FILTER = 24
 AROUND = 64
 
 
-def seeds(flat: np.ndarray, lens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each mask: hash, text number and first position of every place where it lies inside a text."""
+#: Items of so many words at most have masks of their own length too.
+SHORT = 12
+
+
+def own_masks(n: int) -> list[tuple[int, int, str]]:
+    """Salt, first word and mask of an item of ``n`` words: all of it, or, from five words, all but one, whichever that is."""
+    if n < 5:
+        return [(16 * n, 0, "1" * n)]
+    made = ["1" * p + "0" + "1" * (n - 1 - p) for p in range(n)]
+    return [(16 * n + p, int(p == 0), mask.strip("0")) for p, mask in enumerate(made)]
+
+
+def _masked(flat: np.ndarray, lens: np.ndarray, salt: int, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, text number and first position of every place where a mask lies inside a text."""
+    n = len(flat) - len(mask) + 1
+    if n <= 0:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     doc = np.repeat(np.arange(len(lens)), lens)
     pos = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+    h = np.full(n, salt, np.uint64)
+    for at, bit in enumerate(mask):
+        if bit == "1":
+            h = h * words.BASE + flat[at : at + n]
+    inside = np.flatnonzero(pos[:n] + len(mask) <= lens[doc[:n]])
+    return words.mix(h[inside]), doc[inside], pos[inside]
+
+
+def seeds(flat: np.ndarray, lens: np.ndarray, short: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of all masks, and of those of items of ``short`` words."""
     for number, mask in enumerate(MASKS):
-        n = len(flat) - len(mask) + 1
-        if n <= 0:
-            continue
-        h = np.full(n, number + 1, np.uint64)
-        for at, bit in enumerate(mask):
-            if bit == "1":
-                h = h * words.BASE + flat[at : at + n]
-        inside = np.flatnonzero(pos[:n] + len(mask) <= lens[doc[:n]])
-        yield words.mix(h[inside]), doc[inside], pos[inside]
+        yield _masked(flat, lens, number + 1, mask)
+    for n in short:
+        for salt, _, mask in own_masks(n):
+            yield _masked(flat, lens, salt, mask)
+
+
+def _of_items(flat: np.ndarray, lens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of all masks, and of its own masks in each short item."""
+    yield from seeds(flat, lens)
+    for n in range(1, SHORT + 1):
+        if (lens == n).any():
+            for salt, first, mask in own_masks(n):
+                h, doc, pos = _masked(flat, lens, salt, mask)
+                own = (lens[doc] == n) & (pos == first)
+                yield h[own], doc[own], pos[own]
 
 
 def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in words.slices(batch):
-            for h, doc, pos in seeds(*words.hashed(texts, words.split_alnum)):
+            for h, doc, pos in _of_items(*words.hashed(texts, words.split_alnum)):
                 yield pa.RecordBatch.from_arrays([words.int64(h), part.column(0).take(pa.array(doc)), pa.array(pos.astype(np.int32))], ["seed", "item", "ipos"])
 
 
@@ -73,7 +104,7 @@ def _filter_bits(items: DataFrame) -> np.ndarray:
     return out
 
 
-def _hits(bits):
+def _hits(bits, short: tuple[int, ...]):
     @words.frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(bits.value.view(np.uint8), bitorder="little").view(bool)
@@ -82,7 +113,7 @@ def _hits(bits):
             for part, texts in words.slices(batch):
                 flat, lens = words.hashed(texts, words.split_alnum)
                 found = []
-                for h, doc, pos in seeds(flat, lens):
+                for h, doc, pos in seeds(flat, lens, short):
                     at = np.flatnonzero(table[(h >> np.uint64(64 - FILTER)).astype(np.int64)])
                     at = at[table[(h[at] >> np.uint64(16) & low).astype(np.int64)]]
                     found.append((h[at], doc[at], pos[at]))
@@ -156,9 +187,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, identity: f
     ``n_equal`` are equal: at least ``least`` (or ``identity`` of a shorter
     item) and at least ``identity`` of the stretch, with at least one mask's
     worth of equal words in place.  Stretches are looked for within AROUND
-    words of a hit.  Items and texts shorter than the shortest mask, null and
-    empty texts and null ids give no rows; repeated rows and ids give equal
-    rows once.  Other columns are ignored.
+    words of a hit.  Items of up to SHORT words are found whole or, from five
+    words, with any one word another; shorter items only as they are.  Texts
+    of any length are read whole.  Null and empty texts and null ids give no
+    rows, nor does an empty table; repeated rows and ids give equal rows once.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     tables = Scratch(spark, "decontam")
@@ -166,7 +199,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, identity: f
     texts = docs.selectExpr(f"cast(`{id_col}` as long) as doc", f"`{text_col}` as text").where("doc is not null")
     planted = tables.save(items.mapInArrow(_item_seeds, "seed long, item long, ipos int").distinct())
     bits = spark.sparkContext.broadcast(_filter_bits(planted))
-    hits = tables.save(texts.mapInArrow(_hits(bits), "doc long, lo long, dwords array<long>, seeds array<long>, places array<long>"), 4_000)
+    item_words = items.mapInArrow(_item_words, "item long, iwords array<long>")
+    size = F.size("iwords")
+    short = tuple(sorted(r["n"] for r in item_words.where(size.between(1, SHORT)).select(size.alias("n")).distinct().collect()))  # SHORT at most
+    hits = tables.save(texts.mapInArrow(_hits(bits, short), "doc long, lo long, dwords array<long>, seeds array<long>, places array<long>"), 4_000)
     pairs = (
         hits.select("doc", "lo", F.explode(F.arrays_zip("seeds", "places")).alias("x"))
         .select("doc", "lo", F.col("x.seeds").alias("seed"), F.col("x.places").alias("pos"))
@@ -174,7 +210,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 13, identity: f
         .select("doc", "lo", "item", (F.col("pos") - F.col("ipos")).alias("shift"))
         .distinct()
     )
-    item_words = items.mapInArrow(_item_words, "item long, iwords array<long>")
     both = pairs.join(hits.select("doc", "lo", "dwords"), ["doc", "lo"]).join(item_words, "item").select("doc", "item", "shift", "lo", "dwords", "iwords")
     schema = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_equal long"
     return both.mapInArrow(_verify(least, identity), schema).distinct()

@@ -81,3 +81,19 @@ def test_repeated_ids_long_texts_and_clashing_names(spark):
     kept = decontaminate(df, bench)
     assert kept.columns == df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(3, clean), (None, "no leak"), (5, None), (6, "")], key=repr)
+
+
+def test_short_items(spark):
+    """Items of 1 to 12 words, whole or with one word another, against brute force."""
+    rng = random.Random(28)
+    items = [(n, prose(rng, n)) for n in range(1, 13)]
+    texts = []
+    for n, item in items:
+        for at in (None, *range(n)):
+            own = [w if i != at else "another" for i, w in enumerate(item)]
+            texts.append((len(texts), prose(rng, rng.randrange(4)) + own + prose(rng, rng.randrange(4))))
+    texts += [(1000 + i, prose(rng, 30)) for i in range(20)] + [(2000, items[6][1]), (2001, items[6][1][:6]), (2002, items[8][1][:4] + ["x"] + items[8][1][5:])]
+    bench = spark.createDataFrame([(j, " ".join(b)) for j, b in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in overlaps(docs(spark, [(i, " ".join(w)) for i, w in texts]), bench).collect()}
+    assert got == brute(texts, items, 13, 0.8)
+    assert {(2000, 7), (2002, 9)} <= got and not any(1000 <= i < 2000 for i, _ in got)
