@@ -66,6 +66,7 @@ def evaluate(a) -> int:
     found = _evaluate(session(), [how], a.gold, a.split, a.smoke)
     print(report.summary(found, how.name))
     print(f"wrote {report.save(found, how.name, Path(a.out) / f'{how.name}.json')}")
+    found.release()
     return 0
 
 
@@ -80,6 +81,7 @@ def ablate(a) -> int:
     (out / "ablation.md").write_text(text + "\n")
     _plots(found.estimates, out)
     print(text)
+    found.release()
     print(f"\nwrote {out}/ablation.md")
     return 0
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import cited
 from ..settings import Generation, Judge
@@ -73,17 +75,35 @@ def parse_verdict(reply: Column) -> Column:
     return F.from_json(found, "faithfulness double, answer_relevance double, correctness double")
 
 
+_SCORES = ("faithfulness", "answer_relevance", "correctness")
+
+
+def _verdicts(spark: SparkSession, cache: str) -> DataFrame:
+    """``key`` and the three scores, one row for a key: where runs at the same time asked for the same one, that of the first run by name."""
+    try:
+        rows = spark.read.schema("key string, faithfulness double, answer_relevance double, correctness double, run string").parquet(cache)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        rows = spark.createDataFrame([], "key string, faithfulness double, answer_relevance double, correctness double, run string")
+    first = rows.groupBy("key").agg(F.min_by(F.struct(*_SCORES), "run").alias("v"))
+    return first.select("key", "v.*")
+
+
 def judge_by_model(answers: DataFrame, how: Judge, cache: str, client: Callable = _client) -> DataFrame:
-    """``answers`` with the three scores; verdicts are looked up in the Parquet table ``cache``, and only misses are asked and appended."""
+    """``answers`` with the three scores; verdicts are looked up in the Parquet table ``cache``, and only misses are asked.
+
+    A run writes its verdicts into a part of its own, which Spark's writer
+    commits as a whole, so runs at the same time don't meet.  A reply without
+    all three scores is null in this run and isn't kept, so that it is asked
+    again by the next.
+    """
     spark = answers.sparkSession
     parts = ("question", "reference_answer", "answer", "context", "no_answer")
     keyed = answers.withColumn("key", cache_key(how.model, *parts))
-    schema = "key string, faithfulness double, answer_relevance double, correctness double"
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    known = spark.read.schema(schema).parquet(cache) if there else spark.createDataFrame([], schema)
-    misses = keyed.dropDuplicates(["key"]).join(known, "key", "left_anti")
+    misses = keyed.dropDuplicates(["key"]).join(_verdicts(spark, cache), "key", "left_anti")
     text = F.concat_ws("\n", F.lit(RUBRIC), *[F.concat(F.lit(f"{p}: "), F.col(p).cast("string")) for p in parts])
     said = misses.select("key", ask_model(text, how.model, client)["text"].alias("reply"))
-    said.select("key", parse_verdict(F.col("reply")).alias("v")).select("key", "v.*").write.mode("append").parquet(cache)
-    return keyed.join(spark.read.schema(schema).parquet(cache), "key").drop("key")
+    said = said.select("key", parse_verdict(F.col("reply")).alias("v")).select("key", "v.*").dropna()
+    said.write.parquet(f"{cache}/run={uuid.uuid4().hex}")
+    return keyed.join(_verdicts(spark, cache), "key", "left").drop("key")

@@ -116,7 +116,7 @@ def stored(found: DataFrame, df: DataFrame, sizes: DataFrame) -> dict[str, DataF
     """The same tables from stored ``lists``, ``term, df`` and ``n, words``, which may come in parts (a growing index)."""
     whole = sizes.agg(F.sum("n").alias("n"), (F.sum("words") / F.nullif(F.sum("n"), F.lit(0))).alias("avgdl"))
     stats, corpus = statistics(df.groupBy("term").agg(F.sum("df").alias("df")), whole)
-    flat = found.select("term", F.explode("postings").alias("p")).select("term", "p.*")
+    flat = found.select("term", F.explode_outer("postings").alias("p")).select("term", "p.*")  # a list is never empty
     return {"lists": found, "postings": weighted(flat, stats, whole), "term_stats": stats, "corpus_stats": corpus}
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -38,14 +38,31 @@ def records(questions: DataFrame, index: dict[str, DataFrame], how: Settings) ->
 
 @dataclass
 class Evaluation:
-    """Tables of one or more variants: ``records``, ``per_question``, ``estimates``, ``operational``."""
+    """Tables of one or more variants: ``records``, ``per_question``, ``estimates``, ``operational``, ``latencies``."""
 
     records: DataFrame
     per_question: DataFrame
     estimates: DataFrame
     operational: DataFrame
+    latencies: DataFrame
     split: str
     seed: int
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give back what is held in memory; the tables are computed anew if they are read again."""
+        for df in self.held:
+            df.unpersist()
+
+
+def latencies(questions: DataFrame, index: dict[str, DataFrame], how: Settings) -> list[tuple[str, str, str, float]]:
+    """``variant, question_id, stage, ms`` of the first questions, asked one by one; the settings say how many."""
+    out = []
+    for row in chosen(questions, first=how.eval.latency.max_questions).collect():
+        asked = questions.sparkSession.createDataFrame([row], questions.schema)
+        _, took = answering.one(asked, index, how)
+        out += [(how.name, row["question_id"], stage, ms) for stage, ms in took.items()]
+    return out
 
 
 def metric_names(how: Settings) -> list[str]:
@@ -56,9 +73,10 @@ def metric_names(how: Settings) -> list[str]:
 def evaluate(questions: DataFrame, indexes: dict[str, dict[str, DataFrame]], variants: list[Settings], split: str | None = None, smoke: bool = False) -> Evaluation:
     """Evaluate variants; ``indexes`` holds one index per signature, so variants that differ in search alone share it.
 
-    Times are of the batch: seconds of each variant over its questions.
+    ``ms_per_question`` is of the batch: the time of a variant over its
+    questions.  The percentiles of latency are of questions asked one by one.
     """
-    parts, times = [], []
+    parts, times, asked_alone = [], [], []
     for how in variants:
         began = time.perf_counter()
         asked = chosen(questions, split, how.eval.smoke.max_questions if smoke else None)
@@ -66,6 +84,7 @@ def evaluate(questions: DataFrame, indexes: dict[str, dict[str, DataFrame]], var
         n = rows.count()
         times.append((how.name, (time.perf_counter() - began) * 1000 / max(n, 1)))
         parts.append(rows)
+        asked_alone += latencies(asked, indexes[how.signature()], how)
     everything = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     names = list(dict.fromkeys(n for how in variants for n in metric_names(how)))
     keys = ("variant", "question_id", "question_seq")
@@ -79,7 +98,11 @@ def evaluate(questions: DataFrame, indexes: dict[str, dict[str, DataFrame]], var
         F.count("*").alias("n_questions"),
         *[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in ("prompt_tokens", "completion_tokens", "cost_usd")],
     )
-    return Evaluation(everything, per_question, estimates.persist(), means.join(took, "variant"), split or "all", how.seed)
+    alone = spark.createDataFrame(asked_alone, "variant string, question_id string, stage string, ms double")
+    stages = statistics.percentiles(alone, "ms", {"p50": 0.5, "p95": 0.95}, ("variant", "stage"))
+    total = stages.where("stage = 'total_ms'").select("variant", F.col("p50").alias("p50_latency_ms"), F.col("p95").alias("p95_latency_ms"))
+    estimates = estimates.persist()
+    return Evaluation(everything, per_question, estimates, means.join(took, "variant").join(total, "variant", "left"), stages, split or "all", how.seed, [*parts, estimates])
 
 
 def compare(evaluation: Evaluation, a: str, b: str, names: list[str], iterations: int = 10_000, seed: int = 0) -> DataFrame:

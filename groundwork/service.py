@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import json
-import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
 from pyspark.sql import DataFrame
 
-from .operators import generation, ranking
 from .plans import answering
 from .settings import Settings
 
@@ -38,15 +36,7 @@ class Service:
             raise Invalid("top_k must be a positive whole number")
         spark, how = self.index["chunks"].sparkSession, self.how
         asked = spark.createDataFrame([("q", body["query"])], "question_id string, question string")
-        clock = [time.perf_counter()]
-        found = _local(answering.retrieve(asked, self.index, how, top_k))
-        clock.append(time.perf_counter())
-        if how.retrieval.rerank.enabled:
-            found = _local(ranking.rerank(found, asked, self.index["chunks"]))
-        clock.append(time.perf_counter())
-        said = answering.generation.generator(how.generation)(asked, generation.contexts(found, self.index["chunks"], top_k or how.retrieval.top_k), how.generation).first()
-        clock.append(time.perf_counter())
-        ms = [1000 * (b - a) for a, b in zip(clock, clock[1:])]
+        said, took = answering.one(asked, self.index, how, top_k)
         return {
             "query": body["query"],
             "answer": said["answer"],
@@ -55,16 +45,11 @@ class Service:
             "contexts": [
                 {"chunk_id": c["chunk_id"], "doc_id": c["doc_id"], "title": c["title"] or "", "score": round(c["score"], 6), "snippet": c["text"][:SNIPPET]} for c in said["contexts"]
             ],
-            "latencies": {"retrieve_ms": ms[0], "rerank_ms": ms[1], "generate_ms": ms[2], "total_ms": sum(ms)},
+            "latencies": took,
             "usage": {k: said[k] for k in ("prompt_tokens", "completion_tokens", "cost_usd")},
         }
 
 
-def _local(df: DataFrame) -> DataFrame:
-    """A ranking of one question, at most as deep as its settings say."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
 def handler(service: Service) -> type[BaseHTTPRequestHandler]:
     class Handler(BaseHTTPRequestHandler):
         def _send(self, status: int, body: Any) -> None:

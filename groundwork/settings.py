@@ -142,12 +142,23 @@ class Smoke:
         _need(self.max_questions > 0, "max_questions must be positive")
 
 
+@dataclass(frozen=True)
+class Latency:
+    """So many questions of a variant are asked one by one, to time them."""
+
+    max_questions: int = 20
+
+    def __post_init__(self):
+        _need(self.max_questions >= 0, "latency.max_questions must not be negative")
+
+
 @dataclass(frozen=True)
 class Eval:
     metrics: Metrics
     judge: Judge
     bootstrap: Bootstrap
     smoke: Smoke
+    latency: Latency = Latency()
 
 
 @dataclass(frozen=True)
@@ -245,6 +256,7 @@ BASE: dict[str, Any] = {
         "judge": {"provider": "offline", "model": "none"},
         "bootstrap": {"iterations": 1000, "confidence": 0.95},
         "smoke": {"max_questions": 20},
+        "latency": {"max_questions": 20},
     },
 }
 

@@ -94,3 +94,32 @@ def test_model_answers_are_parsed(spark):
     found = spark.createDataFrame([("q", [(1, "c1", "d", "t", "x", 1.0), (2, "c2", "d", "t", "y", 1.0)])], "question_id string, contexts array<struct<rank:int,chunk_id:string,doc_id:string,title:string,text:string,score:double>>")
     r = remote.answer_by_model(q, found, HOW, client=lambda: lambda m, t: ("because [2] [1] [7]", 5, 6)).first()
     assert r["citations"] == ["c2", "c1"] and not r["abstained"] and r["prompt_tokens"] == 5
+
+
+def _half(model, text):
+    """Replies without a verdict for some answers."""
+    return ("no idea", 1, 1) if "odd" in text else ('{"faithfulness": 1, "answer_relevance": 0.5, "correctness": 0.25}', 1, 1)
+
+
+def test_failed_verdicts_are_asked_again(spark, tmp_path):
+    rows = spark.createDataFrame([("q", "", a, "c", False) for a in ("odd", "even", "even")], "question string, reference_answer string, answer string, context string, no_answer boolean")
+    cache, how = str(tmp_path / "cache"), Judge("anthropic", "m")
+    got = {r["answer"]: r["correctness"] for r in remote.judge_by_model(rows, how, cache, lambda: _half).collect()}
+    assert got == {"odd": None, "even": 0.25} and spark.read.parquet(cache).count() == 1
+    all_right = lambda: lambda model, text: ('{"faithfulness": 1, "answer_relevance": 1, "correctness": 1}', 1, 1)
+    got = {r["answer"]: r["correctness"] for r in remote.judge_by_model(rows, how, cache, all_right).collect()}
+    assert got == {"odd": 1.0, "even": 0.25}
+
+
+def test_verdicts_of_runs_at_the_same_time(spark, tmp_path):
+    """Both ask, as neither sees the other; a key then has one verdict for every reader."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = spark.createDataFrame([("q", "", str(i % 7), "c", False) for i in range(20)], "question string, reference_answer string, answer string, context string, no_answer boolean")
+    cache, how = str(tmp_path / "cache"), Judge("anthropic", "m")
+    says = lambda x: lambda: lambda model, text: (f'{{"faithfulness": {x}, "answer_relevance": {x}, "correctness": {x}}}', 1, 1)
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(lambda x=x: remote.judge_by_model(rows, how, cache, says(x)).collect()) for x in (0.25, 0.75)]:
+            assert len(done.result()) == 20
+    readers = [sorted((r["answer"], r["correctness"]) for r in remote.judge_by_model(rows, how, cache, says(0)).collect()) for _ in range(2)]
+    assert readers[0] == readers[1] and len(readers[0]) == 20 and {c for _, c in readers[0]} <= {0.25, 0.75}

@@ -97,7 +97,12 @@ def test_evaluation(found, tmp_path, spark):
     text = report.ablation(found)
     assert "| closed_book | 4 | 0.000 [0.000, 0.000]" in text and "n/a" in text and "retrieval vs closed-book" in text
     assert text.index("closed_book") < text.index("| hybrid_rerank") < text.index("| oracle")
-    assert "faithfulness" in report.summary(found, "oracle")
+    assert "faithfulness" in report.summary(found, "oracle") and "latency p50/p95 (ms): " in report.summary(found, "oracle")
+    stages = {(r["variant"], r["stage"]): r for r in found.latencies.collect()}
+    assert len(stages) == 12 and all(0 <= r["p50"] <= r["p95"] for r in stages.values())
+    assert stages["hybrid_rerank", "rerank_ms"]["p50"] > 0 and stages["oracle", "total_ms"]["p50"] >= stages["oracle", "retrieve_ms"]["p50"]
+    saved = report.as_dict(found, "oracle")["operational"]
+    assert 0 < saved["p50_latency_ms"] <= saved["p95_latency_ms"]
     path = report.save(found, "hybrid_rerank", tmp_path / "r" / "hybrid_rerank.json")
     back = files.read_report(spark, str(path))
     values = {(r["metric"], r["question_id"]): r["value"] for r in back["per_question"].collect()}
