@@ -56,6 +56,7 @@ class Scratch:
                 table = f"groundwork_{uuid.uuid4().hex}"
                 df.repartition(parts, by).write.option("path", path).bucketBy(parts, by).sortBy(by).format("parquet").saveAsTable(table)
                 out = self.spark.table(table)
+                self.spark.sql(f"DROP TABLE {table}")  # the plan knows the files and their buckets by now; the catalog need not
             else:
                 df.write.mode("overwrite").parquet(path)
                 out = self.spark.read.schema(df.schema).parquet(path)
