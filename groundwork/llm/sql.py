@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat_format import CLOSE, COLON, COLON_ESCAPE, ESCAPES, JOIN, LOSS_ROLE, OPEN
-from .license_scan import LICENSE_NAME, TEMPLATES
+from .license_scan import LICENSE_NAME, TAG, TAG_END, TEMPLATES
 
 
 def _q(text: str) -> str:
@@ -69,7 +69,8 @@ WITH f AS (SELECT doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '
      uw AS MATERIALIZED (SELECT id, term, tf * coalesce(idf, ln(n + 1.0) + 1.0) AS w FROM ut LEFT JOIN idf USING (term) CROSS JOIN n),
      nm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM uw GROUP BY id),
      dt AS (SELECT id, t, license_id, sum(w * tw) AS dot FROM uw JOIN gv USING (term) GROUP BY ALL),
-     sc AS MATERIALIZED (SELECT path, kind, license_id, round(dot / norm, 6) AS score FROM dt JOIN nm USING (id) JOIN un USING (id) WHERE round(dot / norm, 6) >= 0.6),
+     sc AS MATERIALIZED (SELECT path, kind, license_id, round(dot / norm, 6) AS score FROM dt JOIN nm USING (id) JOIN un USING (id) WHERE round(dot / norm, 6) >= 0.6
+            UNION ALL SELECT path, kind, regexp_replace(regexp_extract(part, {_q(TAG)}, 1), {_q(TAG_END)}, ''), 1.0 FROM un WHERE kind = 'line' AND regexp_extract(part, {_q(TAG)}, 1) <> ''),
      ow AS MATERIALIZED (SELECT path, license_id, score, whole FROM (SELECT path, license_id, max(score) AS score, row_number() OVER (PARTITION BY path ORDER BY max(score) DESC, license_id) AS r FROM sc GROUP BY path, license_id)
             JOIN (SELECT path, bool_or(kind = 'file') AS whole FROM sc GROUP BY path) USING (path) WHERE r = 1),
      law AS MATERIALIZED (SELECT * FROM (SELECT regexp_replace(path, '/?[^/]*$', '') AS above, path AS source, license_id, score, row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY score DESC, path) AS r

@@ -17,9 +17,9 @@ def brute(files, threshold=0.6):
     length = lambda v: math.sqrt(sum(x * x for x in v.values()))
     given = [(name, vec(t)) for name, t in TEMPLATES]
 
-    def best(part):
+    def best(part, line=False):
         v = vec(part)
-        out = {}
+        out = {re.sub(r"(-only|-or-later|\+)$", "", t): 1.0 for t in re.findall(r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+)", part)[:1] if line}
         for name, g in given:
             s = round(sum(x * g.get(w, 0) for w, x in v.items()) / max(1e-12, length(v) * length(g)), 6)
             if s >= threshold:
@@ -28,8 +28,9 @@ def brute(files, threshold=0.6):
 
     own, whole = {}, {}
     for p, t in real:
-        for part in t.split("\n") + re.split(r"\n[ \t\r]*\n", t) + [t]:
-            for name, s in best(part).items():
+        lines = t.split("\n")
+        for i, part in enumerate(lines + re.split(r"\n[ \t\r]*\n", t) + [t]):
+            for name, s in best(part, i < len(lines)).items():
                 own.setdefault(p, {})[name] = max(s, own.get(p, {}).get(name, 0))
         if best(t):
             whole[p] = True
@@ -72,6 +73,10 @@ def test_against_brute_force(spark):
         ("ab/x", "x"),
         ("q/t2", "released under\tthe MIT license!"),
         ("q/t2", "released under\tthe MIT license!"),
+        ("spdx/a.py", "# SPDX-License-Identifier: GPL-2.0-only\n" + body),
+        ("spdx/b.rs", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\nfn main() {}"),
+        ("spdx/c.c", "SPDX-License-Identifier: \n Zlib and the spdx file"),
+        ("spdx/d.c", "/* SPDX-License-Identifier: Zlib */"),
         (None, APACHE),
         ("w/long", ("word " * 20_000) + "\n" + TEMPLATES[3][1] + "\n" + ("word " * 20_000)),
     ]
@@ -93,3 +98,37 @@ def test_versions_are_told_apart(spark):
     files = [("a/gpl2.c", header.format("program", "General Public License", "2")), ("a/gpl3.c", header.format("program", "General Public License", "3")), ("b/lgpl21.c", header.format("library", "Lesser General Public License", "2.1")), ("b/lgpl3.c", header.format("library", "Lesser General Public License", "3"))]
     found = {r["path"]: r["license_id"] for r in scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
     assert found == {"a/gpl2.c": "GPL-2.0", "a/gpl3.c": "GPL-3.0", "b/lgpl21.c": "LGPL-2.1", "b/lgpl3.c": "LGPL-3.0"}
+
+
+def test_families_are_told_apart(spark):
+    """Headers and texts as they are written, each with the name that it should have."""
+    header = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."
+    clauses = (
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+        "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n"
+    )
+    third = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\n"
+    end = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED.'
+    copyright_ = "Copyright (c) 2024, Somebody Else\nAll rights reserved.\n\n"
+    want = {
+        "agpl/or-later.c": ("AGPL-3.0", header.format("Affero General Public License")),
+        "lgpl/program.c": ("LGPL-3.0", header.format("Lesser General Public License")),
+        "gpl/three.c": ("GPL-3.0", header.format("General Public License")),
+        "gpl/two-only.c": ("GPL-2.0", gpl2),
+        "bsd2/titled": ("BSD-2-Clause", "BSD 2-Clause License\n\n" + copyright_ + clauses + end),
+        "bsd2/plain": ("BSD-2-Clause", copyright_ + clauses + end),
+        "bsd3/titled": ("BSD-3-Clause", "BSD 3-Clause License\n\n" + copyright_ + clauses + third + end),
+        "bsd3/plain": ("BSD-3-Clause", copyright_ + clauses + third + end),
+        "cc/sa": ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        "cc/by": ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        "cc/short": ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+        "cc/nc": ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+        "tag/mit": ("MIT", "# SPDX-License-Identifier: MIT"),
+        "tag/later": ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    }
+    rows = [(p, t) for p, (_, t) in want.items()] + [(f"prose/{i}", f"A text number {i} about software, work and the terms of life.") for i in range(50)]
+    found = {r["path"]: (r["license_id"], r["origin"]) for r in scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: found[p] for p in want} == {p: (name, "own") for p, (name, _) in want.items()}
+    assert all(found[p] == (None, None) for p, _ in rows if p.startswith("prose"))
