@@ -295,7 +295,7 @@ def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = statistics.hashed_interval(_slots(spark, sf_dir), ["metric"], 50, 0.95, "ci")
+    e = statistics.hashed_interval(_slots(spark, sf_dir), ["metric"], 1000, 0.95, "ci")
     return e.select("metric", r6("mean").alias("mean"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n")
 
 
@@ -308,10 +308,19 @@ def _differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _differences(spark, sf_dir).select("metric", (F.col("a") - F.col("b")).alias("value"), F.col("question_id").alias("slot"))
-    e = statistics.hashed_interval(d, ["metric"], 50, 0.95, "pair")
+    e = statistics.hashed_interval(d, ["metric"], 10_000, 0.95, "pair")
     return e.select("metric", r6("mean").alias("diff_mean"), r6("p_value").alias("p_value"), "n")
 
 
+def bootstrap_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals of ``bootstrap_ci`` and the test of ``paired_bootstrap`` by numpy's generator, which SQL can't repeat."""
+    own = SETTINGS.eval.bootstrap
+    ci = statistics.estimates(_slots(spark, sf_dir), ["metric"], "slot", own.iterations, own.confidence, SETTINGS.seed)
+    test = statistics.comparisons(_differences(spark, sf_dir), ["metric"], "question_id")
+    none = F.lit(None).cast("double")
+    return ci.select("metric", "mean", "ci_low", "ci_high", none.alias("p_value"), "n").unionByName(test.select("metric", F.col("diff_mean").alias("mean"), none.alias("ci_low"), none.alias("ci_high"), "p_value", "n"))
+
+
 def wilcoxon_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _differences(spark, sf_dir).withColumn("a", F.round(F.col("a") - F.col("b"), 6)).withColumn("b", F.lit(0.0))
     w = statistics.wilcoxon(d)
@@ -339,7 +348,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tokenize_counts, content_token_counts, sentence_split, citation_parse, chunk_fixed, chunk_recursive, bm25_term_stats, bm25_postings,
         bm25_corpus_stats, bm25_topk, hash_embed_md5, hash_embed_blake2b, dense_topk, dense_md5_topk, hybrid_topk, rerank_lexical,
         collapse_documents, pool_candidates, oracle_context, answer_extractive, judge_offline, generation_metrics, abstention_accuracy,
-        metrics_retrieval, ablation_estimates, ablation_table, regression_gate, bootstrap_ci, paired_bootstrap, wilcoxon_stat, cohen_kappa,
+        metrics_retrieval, ablation_estimates, ablation_table, regression_gate, bootstrap_ci, paired_bootstrap, bootstrap_numpy, wilcoxon_stat, cohen_kappa,
         spearman, latency_percentiles,
     )
 }

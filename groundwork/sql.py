@@ -120,12 +120,12 @@ def _ranked(source: str, name: str) -> str:
     return query(f"SELECT question_id, chunk_id, rank, round(score, 6) AS score, {name} AS source FROM {source}")
 
 
-def _hashed(source: str, salt: str, columns: str) -> str:
+def _hashed(source: str, salt: str, iterations: int, columns: str) -> str:
     """Bootstrap whose draws are md5 of the salt, the iteration and the draw."""
     return query(
         f"SELECT {columns} FROM (SELECT metric, quantile_cont(boot, 0.025) AS ci_low, quantile_cont(boot, 0.975) AS ci_high, avg((boot <= 0)::int) AS p_low, avg((boot >= 0)::int) AS p_high FROM ("
         f"SELECT d.metric, b, avg(v.value) AS boot FROM (SELECT metric, b, ('0x' || substr(md5({quoted(salt)} || ':' || b || ':' || d), 1, 15))::bigint % n AS i FROM "
-        f"(SELECT metric, n, b, unnest(range(0, n)) AS d FROM (SELECT metric, n, unnest(range(0, 50)) AS b FROM (SELECT metric, count(*) AS n FROM {source} GROUP BY metric)))) d "
+        f"(SELECT metric, n, b, unnest(range(0, n)) AS d FROM (SELECT metric, n, unnest(range(0, {iterations})) AS b FROM (SELECT metric, count(*) AS n FROM {source} GROUP BY metric)))) d "
         f"JOIN (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY conv_id, turn, answer) - 1 AS i FROM {source}) v ON v.metric = d.metric AND v.i = d.i GROUP BY d.metric, b) GROUP BY metric) "
         f"JOIN (SELECT metric, count(*) AS n, avg(value) AS mean FROM {source} GROUP BY metric) USING (metric)"
     )
@@ -189,8 +189,8 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT metric, round(value, 6) AS value, floor, coalesce(value >= floor - 1e-6, false) AS passed FROM (VALUES ('recall@5', 0.5::double), ('mrr', 0.99::double), ('recall@10', 0.2::double), ('missing', 0.1::double)) f(metric, floor) "
         "LEFT JOIN (SELECT metric, avg(value) AS value FROM mv WHERE variant = 'hybrid_rerank' GROUP BY metric) USING (metric)"
     ),
-    "bootstrap_ci": _hashed("vals", "ci", "metric, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n"),
-    "paired_bootstrap": _hashed("dif", "pair", "metric, round(mean, 6) AS diff_mean, round(least(1.0, 2 * least(p_low, p_high)), 6) AS p_value, n"),
+    "bootstrap_ci": _hashed("vals", "ci", 1000, "metric, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n"),
+    "paired_bootstrap": _hashed("dif", "pair", 10_000, "metric, round(mean, 6) AS diff_mean, round(least(1.0, 2 * least(p_low, p_high)), 6) AS p_value, n"),
     "wilcoxon_stat": query(
         "SELECT metric, round(avg(d), 6) AS diff_mean, least(sum(CASE WHEN d > 0 THEN r ELSE 0.0 END), sum(CASE WHEN d < 0 THEN r ELSE 0.0 END))::double AS w, "
         "round((least(sum(CASE WHEN d > 0 THEN r ELSE 0.0 END), sum(CASE WHEN d < 0 THEN r ELSE 0.0 END)) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*)::double * (count(*) + 1) * (2 * count(*) + 1) / 24), 6) AS z, count(*) AS n "
