@@ -38,10 +38,12 @@ def folder(root: str, how: Settings) -> str:
     return f"{root.rstrip('/')}/{how.signature()}"
 
 
-def save(index: dict[str, DataFrame], how: Settings, root: str) -> str:
-    """Parquet tables and ``meta.json`` in a folder named by the settings' signature; what was there is replaced.
+def write(index: dict[str, DataFrame], how: Settings, root: str) -> int:
+    """Write the tables of an index, in place of what is there, and count its chunks.
 
-    Chunks are written once; postings and statistics are made from the written rows.
+    Chunks are written once; postings and statistics are made from the written
+    rows.  ``index`` must not be read from the same folder.  ``vectors`` may be
+    settings, by which they are made.
     """
     out = folder(root, how)
     spark = index["chunks"].sparkSession
@@ -49,8 +51,14 @@ def save(index: dict[str, DataFrame], how: Settings, root: str) -> str:
     n = _read(spark, out, "sizes").agg(F.sum("n")).first()[0]
     if not n:
         raise ValueError("the corpus gave no chunks; check the chunking settings")
+    return n
+
+
+def save(index: dict[str, DataFrame], how: Settings, root: str) -> str:
+    """The tables and ``meta.json`` in a folder named by the settings' signature."""
+    n, out = write(index, how, root), folder(root, how)
     meta = {"signature": how.signature(), "config_name": how.name, "num_chunks": n, "embedder": how.embedder.backend, "vector_store": how.vector_store.backend}
-    _write(spark, f"{out}/meta.json", json.dumps(meta, indent=2))
+    _write(index["chunks"].sparkSession, f"{out}/meta.json", json.dumps(meta, indent=2))
     return out
 
 

@@ -66,7 +66,7 @@ def _index(spark: SparkSession, sf_dir: str, md5: bool = False) -> dict[str, Dat
     """An index of ``documents``, stored once in a folder of its own and read by all parts of a plan; with ``md5``, vectors that SQL can compute too."""
     root, chunks = f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}", _chunks(spark, sf_dir)
     none = spark.createDataFrame([], schemas.VECTORS)
-    index_plan.save({"chunks": chunks, "vectors": none}, SETTINGS, root)
+    index_plan.write({"chunks": chunks, "vectors": none}, SETTINGS, root)
     index = index_plan.load(spark, SETTINGS, root)
     if md5:
         _md5_vectors(index["chunks"], "chunk_id", "text").write.parquet(f"{root}/md5")

@@ -58,7 +58,7 @@ def run(spark: SparkSession, documents: str, questions: str, output: str, config
     root = f"{output}/index"
     none = spark.createDataFrame([], schemas.VECTORS)
     vectors = none if not any(pipeline(config, v).retrieval.dense.enabled for v in config["variants"].values()) else how
-    index.save({"chunks": chunking.chunk(docs, how.chunking), "vectors": vectors}, how, root)
+    index.write({"chunks": chunking.chunk(docs, how.chunking), "vectors": vectors}, how, root)
     built = index.load(spark, how, root)
     for name, over in config["variants"].items():
         found = answering.rank(asked, built, pipeline(config, over))
