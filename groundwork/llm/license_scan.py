@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import runs
 from .scratch import Scratch
 
 # SPDX identifiers and public notices of the licenses.
@@ -109,24 +110,24 @@ def scan_licenses(files: DataFrame, threshold: float = 0.6, templates=TEMPLATES)
         "path",
         F.explode(
             F.concat(
-                F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("no"), x.alias("part"))),
-                F.transform(F.split("text", r"\n[ \t\r]*\n"), lambda x, i: F.struct(F.lit("block").alias("kind"), i.alias("no"), x.alias("part"))),
-                F.array(F.struct(F.lit("file").alias("kind"), F.lit(0).alias("no"), F.col("text").alias("part"))),
+                F.transform(F.split("text", "\n"), lambda x: F.struct(F.lit("line").alias("kind"), x.alias("part"))),
+                F.transform(F.split("text", r"\n[ \t\r]*\n"), lambda x: F.struct(F.lit("block").alias("kind"), x.alias("part"))),
+                F.array(F.struct(F.lit("file").alias("kind"), F.col("text").alias("part"))),
             )
         ).alias("s"),
-    ).select("path", "s.kind", "s.no", F.when(F.col("s.kind") == "line", F.regexp_replace(F.regexp_extract("s.part", TAG, 1), TAG_END, "")).alias("tag"), _tokens(F.col("s.part")).alias("terms"))
-    unit = ["path", "kind", "no"]
-    parts = tables.save(parts.where(F.arrays_overlap("terms", anchors)))
-    tf = parts.select(*unit, F.explode("terms").alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("tf"))
-    weighted = tf.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(None).cast("double"), _idf(F.lit(0.0), n)))
-    own_norm = weighted.groupBy(*unit).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dot = weighted.join(vector, "term").groupBy(*unit, "t", "license_id").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    ).select("path", "s.kind", F.when(F.col("s.kind") == "line", F.regexp_replace(F.regexp_extract("s.part", TAG, 1), TAG_END, "")).alias("tag"), _tokens(F.col("s.part")).alias("terms"))
+    parts = parts.where(F.arrays_overlap("terms", anchors))
+    parts = tables.save(parts.select(F.monotonically_increasing_id().alias("id"), "path", "kind", "tag", "terms"))
+    # terms are counted within the row, so only sums are shuffled; what is broadcast is bounded by the templates' words
+    tf = parts.select("id", F.explode_outer(runs(F.col("terms"))).alias("r")).select("id", F.col("r.token").alias("term"), F.col("r.n").alias("tf"))
+    weighted = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(None).cast("double"), _idf(F.lit(0.0), n)))
+    own_norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dot = weighted.join(F.broadcast(vector.select("t", "term", "tw")), "term").groupBy("id", "t").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    near = dot.join(own_norm, "id").select("id", "t", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    named = near.join(F.broadcast(given.select("t", "license_id")), "t").join(parts.select("id", "path", "kind"), "id").select("path", "kind", "license_id", "score")
     tagged = parts.where("tag <> ''").select("path", "kind", F.col("tag").alias("license_id"), F.lit(1.0).alias("score"))
     scored = tables.save(
-        dot.join(own_norm, unit)
-        .select("path", "kind", "license_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
-        .where(F.col("score") >= threshold)
-        .unionByName(tagged)
+        named.unionByName(tagged)
         .groupBy("path", "license_id")
         .agg(F.max("score").alias("score"), F.max(F.when(F.col("kind") == "file", F.col("score"))).alias("file_score"))
     )
