@@ -24,12 +24,14 @@ def containing(questions: DataFrame, docs: DataFrame) -> DataFrame:
 
     def hashes(n: int):
         at = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        return F.when(F.size("w") >= n, F.transform(at, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", i, F.lit(n))).alias("h"))))
+        return F.when(F.size("w") >= n, F.transform(at, lambda i: F.xxhash64(F.slice("w", i, F.lit(n)))))
 
     held = questions.sparkSession.createDataFrame([], "question_id string, doc_id string")
     if sizes:
+        # numbers, as array_distinct compares every two structs of an array; explode_outer, as for explode the
+        # optimizer puts a filter on the runs below it, which finds the words anew for each of them
         runs = F.array_distinct(F.flatten(F.array_compact(F.array(*map(hashes, sizes)))))
-        met = long_.join(words.select("doc_id", F.explode(runs).alias("r")).select("doc_id", "r.n", "r.h"), ["n", "h"]).select("question_id", "question", "doc_id").distinct()
+        met = long_.join(words.select("doc_id", F.explode_outer(runs).alias("h")), "h").select("question_id", "question", "doc_id").distinct()
         held = met.join(docs, "doc_id").where(F.contains("text", "question")).select("question_id", "doc_id")
     short = q.where(F.size("w") <= 2).select("question_id", "question")
     if not short.isEmpty():
