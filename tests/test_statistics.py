@@ -32,6 +32,28 @@ def test_hashed_interval(spark):
     assert r["p_value"] == pytest.approx(min(1, 2 * min(np.mean(np.array(boot) <= 0), np.mean(np.array(boot) >= 0))))
 
 
+def test_md5_of_many_messages_at_once():
+    from groundwork.functions.resampling import md5_draws
+
+    for length in (0, 1, 54, 55, 56, 63, 64, 65, 130):
+        rows = np.random.default_rng(length).integers(0, 256, (5, length), np.uint8)
+        assert md5_draws(rows).tolist() == [int(hashlib.md5(r.tobytes()).hexdigest()[:15], 16) for r in rows]
+
+
+def test_hashed_interval_draws_inside_tasks(spark):
+    rng = np.random.default_rng(1)
+    values = {"m": rng.normal(size=1003).tolist(), "n": rng.normal(size=7).tolist()}
+    rows = [(k, f"{i:05d}", v) for k, x in values.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "metric string, slot string, value double").repartition(5)
+    made = S.hashed_interval(df, ["metric"], 103, 0.9, "salt")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # draws that are rows of a join count as a small table, and are broadcast through the driver
+    for r in made.collect():
+        x = values[r["metric"]]
+        boot = [np.mean([x[int(hashlib.md5(f"salt:{b}:{d}".encode()).hexdigest()[:15], 16) % len(x)] for d in range(len(x))]) for b in range(103)]
+        assert (r["n"], r["mean"], r["ci_low"], r["ci_high"]) == pytest.approx((len(x), np.mean(x), *np.quantile(boot, [0.05, 0.95])))
+
+
 def test_paired(spark):
     assert paired_test(np.full(6, 0.2))[1] < 0.05
     mean, p, n = paired_test(np.zeros(4))
