@@ -12,8 +12,12 @@ from ..functions.hashing import embed
 from ..settings import Embedder, VectorStore
 from .ranking import DIGITS, by_score, top_k
 
-#: Chunks and questions of one tile, about.
-CHUNKS, QUESTIONS = 8_192, 1_024
+#: Chunks and questions of one tile, about; each row is copied once for each tile that it is in, so tiles are large.
+CHUNKS, QUESTIONS = 32_768, 8_192
+#: Tables too small for a tile for each core are dealt into tiles of so many chunks and questions.
+SMALL = 8_192, 1_024
+#: Scores that a task holds at once.
+SCORES = 1 << 23
 
 
 def vectors(texts: DataFrame, id_cols: list[str], text_col: str, how: Embedder) -> DataFrame:
@@ -53,17 +57,25 @@ def checked(rows: DataFrame, dim: int) -> DataFrame:
     return rows.withColumn("vec", F.when(ok, F.col("vec")).otherwise(F.raise_error(F.lit(f"a vector has not {dim} components"))))
 
 
+def blocks(n_queries: int, n_entries: int, cores: int) -> tuple[int, int]:
+    """Into how many blocks queries and entries are dealt: as few as memory allows, but a tile for each core if small tiles give so many."""
+    n_q, n_e = (max(1, math.ceil(n / size)) for n, size in ((n_queries, QUESTIONS), (n_entries, CHUNKS)))
+    most_q, most_e = (max(1, math.ceil(n / size)) for n, size in ((n_queries, SMALL[1]), (n_entries, SMALL[0])))
+    n_e = max(n_e, min(most_e, math.ceil(cores / n_q)))
+    return max(n_q, min(most_q, math.ceil(cores / n_e))), n_e
+
+
 def nearest(queries: DataFrame, entries: DataFrame, k: int, source: str = "dense") -> DataFrame:
     """``question_id, chunk_id, rank, score, source``: the largest inner products in double precision, ties by chunk id.
 
     ``queries`` has ``question_id, vec``, ``entries`` has ``chunk_id, vec``.
-    Both are dealt in blocks; each pair of blocks is one matrix product that
-    keeps its own first ``k``, so no pair of rows is ever a row.
+    Both are dealt in blocks; a task multiplies two blocks, some questions at a
+    time, and keeps its own first ``k``, so no pair of rows is ever a row.
     """
     if k <= 0:
         none = queries.sparkSession.createDataFrame([], "question_id string, chunk_id string, rank int, score double, source string")
         return none
-    n_q, n_e = (max(1, math.ceil(df.count() / size)) for df, size in ((queries, QUESTIONS), (entries, CHUNKS)))
+    n_q, n_e = blocks(queries.count(), entries.count(), queries.sparkSession.sparkContext.defaultParallelism)
     q = queries.select("question_id", "vec", F.pmod(F.xxhash64("question_id"), F.lit(n_q)).alias("qb")).withColumn("eb", F.explode(F.sequence(F.lit(0), F.lit(n_e - 1))))
     e = entries.select("chunk_id", F.col("vec").alias("evec"), F.pmod(F.xxhash64("chunk_id"), F.lit(n_e)).cast("int").alias("eb"))
     e = e.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
@@ -75,7 +87,9 @@ def nearest(queries: DataFrame, entries: DataFrame, k: int, source: str = "dense
         ids = chunks["chunk_id"].to_numpy()
         place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
         asked, near, scores = [], [], []
-        for own, row in zip(questions["question_id"], left @ right.T):
+        strip = max(1, SCORES // len(ids))
+        products = (row for i in range(0, len(left), strip) for row in left[i : i + strip] @ right.T)
+        for own, row in zip(questions["question_id"], products):
             score = np.round(row, DIGITS)
             at = np.arange(len(ids))
             if len(at) > k:

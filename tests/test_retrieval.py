@@ -107,3 +107,21 @@ def test_collapse_and_pool(spark):
     assert sorted((r["rank"], r["doc_id"]) for r in docs.collect()) == [(1, "a"), (2, "b")]
     lists = [spark.createDataFrame([("q", d, i + 1) for i, d in enumerate(x)], "question_id string, doc_id string, rank int") for x in (["d1", "d2", "d3"], ["d4", "d1", "d9"])]
     assert sorted(r["doc_id"] for r in ranking.pool(lists, 2).collect()) == ["d1", "d2", "d4"]
+
+
+def test_few_copies_of_large_tables():
+    # 600,000 vectors against each other: a row is copied once for each block of the other side
+    n_q, n_e = dense.blocks(600_000, 600_000, 12)
+    assert n_q + n_e <= 100
+    assert dense.blocks(200, 1_000_000, 12)[0] == 1 and dense.blocks(50_000, 50_000, 12) >= (4, 2) and dense.blocks(0, 0, 8) == (1, 1)
+
+
+def test_strips_of_a_tile(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 3))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vec array<double>")
+    monkeypatch.setattr(dense, "SCORES", 90)
+    found = dense.nearest(rows.withColumnRenamed("id", "question_id"), rows.withColumnRenamed("id", "chunk_id"), 4).collect()
+    got = {(r["question_id"], r["rank"]): r["chunk_id"] for r in found}
+    want = np.argsort(-(x @ x.T), axis=1, kind="stable")[:, :4]
+    assert got == {(i, j + 1): want[i, j] for i in range(40) for j in range(4)}
