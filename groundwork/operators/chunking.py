@@ -4,26 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..functions.text import let, sentences, words
 from ..settings import Chunking
 
+#: Documents that are cut before their chunks are handed on.
+DOCUMENTS = 256
 
-def _pieces(w: Column, size: int, step: int) -> Column:
-    """Windows of ``size`` words, one every ``step``, until one reaches the end; none without words."""
-
-    def cut(w: Column) -> Column:  # the words are found once, not for each window
-        n = F.size(w)
-        last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / step)).cast("int")
-        made = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(w, i * step + 1, size))
-        return F.when(n > 0, made).otherwise(F.array().cast("array<array<string>>"))
-
-    return let(w, cut)
 
-
-def fixed(text: Column, size: int, overlap: int) -> Column:
-    return _pieces(words(text), size, size - overlap)
+def windows(words: list[str], size: int, step: int) -> list[str]:
+    """Windows of ``size`` words, one every ``step``, until one reaches the end; none without words."""
+    return [" ".join(words[i : i + size]) for i in range(0, max(len(words) - size, 0) + step, step)] if words else []
 
 
 def packed(lengths: np.ndarray, size: int, overlap: int) -> list[int]:
@@ -44,27 +35,28 @@ def packed(lengths: np.ndarray, size: int, overlap: int) -> list[int]:
     return out
 
 
-def recursive(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """``docs`` with ``made``: sentences packed until the next would pass ``size``; a chunk after the first begins with the last ``overlap`` words.
+def units(words: list[str], size: int) -> np.ndarray:
+    """Lengths of the sentences, longer ones in windows of ``size``; a word that ends in ``.``, ``!`` or ``?`` ends one, as white space comes after it."""
+    ends = np.flatnonzero([w[-1] in ".!?" for w in words]) + 1
+    lengths = np.diff(np.unique(np.append(ends, len(words))), prepend=0)
+    n = -(-lengths // size)
+    out = np.full(n.sum(), size)
+    out[np.cumsum(n) - 1] = lengths - (n - 1) * size
+    return out
+
+
+def recursive(words: list[str], size: int, overlap: int) -> list[str]:
+    """Sentences packed until the next would pass ``size``; a chunk after the first begins with the last ``overlap`` words.
 
     Longer sentences are cut into windows of ``size``.  The words carried over
     aren't counted before they are put in front, so a chunk may hold up to
     ``size + overlap`` words.  A chunk is a stretch of the text's words, so
     only lengths are packed; time grows with the text.
     """
-
-    lengths = F.flatten(F.transform(sentences("text"), lambda s: F.transform(_pieces(words(s), size, size), F.size)))
-
-    def pack(batches):
-        for batch in batches:
-            at = [None if x is None else packed(np.asarray(x, int), size, overlap) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(at, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "at"])
-
-    rows = docs.withColumn("at", lengths)
-    rows = rows.mapInArrow(pack, rows.schema)
-    spans = F.sequence(F.lit(0), F.greatest(F.size("at") - 2, F.lit(0)), F.lit(2))
-    made = let(words("text"), lambda w: F.transform(spans, lambda i: F.slice(w, F.get("at", i) + 1, F.get("at", i + 1) - F.get("at", i))))
-    return rows.withColumn("made", F.when(F.size("at") > 1, made)).drop("at")
+    if not words:
+        return []
+    at = packed(units(words, size), size, overlap)
+    return [" ".join(words[b:e]) for b, e in zip(at[::2], at[1::2])]
 
 
 def chunk(docs: DataFrame, how: Chunking) -> DataFrame:
@@ -75,12 +67,19 @@ def chunk(docs: DataFrame, how: Chunking) -> DataFrame:
     if how.strategy == "semantic":
         raise NotImplementedError("semantic chunking is not there; use fixed or recursive")
     rows = docs.select("doc_id", "title", "metadata", "doc_seq", "text")
-    if how.strategy == "fixed":
-        rows = rows.withColumn("made", fixed(F.col("text"), how.chunk_size, how.chunk_overlap))
-    else:
-        rows = recursive(rows, how.chunk_size, how.chunk_overlap)
-    # not plain posexplode: the optimizer would put a filter on the chunks below it, and so make them twice
-    rows = rows.select("doc_id", "title", "metadata", "doc_seq", F.posexplode_outer("made").alias("ordinal", "w")).where("ordinal is not null")
-    return rows.select(
-        F.concat_ws("#", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "ordinal", "title", F.array_join("w", " ").alias("text"), "metadata", "doc_seq"
-    )
+    size, overlap, fixed = how.chunk_size, how.chunk_overlap, how.strategy == "fixed"
+
+    def cut(text: str | None) -> list[str]:  # str.split knows the white space of functions.text.SPACE
+        words = (text or "").split()
+        return windows(words, size, size - overlap) if fixed else recursive(words, size, overlap)
+
+    def run(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, DOCUMENTS):
+                batch = whole.slice(start, DOCUMENTS)
+                made = pa.array([cut(x.as_py()) for x in batch.column(4)], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], made], names=[*batch.schema.names[:4], "made"])
+
+    rows = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:4], T.StructField("made", T.ArrayType(T.StringType()))]))
+    rows = rows.select("doc_id", "title", "metadata", "doc_seq", F.posexplode_outer("made").alias("ordinal", "text")).where("ordinal is not null")
+    return rows.select(F.concat_ws("#", "doc_id", "ordinal").alias("chunk_id"), "doc_id", "ordinal", "title", "text", "metadata", "doc_seq")
