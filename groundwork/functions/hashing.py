@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import tokens
+from .text import coded_tokens, tokens
 
 _TOKEN = re.compile("[a-z0-9]+")
 
@@ -42,8 +42,12 @@ def embed_one(text: str | None, dim: int, place=_place, kind=np.float32) -> np.n
 
 
 def md5_matrix(texts: list[str | None], dim: int) -> np.ndarray:
-    """A row of ``embed_md5`` for each text, in double precision."""
-    return np.stack([embed_one(t, dim, _md5_place, float) for t in texts]) if texts else np.zeros((0, dim))
+    """A row of ``embed_md5`` for each text, in double precision; a token is hashed once for all texts."""
+    owner, code, known = coded_tokens(texts)
+    bucket, sign = (np.array(x) for x in zip(*(_md5_place(t, dim) for t in known.to_pylist()))) if len(known) else (np.zeros(0, int), np.zeros(0))
+    sums = np.bincount(owner * dim + bucket[code], sign[code], len(texts) * dim).reshape(len(texts), dim)
+    norm = np.sqrt((sums * sums).sum(1, keepdims=True))  # of whole numbers, so exact
+    return sums / np.where(norm > 0, norm, 1.0)
 
 
 def embed(text: Column, dim: int) -> Column:

@@ -16,6 +16,8 @@ from .ranking import DIGITS, by_score, top_k
 CHUNKS, QUESTIONS = 32_768, 8_192
 #: Tables too small for a tile for each core are dealt into tiles of so many chunks and questions.
 SMALL = 8_192, 1_024
+#: Up to so many queries go to every task.
+FEW = 1_024
 #: Scores that a task holds at once.
 SCORES = 1 << 23
 
@@ -65,16 +67,50 @@ def blocks(n_queries: int, n_entries: int, cores: int) -> tuple[int, int]:
     return max(n_q, min(most_q, math.ceil(cores / n_e))), n_e
 
 
+def _scanned(asked: pd.DataFrame, kind: str, entries: DataFrame, k: int) -> DataFrame:
+    """``question_id, chunk_id, score``: the first ``k`` that each task has read for each of a few queries."""
+    if not len(asked):
+        return entries.sparkSession.createDataFrame([], f"question_id {kind}, chunk_id {entries.schema['chunk_id'].dataType.simpleString()}, score double")
+    left, names = np.stack(asked["vec"]).astype(np.float64), asked["question_id"].tolist()
+
+    def run(batches):
+        first: list[list] = [[] for _ in names]
+        for whole in batches:
+            for start in range(0, len(whole), max(1, SCORES // len(names))):
+                batch = whole[start : start + max(1, SCORES // len(names))]
+                ids = batch["chunk_id"].to_numpy()
+                place = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+                products = left @ np.stack(batch["vec"]).astype(np.float64).T
+                for own, row in zip(first, products):
+                    score = np.round(row, DIGITS)
+                    least = np.partition(score, len(ids) - k)[len(ids) - k] if len(ids) > k else -np.inf
+                    at = np.flatnonzero(score >= max(least, own[-1][0] * -1 if len(own) == k else -np.inf))
+                    at = at[np.lexsort((place[at], -score[at]))][:k]
+                    own += zip((-score[at]).tolist(), ids[at].tolist(), row[at].tolist())
+                    own[:] = sorted(own, key=lambda x: x[:2])[:k]
+        if any(first):
+            rows = [(name, near, score) for name, own in zip(names, first) for _, near, score in own]
+            yield pd.DataFrame(rows, columns=["question_id", "chunk_id", "score"])
+
+    rows = entries.select("chunk_id", "vec")
+    return rows.mapInPandas(run, f"question_id {kind}, chunk_id {rows.schema['chunk_id'].dataType.simpleString()}, score double")
+
+
 def nearest(queries: DataFrame, entries: DataFrame, k: int, source: str = "dense") -> DataFrame:
     """``question_id, chunk_id, rank, score, source``: the largest inner products in double precision, ties by chunk id.
 
     ``queries`` has ``question_id, vec``, ``entries`` has ``chunk_id, vec``.
     Both are dealt in blocks; a task multiplies two blocks, some questions at a
-    time, and keeps its own first ``k``, so no pair of rows is ever a row.
+    time, and keeps its own first ``k``, so no pair of rows is ever a row.  Up to
+    ``FEW`` queries go to every task instead, and entries don't move.
     """
     if k <= 0:
         none = queries.sparkSession.createDataFrame([], "question_id string, chunk_id string, rank int, score double, source string")
         return none
+    asked = queries.select("question_id", "vec").limit(FEW + 1).toPandas()
+    if len(asked) <= FEW:
+        near = _scanned(asked, queries.schema["question_id"].dataType.simpleString(), entries, k)
+        return top_k(near, ["question_id"], by_score("chunk_id"), k).select("question_id", "chunk_id", "rank", "score", F.lit(source).alias("source"))
     n_q, n_e = blocks(queries.count(), entries.count(), queries.sparkSession.sparkContext.defaultParallelism)
     q = queries.select("question_id", "vec", F.pmod(F.xxhash64("question_id"), F.lit(n_q)).alias("qb")).withColumn("eb", F.explode(F.sequence(F.lit(0), F.lit(n_e - 1))))
     e = entries.select("chunk_id", F.col("vec").alias("evec"), F.pmod(F.xxhash64("chunk_id"), F.lit(n_e)).cast("int").alias("eb"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import content_tokens
+from ..functions.text import content_tokens, let
 
 #: Scores that differ by less tie, so that the order of distributed sums can't change a rank.
 DIGITS = 9
@@ -31,9 +31,14 @@ def reciprocal_rank_fusion(rankings: list[DataFrame], k: int, rrf_k: int, keys:
 
 def lexical_score(question: Column, text: Column) -> Column:
     """Share of the question's content terms that the text has, plus 1e-4 for each occurrence; null without terms."""
-    q, c = F.array_distinct(content_tokens(question)), content_tokens(text)
-    hits = F.size(F.filter(c, lambda t: F.array_contains(q, t)))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, c)) / F.size(q) + 1e-4 * hits)
+
+    def score(q: Column, c: Column) -> Column:
+        hits = F.size(F.filter(c, lambda t: F.array_contains(q, t)))
+        return F.when(F.size(q) > 0, F.size(F.array_intersect(q, c)) / F.size(q) + 1e-4 * hits)
+
+    # found once for a row, not again for each token of the text
+    both = F.struct(F.array_distinct(content_tokens(question)).alias("q"), content_tokens(text).alias("c"))
+    return let(both, lambda x: score(x["q"], x["c"]))
 
 
 def rerank(ranking: DataFrame, questions: DataFrame, chunks: DataFrame, keys: tuple[str, ...] = ("question_id",)) -> DataFrame:

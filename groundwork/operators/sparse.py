@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import runs, tokens
+from ..functions.text import coded_tokens, runs, tokens
 from .ranking import DIGITS, by_score, top_k
 
 # Fixed values of Okapi BM25; a negative idf becomes EPSILON times the mean idf.
@@ -27,12 +28,16 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 #: Chunks of a block.
 BLOCK = 128
+#: Chunks whose terms are counted at once.
+TALLIED = 4096
 #: Questions that a task scores at once.
 QUESTIONS = 1024
 #: Pairs of a posting and a question that are worked on at once.
 PAIRS = 1 << 21
 #: Up to so many asked terms are handed to the reader by name; more are joined.
 NAMED = 500
+#: The same for lists that are made for one search only.
+LISTED = 100_000
 #: Up to so many asked terms are broadcast.
 BROADCAST = 1_000_000
 _CHUNK = ("chunk_id", "doc_id", "doc_seq", "ordinal")
@@ -50,18 +55,23 @@ _POSTING = pa.struct([("chunk_id", pa.string()), ("doc_seq", pa.int64()), ("ordi
 LISTS = "term string, block long, n long, words long, max_tf long, min_dl int, postings array<struct<chunk_id:string,doc_seq:long,ordinal:int,tf:long,dl:int>>"
 
 
-def _lists(batches):
-    """Lists of the blocks of one partition; a block is up to BLOCK of its chunks, in order."""
+def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.StringArray]:
+    """Tokens of each text; for each pair of a term and a text that has it, by term: the term's code, the text's place, the count; the terms."""
+    text, code, known = coded_tokens(texts)
+    pairs, tf = np.unique(code * len(texts) + text, return_counts=True)
+    return np.bincount(text, minlength=len(texts)), pairs // max(1, len(texts)), pairs % max(1, len(texts)), tf, known
+
+
+def _lists(batches, only: pa.Array | None = None):
+    """Lists of the blocks of one partition; a block is up to BLOCK of its chunks, in order. With ``only``, those of these terms."""
     block = TaskContext.get().partitionId() << 32
     for whole in batches:
         for start in range(0, whole.num_rows, BLOCK):
             batch = whole.slice(start, BLOCK)
-            listed = batch.column("t")
-            dl = np.asarray(listed.value_lengths().fill_null(0)).astype(np.int64)
-            coded = listed.flatten().dictionary_encode()
-            chunk = np.repeat(np.arange(len(dl)), dl)
-            pairs, tf = np.unique(np.asarray(coded.indices).astype(np.int64) * BLOCK + chunk, return_counts=True)
-            code, chunk = pairs // BLOCK, pairs % BLOCK
+            dl, code, chunk, tf, known = _counts(batch.column("text").to_pylist())
+            if only is not None:
+                kept = np.asarray(pc.is_in(known, only).to_numpy(zero_copy_only=False), bool)[code]
+                code, chunk, tf = code[kept], chunk[kept], tf[kept]
             begins = np.flatnonzero(np.diff(code, prepend=-1))
             at = pa.array(chunk)
             parts = [batch.column(c).take(at) for c in ("chunk_id", "doc_seq", "ordinal")] + [pa.array(tf.astype(np.int64)), pa.array(dl[chunk].astype(np.int32))]
@@ -69,20 +79,41 @@ def _lists(batches):
             sums = [np.diff(np.append(begins, len(code)))] + ([np.add.reduceat(tf, begins), np.maximum.reduceat(tf, begins), np.minimum.reduceat(dl[chunk], begins)] if len(begins) else [begins] * 3)
             n, words, max_tf, min_dl = (pa.array(x.astype(np.int64)) for x in sums)
             yield pa.RecordBatch.from_arrays(
-                [coded.dictionary.take(pa.array(code[begins])), pa.array(np.full(len(begins), block)), n, words, max_tf, min_dl.cast(pa.int32()), postings],
+                [known.take(pa.array(code[begins])), pa.array(np.full(len(begins), block)), n, words, max_tf, min_dl.cast(pa.int32()), postings],
                 names=["term", "block", "n", "words", "max_tf", "min_dl", "postings"],
             )
             block += 1
 
 
-def lists(chunks: DataFrame) -> DataFrame:
-    """``term, block, n, words, max_tf, min_dl, postings``: a row for each term of a block.
+def lists(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """``term, block, n, words, max_tf, min_dl, postings``: a row for each term of a block, or for those of ``only``.
 
     Blocks lie within partitions, so a partition's rows hold whole lists;
-    ``chunks`` must be a written table, whose partitions stay as they are.
+    ``chunks`` must be rows whose partitions stay as they are.
     """
-    rows = chunks.select("chunk_id", "doc_seq", "ordinal", tokens("text").alias("t"))
-    return rows.mapInArrow(_lists, LISTS)
+    terms = None if only is None else pa.array(only, pa.string())
+    return chunks.select("chunk_id", "doc_seq", "ordinal", "text").mapInArrow(lambda batches: _lists(batches, terms), LISTS)
+
+
+def _tallies(batches):
+    """``term, df`` of some chunks at a time, and a row without a term with their number and their tokens."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, TALLIED):
+            dl, code, _, _, known = _counts(whole.column(0).slice(start, TALLIED).to_pylist())
+            yield pa.RecordBatch.from_arrays([known, pa.array(np.bincount(code, minlength=len(known)).astype(np.int64)), pa.nulls(len(known), pa.int64())], names=["term", "n", "words"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.array([len(dl)], pa.int64()), pa.array([int(dl.sum())], pa.int64())], names=["term", "n", "words"])
+
+
+def tallies(chunks: DataFrame) -> DataFrame:
+    """``term, n, words``: in how many chunks a term is; in the one row without a term (none without chunks), how many chunks and tokens there are. Only sums move."""
+    return chunks.select("text").mapInArrow(_tallies, "term string, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+
+
+def counted(tally: DataFrame) -> dict[str, DataFrame]:
+    """``term_stats`` and ``corpus_stats`` from ``tallies``."""
+    whole = tally.where("term is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("words") / F.nullif(F.sum("n"), F.lit(0))).alias("avgdl"))
+    stats, corpus = statistics(tally.where("term is not null").select("term", F.col("n").alias("df")), whole)
+    return {"term_stats": stats, "corpus_stats": corpus}
 
 
 def statistics(df: DataFrame, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -250,14 +281,19 @@ def _asked(terms: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
 def _nearest(questions: DataFrame, index: dict[str, DataFrame], avgdl: float, k: int) -> DataFrame:
     """``question_id, chunk_id, doc_seq, ordinal, score`` from stored lists: at least each question's first ``k`` that score above 0."""
     terms, few = _terms(questions)
-    part = F.pmod(F.xxhash64("question_id"), F.greatest(F.lit(1), F.ceil(F.lit(questions.count()) / QUESTIONS))).cast("int")
+    parts = max(1, -(-questions.count() // QUESTIONS))
+    part = F.pmod(F.xxhash64("question_id"), F.lit(parts)).cast("int")
     asked = _asked(terms, index).groupBy("term", part.alias("part")).agg(F.collect_list(F.struct("question_id", "weight")).alias("asked"))
-    found = index["lists"]
-    names = [r["term"] for r in terms.select("term").distinct().limit(NAMED + 1).collect()]
-    if len(names) <= NAMED:
-        found = found.where(F.col("term").isin(names))
+    made, most = "lists" not in index, LISTED if "lists" not in index else NAMED
+    names = [r["term"] for r in terms.select("term").distinct().limit(most + 1).collect()]
+    if made:  # while chunks are read; each task has whole blocks then
+        found = lists(index["chunks"], names if len(names) <= most else None).withColumn("delta", F.lit(0))
+    else:
+        found = index["lists"].where(F.col("term").isin(names)) if len(names) <= most else index["lists"]
     rows = found.select("term", "delta", "block", "max_tf", "min_dl", "postings").join(F.broadcast(asked) if few else asked, "term")
-    dealt = rows.drop("term").repartition("part", "delta", "block").sortWithinPartitions("part", "delta", "block")
+    dealt = rows.drop("term") if made and few else rows.drop("term").repartition("part", "delta", "block")
+    if not (made and few and parts == 1):  # there blocks come one after the other
+        dealt = dealt.sortWithinPartitions("part", "delta", "block")
     return dealt.mapInArrow(_scorer(k, avgdl), "question_id string, chunk_id string, doc_seq long, ordinal int, score double")
 
 
@@ -267,7 +303,7 @@ def scores(questions: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     if "lists" in index:
         tf = index["lists"].select("term", F.explode("postings").alias("p")).select("term", "p.*")
     else:
-        tf = index["frequencies"]
+        tf = index["frequencies"] if "frequencies" in index else frequencies(index["chunks"])
     met = tf.join(terms.select("term").distinct(), "term", "left_semi").join(_asked(terms, index), "term")
     met = met.crossJoin(F.broadcast(index["corpus_stats"].select("avgdl")))  # one row
     return met.groupBy("question_id", "chunk_id", "doc_seq", "ordinal").agg(F.sum(F.col("weight") * saturation("tf", "dl", F.col("avgdl"))).alias("score"))
@@ -278,13 +314,15 @@ def search(questions: DataFrame, index: dict[str, DataFrame], k: int) -> DataFra
 
     Where fewer than ``k`` chunks score above 0, the rest come from the first
     chunks of the corpus: 2k of them hold enough unless scores can be negative
-    (a mean idf below 0, as in corpora of a few chunks); then all do.
+    (a mean idf below 0, as in corpora of a few chunks); then all do.  ``first``
+    may hold the first chunks.  An index without ``lists`` and ``frequencies``
+    is searched while its chunks are read: only each task's first ``k`` move.
     """
     corpus = index["corpus_stats"].first()
     negative = corpus["avg_idf"] is not None and corpus["avg_idf"] < 0
-    found = _nearest(questions, index, corpus["avgdl"] or 1.0, k) if "lists" in index and not negative and k > 0 else scores(questions, index)
-    first = index["chunks"].select("chunk_id", "doc_seq", "ordinal").orderBy("doc_seq", "ordinal")
-    first = first if negative else first.limit(2 * max(k, 0))
+    found = _nearest(questions, index, corpus["avgdl"] or 1.0, k) if "frequencies" not in index and not negative and k > 0 else scores(questions, index)
+    first = index.get("first", index["chunks"]).select("chunk_id", "doc_seq", "ordinal").orderBy("doc_seq", "ordinal")
+    first = index["chunks"].select(*first.columns) if negative else first.limit(2 * max(k, 0))
     pads = questions.select("question_id").join(F.broadcast(first) if not negative else first, F.lit(True)).withColumn("score", F.lit(None).cast("double"))
     # a chunk that is found keeps its score, one that isn't has none: 0
     both = found.unionByName(pads).groupBy("question_id", "chunk_id", "doc_seq", "ordinal").agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
