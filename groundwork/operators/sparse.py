@@ -95,6 +95,29 @@ def lists(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
     return chunks.select("chunk_id", "doc_seq", "ordinal", "text").mapInArrow(lambda batches: _lists(batches, terms), LISTS)
 
 
+def _strips(batches):
+    """``term, postings``: what ``lists`` holds of TALLIED chunks at a time, as columns of numbers; a chunk is its document's id and its place there."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, TALLIED):
+            batch = whole.slice(start, TALLIED)
+            dl, code, chunk, tf, known = _counts(batch.column("text").to_pylist())
+            begins = np.append(np.flatnonzero(np.diff(code, prepend=-1)), len(code)).astype(np.int32)
+            at = pa.array(chunk)
+            columns = [batch.column("doc_id").take(at), batch.column("ordinal").take(at), pa.array(tf.astype(np.int32)), pa.array(dl[chunk].astype(np.int32))]
+            made = [pa.ListArray.from_arrays(pa.array(begins), c) for c in columns]
+            yield pa.RecordBatch.from_arrays([known.take(pa.array(code[begins[:-1]])), *made], names=["term", "doc", "ordinal", "tf", "dl"])
+
+
+def postings(chunks: DataFrame, tally: DataFrame) -> DataFrame:
+    """``term, chunk_id, tf, weight`` of all chunks, for chunks named ``doc#ordinal``: strips of many chunks meet their term's idf, and only then become rows."""
+    own = counted(tally)
+    strips = chunks.select("doc_id", "ordinal", "text").mapInArrow(_strips, "term string, doc array<string>, ordinal array<int>, tf array<int>, dl array<int>")
+    # hashed, so that strips aren't sorted
+    met = strips.join(own["term_stats"].select("term", "idf").hint("shuffle_hash"), "term").crossJoin(F.broadcast(own["corpus_stats"].select("avgdl")))  # one row
+    rows = met.select("term", "idf", "avgdl", F.explode(F.arrays_zip("doc", "ordinal", "tf", "dl")).alias("p")).select("term", "idf", "avgdl", "p.*")
+    return rows.select("term", F.concat_ws("#", "doc", "ordinal").alias("chunk_id"), F.col("tf").cast("long").alias("tf"), (F.col("idf") * saturation("tf", "dl", F.col("avgdl"))).alias("weight"))
+
+
 def _tallies(batches):
     """``term, df`` of some chunks at a time, and a row without a term with their number and their tokens."""
     for whole in batches:

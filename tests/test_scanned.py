@@ -73,3 +73,13 @@ def test_queries_write_no_index(spark, tmp_path, monkeypatch):
     ids = {r["chunk_id"] for r in Q._bm25(spark, str(tmp_path), kept).collect()}
     assert {r["chunk_id"]: r["text"] for r in Q._ranked_chunks(spark, str(tmp_path), kept).collect()} == {i: chunks[i] for i in ids}
     assert Q.collapse_documents(spark, str(tmp_path)).count() and Q.pool_candidates(spark, str(tmp_path)).count() and Q.answer_extractive(spark, str(tmp_path)).count() == 2
+
+
+def test_postings_move_as_strips(spark, monkeypatch):
+    """The same postings as from frequencies; what moves has a row for each term of a strip, and isn't sorted."""
+    monkeypatch.setattr(sparse, "TALLIED", 50)
+    c = table(spark, 130).persist()
+    found, columns = sparse.postings(c, sparse.tallies(c)), ["term", "chunk_id", "tf", F.round("weight", 9)]
+    want = sorted(map(tuple, sparse.build(c)["postings"].select(*columns).collect()))
+    assert sorted(map(tuple, found.select(*columns).collect())) == want and len(want) > 500
+    assert "SortMergeJoin" not in plan(found)
