@@ -7,12 +7,14 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import coded_tokens, tokens
 
 _TOKEN = re.compile("[a-z0-9]+")
+#: Components that a task sums up at once.
+SUMS = 1 << 22
 
 
 @functools.lru_cache(1 << 18)
@@ -41,6 +43,21 @@ def embed_one(text: str | None, dim: int, place=_place, kind=np.float32) -> np.n
     return out
 
 
+def matrix(texts: list[str | None], dim: int) -> np.ndarray:
+    """A row of ``embed_one`` for each text, to the last bit; a token is hashed once for all texts."""
+    owner, code, known = coded_tokens(texts)
+    made = b"".join(hashlib.blake2b(t.encode(), digest_size=8).digest() for t in known.to_numpy(zero_copy_only=False))
+    hashes = np.frombuffer(made, ">u8").astype(np.uint64)
+    bucket, sign = (hashes % dim).astype(np.int64), np.where(hashes >> 63, 1.0, -1.0)
+    sums = np.bincount(owner * dim + bucket[code], sign[code], len(texts) * dim).reshape(len(texts), dim)
+    squares = (sums * sums).sum(1)
+    norm = np.sqrt(squares.astype(np.float32))
+    out = sums.astype(np.float32) / np.where(norm > 0, norm, np.float32(1))[:, None]
+    for i in np.flatnonzero(squares >= 1 << 24):  # single precision rounds the sums themselves there, as they come
+        out[i] = embed_one(texts[i], dim)
+    return out
+
+
 def md5_matrix(texts: list[str | None], dim: int) -> np.ndarray:
     """A row of ``embed_md5`` for each text, in double precision; a token is hashed once for all texts."""
     owner, code, known = coded_tokens(texts)
@@ -55,9 +72,12 @@ def embed(text: Column, dim: int) -> Column:
     if dim <= 0:
         raise ValueError("dim must be positive")
 
-    @F.pandas_udf("array<float>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed_one(t, dim))
+    @F.arrow_udf("array<float>")
+    def run(texts: pa.Array) -> pa.Array:
+        step = max(1, SUMS // dim)
+        made = [matrix(texts.slice(i, step).to_pylist(), dim).ravel() for i in range(0, len(texts), step)]
+        flat = np.concatenate(made) if made else np.zeros(0, np.float32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(flat, pa.float32()))
 
     return run(text)
 

@@ -62,37 +62,52 @@ def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.bincount(text, minlength=len(texts)), pairs // max(1, len(texts)), pairs % max(1, len(texts)), tf, known
 
 
-def _lists(batches, only: pa.Array | None = None):
-    """Lists of the blocks of one partition; a block is up to BLOCK of its chunks, in order. With ``only``, those of these terms."""
-    block = TaskContext.get().partitionId() << 32
+def _lists(batches, only: pa.Array | None = None, by_term: bool = False):
+    """Lists of the blocks of one partition; a block is up to BLOCK of its chunks, in order. With ``only``, those of these terms.
+
+    About TALLIED chunks are counted at once.  Their lists come block by block, or ``by_term`` sorted by term and block.
+    """
+    first, most = TaskContext.get().partitionId() << 32, max(1, TALLIED // BLOCK) * BLOCK
     for whole in batches:
-        for start in range(0, whole.num_rows, BLOCK):
-            batch = whole.slice(start, BLOCK)
-            dl, code, chunk, tf, known = _counts(batch.column("text").to_pylist())
+        for start in range(0, whole.num_rows, most):
+            batch = whole.slice(start, most)
+            n_blocks = -(-batch.num_rows // BLOCK)
+            text, code, known = coded_tokens(batch.column("text").to_pylist())
+            dl = np.bincount(text, minlength=batch.num_rows)
             if only is not None:
                 kept = np.asarray(pc.is_in(known, only).to_numpy(zero_copy_only=False), bool)[code]
-                code, chunk, tf = code[kept], chunk[kept], tf[kept]
-            begins = np.flatnonzero(np.diff(code, prepend=-1))
-            at = pa.array(chunk)
-            parts = [batch.column(c).take(at) for c in ("chunk_id", "doc_seq", "ordinal")] + [pa.array(tf.astype(np.int64)), pa.array(dl[chunk].astype(np.int32))]
-            postings = pa.ListArray.from_arrays(pa.array(np.append(begins, len(code)), pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_POSTING)))
-            sums = [np.diff(np.append(begins, len(code)))] + ([np.add.reduceat(tf, begins), np.maximum.reduceat(tf, begins), np.minimum.reduceat(dl[chunk], begins)] if len(begins) else [begins] * 3)
-            n, words, max_tf, min_dl = (pa.array(x.astype(np.int64)) for x in sums)
-            yield pa.RecordBatch.from_arrays(
-                [known.take(pa.array(code[begins])), pa.array(np.full(len(begins), block)), n, words, max_tf, min_dl.cast(pa.int32()), postings],
-                names=["term", "block", "n", "words", "max_tf", "min_dl", "postings"],
-            )
-            block += 1
-
-
-def lists(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
+                text, code = text[kept], code[kept]
+            if by_term:
+                order = np.asarray(pc.array_sort_indices(known)).astype(np.int64)
+                known, code = known.take(pa.array(order)), np.argsort(order)[code]
+            key = code * n_blocks + text // BLOCK if by_term else text // BLOCK * len(known) + code
+            pairs, tf = np.unique(key * BLOCK + text % BLOCK, return_counts=True)
+            begins = np.flatnonzero(np.diff(pairs // BLOCK, prepend=-1))
+            if len(begins):
+                key = pairs // BLOCK
+                code, block = (key // n_blocks, key % n_blocks) if by_term else (key % len(known), key // len(known))
+                chunk = block * BLOCK + pairs % BLOCK
+                at = pa.array(chunk)
+                parts = [batch.column(c).take(at) for c in ("chunk_id", "doc_seq", "ordinal")] + [pa.array(tf.astype(np.int64)), pa.array(dl[chunk].astype(np.int32))]
+                postings = pa.ListArray.from_arrays(pa.array(np.append(begins, len(pairs)), pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_POSTING)))
+                sums = [np.diff(np.append(begins, len(pairs))), np.add.reduceat(tf, begins), np.maximum.reduceat(tf, begins), np.minimum.reduceat(dl[chunk], begins)]
+                n, words, max_tf, min_dl = (pa.array(x.astype(np.int64)) for x in sums)
+                yield pa.RecordBatch.from_arrays(
+                    [known.take(pa.array(code[begins])), pa.array(first + block[begins]), n, words, max_tf, min_dl.cast(pa.int32()), postings],
+                    names=["term", "block", "n", "words", "max_tf", "min_dl", "postings"],
+                )
+            first += n_blocks
+
+
+def lists(chunks: DataFrame, only: list[str] | None = None, by_term: bool = False) -> DataFrame:
     """``term, block, n, words, max_tf, min_dl, postings``: a row for each term of a block, or for those of ``only``.
 
     Blocks lie within partitions, so a partition's rows hold whole lists;
-    ``chunks`` must be rows whose partitions stay as they are.
+    ``chunks`` must be rows whose partitions stay as they are.  ``by_term``
+    brings them in sorted runs, which are soon merged.
     """
     terms = None if only is None else pa.array(only, pa.string())
-    return chunks.select("chunk_id", "doc_seq", "ordinal", "text").mapInArrow(lambda batches: _lists(batches, terms), LISTS)
+    return chunks.select("chunk_id", "doc_seq", "ordinal", "text").mapInArrow(lambda batches: _lists(batches, terms, by_term), LISTS)
 
 
 def _strips(batches):
@@ -154,7 +169,12 @@ def saturation(tf: str, dl: str, avgdl: Column) -> Column:
 
 def weighted(tf: DataFrame, stats: DataFrame, whole: DataFrame) -> DataFrame:
     """``postings``: each term's weight in its chunk."""
-    rows = tf.join(stats.select("term", "idf"), "term").crossJoin(F.broadcast(whole.select("avgdl")))
+    return _weights(tf.join(stats.select("term", "idf"), "term"), whole)
+
+
+def _weights(met: DataFrame, whole: DataFrame) -> DataFrame:
+    """Postings with their ``idf``, weighted."""
+    rows = met.crossJoin(F.broadcast(whole.select("avgdl")))  # one row
     return rows.select("term", "chunk_id", "doc_seq", "ordinal", "tf", (F.col("idf") * saturation("tf", "dl", F.col("avgdl"))).alias("weight"))
 
 
@@ -170,8 +190,10 @@ def stored(found: DataFrame, df: DataFrame, sizes: DataFrame) -> dict[str, DataF
     """The same tables from stored ``lists``, ``term, df`` and ``n, words``, which may come in parts (a growing index)."""
     whole = sizes.agg(F.sum("n").alias("n"), (F.sum("words") / F.nullif(F.sum("n"), F.lit(0))).alias("avgdl"))
     stats, corpus = statistics(df.groupBy("term").agg(F.sum("df").alias("df")), whole)
-    flat = found.select("term", F.explode_outer("postings").alias("p")).select("term", "p.*")  # a list is never empty
-    return {"lists": found, "postings": weighted(flat, stats, whole), "term_stats": stats, "corpus_stats": corpus}
+    # lists meet their term's idf, not single postings; hashed, so that they aren't sorted
+    met = found.select("term", "postings").join(stats.select("term", "idf").hint("shuffle_hash"), "term")
+    flat = met.select("term", "idf", F.explode_outer("postings").alias("p")).select("term", "idf", "p.*")  # a list is never empty
+    return {"lists": found, "postings": _weights(flat, whole), "term_stats": stats, "corpus_stats": corpus}
 
 
 def _terms(questions: DataFrame) -> tuple[DataFrame, bool]:

@@ -73,8 +73,8 @@ def _part(spark: SparkSession, out: str, number: int, chunks: DataFrame, vectors
         return _read(spark, out, name).where(F.col("delta") == number)
 
     rows = write(chunks, "chunks")
-    # sorted by term, so that a search for terms reads few row groups
-    found = write(sparse.lists(rows).repartition("term", "block"), "lists", "term", "block")
+    # written where they are made; each file is sorted by term, so that a search for terms reads few row groups
+    found = write(sparse.lists(rows, by_term=True), "lists", "term", "block")
     write(found.groupBy("term").agg(F.sum("n").alias("df")), "terms")
     words = found.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
     write(rows.agg(F.count("*").alias("n")).crossJoin(words), "sizes")  # a row each

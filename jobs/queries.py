@@ -27,8 +27,10 @@ def job1_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         index_documents.run(spark, f"{sf_dir}/documents*.parquet", f"{root}/index", f"{root}/checkpoint", config)
     built = index.load(spark, pipeline(config), f"{root}/index")
     chunks = built["chunks"].select("chunk_id", "doc_id", "title", F.size(F.split("text", " ")).cast("long").alias("n_words"))
-    rows = built["postings"].join(chunks, "chunk_id")
-    return rows.select("term", "chunk_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "title", "n_words", "tf", F.round("weight", 6).alias("weight"))
+    rows = built["postings"].join(chunks.hint("shuffle_hash"), "chunk_id")  # hashed, so that postings aren't sorted
+    # six digits as the SQL rounds them; F.round writes every number out in decimal digits, which takes long
+    weight = F.signum("weight") * F.floor(F.abs("weight") * 1e6 + 0.5) / 1e6
+    return rows.select("term", "chunk_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "title", "n_words", "tf", weight.alias("weight"))
 
 
 def job2_retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:

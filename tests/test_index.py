@@ -132,6 +132,23 @@ def test_growth(spark, tmp_path):
     same(spark, f"{root}/new", table(spark, rows))
 
 
+def test_lists_by_term(spark, tmp_path):
+    """Sorted lists are those that come by block, and are written without a shuffle, sorted in every file."""
+    chunks = I.build(table(spark, list(enumerate(texts(5, 300)))).repartition(3), HOW)["chunks"].localCheckpoint()
+    by_term, by_block = (sparse.lists(chunks, by_term=x).collect() for x in (True, False))
+    assert sorted(map(str, by_term)) == sorted(map(str, by_block)) and len({r["block"] for r in by_term}) == 6
+    assert [r["block"] for r in by_block] == sorted(r["block"] for r in by_block)
+    I._part(spark, str(tmp_path), 0, chunks, HOW)
+    files = list(Path(tmp_path).glob("lists/delta=0/*.parquet"))
+    assert files
+    for p in files:
+        keys = [(r["term"], r["block"]) for r in spark.read.parquet(str(p)).select("term", "block").coalesce(1).collect()]
+        assert keys == sorted(keys)
+    # blocks weren't torn apart: all lists of a block are in one file
+    held = [{r["block"] for r in spark.read.parquet(str(p)).select("block").distinct().collect()} for p in files]
+    assert sum(map(len, held)) == len(set().union(*held))
+
+
 def test_nothing_to_index(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         I.load(spark, HOW, str(tmp_path))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 from groundwork.plans import index
-from jobs import index_documents, pipeline, read_config, retrieval_report
+from jobs import index_documents, pipeline, queries, read_config, retrieval_report
 from jobs.queries import HERE
 
 CONFIG = read_config(HERE / "index_documents.yaml")
@@ -106,6 +106,21 @@ def test_json_in_several_batches(spark, tmp_path):
     assert built["term_stats"].where("term = 'more'").first()["df"] == 30
 
 
+def test_index_read_back(spark, tmp_path):
+    """Every posting with its chunk; lists and postings meet by hashes, so that no sort grows with them."""
+    put(spark, docs(0, 60), str(tmp_path / "documents"), "a")
+    shutil.copytree(tmp_path / "documents", tmp_path / "sf" / "documents.parquet")
+    found = queries.job1_index_documents(spark, str(tmp_path / "sf"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    how = pipeline(CONFIG)
+    built = index.build(index_documents.documents(spark.createDataFrame(docs(0, 60), SCHEMA), CONFIG["columns"]), how)
+    chunks = {r["chunk_id"]: (r["doc_id"], r["ordinal"], r["title"], len(r["text"].split())) for r in built["chunks"].collect()}
+    want = {(r["term"], r["chunk_id"], *chunks[r["chunk_id"]], r["tf"], round(r["weight"], 6)) for r in built["postings"].collect()}
+    got = [(r["term"], r["chunk_id"], r["doc_id"], r["ordinal"], r["title"], r["n_words"], r["tf"], r["weight"]) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def report(spark, root):
     return {name: sorted(map(str, spark.read.parquet(f"{root}/{name}").collect())) for name in ("rankings", "per_question", "summary")}
 

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from groundwork.functions.hashing import embed_one
+from groundwork.functions.hashing import embed, embed_one, matrix
 from groundwork.operators import dense, ranking, sparse
 from groundwork.settings import Embedder, VectorStore
 
@@ -59,6 +59,18 @@ def test_hashing_embedder():
     assert not embed_one("", 32).any() and embed_one(None, 32).shape == (32,)
 
 
+def test_embedding_many_texts_at_once(spark, monkeypatch):
+    """The same vectors as one text at a time, to the last bit."""
+    monkeypatch.setattr("groundwork.functions.hashing.SUMS", 64)
+    words = [f"w{i * i % 41}" for i in range(300)]
+    texts = [None, "", "İa ß é 7", "the " * 9000, *(" ".join(words[i : i + 3 * i]) for i in range(60))]
+    for dim in (1, 7, 32):
+        want = np.stack([embed_one(t, dim) for t in texts])
+        assert np.array_equal(matrix(texts, dim), want)
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", embed("t", dim).alias("v")).collect()
+        assert np.array_equal(np.array([r["v"] for r in sorted(rows)], np.float32), want)
+
+
 def test_dense_search(spark, monkeypatch):
     monkeypatch.setattr(dense, "CHUNKS", 2)
     how = Embedder("hashing", "", 64)
