@@ -10,6 +10,10 @@ def _hits(k: int | None = None) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+def _gain(k: int) -> Column:
+    return F.aggregate(F.filter("hits", lambda r: r <= k), F.lit(0.0), lambda a, r: a + 1.0 / F.log2(r + 1.0))
+
+
 def _ideal(n: Column, k: int) -> Column:
     gains = F.transform(F.sequence(F.lit(1), F.greatest(F.least(n, F.lit(k)), F.lit(1))), lambda r: 1.0 / F.log2(r + 1.0))
     return F.when(F.least(n, F.lit(k)) > 0, F.aggregate(gains, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
@@ -24,10 +28,9 @@ def retrieval_metrics(questions: DataFrame, documents: DataFrame, k_values: tupl
     """
     want = questions.select(*keys, F.array_distinct(F.coalesce("relevant_doc_ids", F.array().cast("array<string>"))).alias("want"))
     rows = want.join(documents.select(*keys, "doc_id", "rank"), list(keys), "left").withColumn("relevant", F.array_contains("want", F.col("doc_id")))
-    made = [F.first(F.size("want")).alias("n")]
-    for k in k_values:
-        made.append(F.count_if(_hits(k)).alias(f"hits@{k}"))
-        made.append(F.sum(F.when(_hits(k), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"gain@{k}"))
+    # summed up in the order of ranks, as sums in another order differ in their last digits, which a paired test would take for a difference
+    made = [F.first(F.size("want")).alias("n"), F.array_sort(F.collect_list(F.when(_hits(max(k_values, default=0)), F.col("rank")))).alias("hits")]
+    made += [F.count_if(_hits(k)).alias(f"hits@{k}") for k in k_values]
     made.append(F.min(F.when(_hits(), F.col("rank"))).alias("first"))
     got = rows.groupBy(*keys).agg(*made)
     n = F.col("n")
@@ -35,7 +38,7 @@ def retrieval_metrics(questions: DataFrame, documents: DataFrame, k_values: tupl
     for k in k_values:
         out[f"recall@{k}"] = F.col(f"`hits@{k}`") / F.nullif(n, F.lit(0))
         ideal = _ideal(n, k)
-        out[f"ndcg@{k}"] = F.when(n > 0, F.when(ideal > 0, F.col(f"`gain@{k}`") / F.nullif(ideal, F.lit(0.0))).otherwise(0.0))
+        out[f"ndcg@{k}"] = F.when(n > 0, F.when(ideal > 0, _gain(k) / F.nullif(ideal, F.lit(0.0))).otherwise(0.0))
         if precision:
             out[f"precision@{k}"] = F.col(f"`hits@{k}`") / F.lit(k) if k > 0 else F.lit(0.0)
     out["mrr"] = F.when(n > 0, F.coalesce(1.0 / F.col("first"), F.lit(0.0)))

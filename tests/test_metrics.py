@@ -2,6 +2,7 @@ import math
 import random
 
 from groundwork.operators.metrics import generation_metrics, long_form, retrieval_metrics
+from jobs.retrieval_report import summarised
 
 
 def brute(ranked, relevant, k):
@@ -33,6 +34,18 @@ def test_against_brute_force(spark):
     assert long_form(retrieval_metrics(q, d, (1,))).count() == 3 * len(cases)
 
 
+def test_order_of_rows_brings_no_difference(spark):
+    """The same hits give the same bits, in whatever order they come, and a paired test of them has no differences."""
+    rng = random.Random(2)
+    docs = list(enumerate("abcdefghij"))
+    cases = {f"v{i}": rng.sample(docs, len(docs)) for i in range(12)}
+    q = spark.createDataFrame([(v, "q", list("abcdefghijk")) for v in cases], "variant string, question_id string, relevant_doc_ids array<string>")
+    d = spark.createDataFrame([(v, "q", x, n + 1) for v, order in cases.items() for n, x in order], "variant string, question_id string, doc_id string, rank int").coalesce(1)
+    values = long_form(retrieval_metrics(q, d, (5, 10), ("variant", "question_id")), ("variant", "question_id"))
+    assert {r["n_differ"] for r in summarised(values, "v0").where("variant <> 'v0'").collect()} == {0}
+    assert {r["value"] for r in values.where("metric = 'ndcg@10'").collect()} == {1.0}
+
+
 def test_gating(spark):
     rows = [("a", 1.0, 0.0, 1.0, True, True), ("b", 0.5, 0.25, 0.75, False, False), ("c", 0.5, 0.25, 0.0, False, True)]
     df = spark.createDataFrame(rows, "question_id string, faithfulness double, answer_relevance double, correctness double, abstained boolean, no_answer boolean")
