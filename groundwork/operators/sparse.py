@@ -14,6 +14,8 @@ bound can't reach a question's k-th score is not scored for it.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +42,10 @@ NAMED = 500
 LISTED = 100_000
 #: Up to so many asked terms are broadcast.
 BROADCAST = 1_000_000
+#: Chunks of a part in which stored postings meet their chunks; smaller parts where these are fewer than cores.
+PART, SMALL = 16_384, 1_024
+#: Postings of a stored index that are dealt, and that meet their chunks, at once.
+DEALT = 1 << 20
 _CHUNK = ("chunk_id", "doc_id", "doc_seq", "ordinal")
 
 
@@ -196,6 +202,208 @@ def stored(found: DataFrame, df: DataFrame, sizes: DataFrame) -> dict[str, DataF
     return {"lists": found, "postings": _weights(flat, whole), "term_stats": stats, "corpus_stats": corpus}
 
 
+class _Parts:
+    """Into which part a chunk is dealt: stretches of the corpus order with about as many chunks each; a place in it that many chunks share is dealt further by their ids."""
+
+    def __init__(self, chunks: DataFrame):
+        n = chunks.count()
+        count = max(-(-n // PART), min(chunks.sparkSession.sparkContext.defaultParallelism, -(-n // SMALL)), 1)
+        at = [i / count for i in range(1, count)]
+        found = chunks.agg(F.percentile_approx(F.coalesce("doc_seq", F.lit(0)), at, 10_000).alias("p")).first()["p"] if at else []
+        self.cuts = np.array(found or [], np.int64)
+        self.count, self.tied = len(self.cuts) + 1, len(np.unique(self.cuts)) < len(self.cuts)
+
+    def of(self, doc_seq: np.ndarray, chunk_id: pa.Array | None) -> np.ndarray:
+        """``chunk_id`` is only needed where cuts are ``tied``."""
+        part = np.searchsorted(self.cuts, doc_seq, "right")
+        if self.tied:
+            spread = part - np.searchsorted(self.cuts, doc_seq, "left")
+            for i in np.flatnonzero(spread > 1):
+                part[i] -= zlib.crc32(chunk_id[int(i)].as_py().encode()) % int(spread[i])
+        return part
+
+
+def _gathered(batches):
+    """Batches put together until they have DEALT postings or more; the second column is lists."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column(1).flatten())
+        if n >= DEALT:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _flat(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays([c.flatten() for c in column.chunks])
+
+
+def _by_part(table: pa.Table, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """An order of all postings by part and term, their terms' codes, and what codes stand for."""
+    coded = pc.dictionary_encode(table.column(0).combine_chunks())
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    n = np.asarray(pc.list_value_length(table.column(1)).combine_chunks()).astype(np.int64)
+    term = np.repeat(np.asarray(coded.indices).astype(np.int64), n)
+    return np.argsort(part * len(coded.dictionary) + term, kind="stable"), term, coded.dictionary
+
+
+def _dealt_terms(parts: _Parts):
+    """``part, term`` from ``term``, the lists ``doc_seq`` and, where cuts are tied, ``chunk_id``."""
+
+    def run(batches):
+        for table in _gathered(batches):
+            doc_seq = np.asarray(_flat(table.column("doc_seq")).fill_null(0))
+            part = parts.of(doc_seq, _flat(table.column("chunk_id")) if parts.tied else None)
+            order, term, known = _by_part(table, part)
+            part, term = part[order], term[order]
+            new = np.flatnonzero(np.diff(part, prepend=-1) | np.diff(term, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(part[new].astype(np.int32)), known.take(pa.array(term[new]))], names=["part", "term"])
+
+    return run
+
+
+_STRIP = "struct<terms:array<string>,sizes:array<int>,chunks:array<string>,dl:array<int>,at:array<int>,tf:array<int>>"
+
+
+def _dealt_strips(parts: _Parts):
+    """``part, strip``: postings of many lists in one part as columns of numbers. ``sizes`` has a term's postings, ``at`` their chunk among ``chunks``, whose lengths are ``dl``."""
+
+    def run(batches):
+        for table in _gathered(batches):
+            coded = _flat(table.column("chunk_id")).dictionary_encode()
+            chunk, known_chunks = np.asarray(coded.indices).astype(np.int64), coded.dictionary
+            tf, where = np.asarray(_flat(table.column("tf"))), np.zeros(len(known_chunks), np.int64)
+            where[chunk] = np.arange(len(chunk))
+            dl = np.asarray(_flat(table.column("dl")))[where]
+            part = parts.of(np.asarray(_flat(table.column("doc_seq")).fill_null(0))[where], known_chunks)[chunk]
+            order, term, known = _by_part(table, part)
+            part, term, chunk, tf = part[order], term[order], chunk[order], tf[order]
+            edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            for b, e in zip(edges, edges[1:]):
+                begins = np.flatnonzero(np.diff(term[b:e], prepend=-1))
+                own, at = np.unique(chunk[b:e], return_inverse=True)
+                sizes = np.diff(np.append(begins, e - b))
+                fields = [known.take(pa.array(term[b:e][begins])), sizes, known_chunks.take(pa.array(own)), dl[own], at, tf[b:e]]
+                fields = [x if isinstance(x, pa.Array) else pa.array(x.astype(np.int32)) for x in fields]
+                lists_ = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in fields]
+                strip = pa.StructArray.from_arrays(lists_, names=["terms", "sizes", "chunks", "dl", "at", "tf"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[b])], pa.int32()), strip], names=["part", "strip"])
+
+    return run
+
+
+def _packed(part, names: list[str]):
+    """``part`` and, of up to DEALT rows that lie in it, the columns ``names`` as lists; single rows beside strips would be slow to hand over."""
+
+    def run(batches):
+        held, n = [], 0
+
+        def pack():
+            table = pa.Table.from_batches(held).combine_chunks()
+            at = part(table)
+            order = np.argsort(at, kind="stable")
+            columns = [table.column(c).combine_chunks().take(pa.array(order)) for c in names]
+            edges = np.append(np.flatnonzero(np.diff(at[order], prepend=-1)), n)
+            lists_ = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), c) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(at[order][edges[:-1]].astype(np.int32)), *lists_], names=["part", *names])
+
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= DEALT:
+                yield pack()
+                held, n = [], 0
+        if n:
+            yield pack()
+
+    return run
+
+
+def _met(fields: list[str]):
+    """Rows of one part after the other: its chunks, its terms, then its strips; every posting with its idf and its chunk's ``fields``."""
+
+    def joined(strips: list, name: str) -> pa.Array:
+        return pa.concat_arrays([s.field(name).flatten() for s in strips])
+
+    def meet(strips: list, chunks: dict, terms: dict):
+        lengths = [len(s.field("chunks").flatten()) for s in strips]
+        at = np.asarray(joined(strips, "at")).astype(np.int64) + np.repeat(np.cumsum(lengths) - lengths, [len(s.field("at").flatten()) for s in strips])
+        known_terms, known_chunks, tf, dl = (joined(strips, x) for x in ("terms", "chunks", "tf", "dl"))
+        term = np.repeat(np.arange(len(known_terms)), np.asarray(joined(strips, "sizes")))
+        place, known = pc.index_in(known_chunks, chunks["name"]), pc.index_in(known_terms, terms["name"])
+        if place.null_count or known.null_count:
+            raise ValueError("a posting's chunk or term is missing from the index")
+        idf = terms["idf"].take(known)
+        for i in range(0, len(term), DEALT // 8):
+            a, t = pa.array(at[i : i + DEALT // 8]), pa.array(term[i : i + DEALT // 8])
+            own = chunks["chunk"].take(place.take(a))
+            arrays = [known_terms.take(t), known_chunks.take(a), tf.slice(i, DEALT // 8).cast(pa.int64()), dl.take(a), idf.take(t), *[own.field(f) for f in fields]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["term", "chunk_id", "tf", "dl", "idf", *fields])
+
+    def run(batches):
+        now, held, strips, n = None, None, [], 0
+        for batch in batches:
+            for i in range(len(batch)):
+                part, kind = batch.column("part")[i].as_py(), batch.column("kind")[i].as_py()
+                if part != now or (kind == 2 and n >= DEALT):
+                    if strips:
+                        yield from meet(strips, *held)
+                    strips, n = [], 0
+                if part != now:
+                    now, held = part, ([], [])
+                if kind < 2:
+                    held[kind].append({c: batch.column(c).slice(i, 1).flatten() for c in ("name", ("chunk", "idf")[kind])})
+                    continue
+                if not strips:  # all chunks and terms of the part have come
+                    held = tuple({c: pa.concat_arrays([x[c] for x in h]) for c in h[0]} if isinstance(h, list) else h for h in held)
+                strips.append(batch.column("strip").slice(i, 1))
+                n += len(strips[-1].field("at").flatten())
+        if strips:
+            yield from meet(strips, *held)
+
+    return run
+
+
+def with_chunks(index: dict[str, DataFrame], chunks: DataFrame) -> DataFrame:
+    """``term, chunk_id, tf, weight`` of all stored postings, and what else ``chunks`` (``chunk_id, doc_seq, ...``) has of their chunks.
+
+    Postings move once, as strips, to the part of the corpus that their chunk
+    is in; chunks and the idf of a part's terms come there too, so that no
+    posting is a row before it has met both.
+    """
+    fields = [f for f in chunks.columns if f not in ("chunk_id", "doc_seq")]
+    parts = _Parts(chunks)
+    stored_ = [F.col(f"postings.{x}").alias(x) for x in ("doc_seq", "chunk_id", "tf", "dl")]
+    lists_ = index["lists"].select("term", *stored_)
+    dealt = lists_.select("term", "doc_seq", *["chunk_id"] * parts.tied).mapInArrow(_dealt_terms(parts), "part int, term string")
+    # hashed, so that terms aren't sorted
+    terms = dealt.join(index["term_stats"].select("term", "idf").hint("shuffle_hash"), "term").select("part", F.col("term").alias("name"), "idf")
+    terms = terms.mapInArrow(_packed(lambda t: np.asarray(t.column("part")), ["name", "idf"]), "part int, name array<string>, idf array<double>")
+
+    def place(t: pa.Table) -> np.ndarray:
+        return parts.of(np.asarray(t.column("doc_seq")), t.column("name"))
+
+    own = F.struct(*fields) if fields else F.struct(F.lit(0).alias("_"))
+    of_chunks = chunks.select(F.coalesce("doc_seq", F.lit(0)).alias("doc_seq"), F.col("chunk_id").alias("name"), own.alias("chunk"))
+    kept = f"array<{of_chunks.schema['chunk'].dataType.simpleString()}>"
+    of_chunks = of_chunks.mapInArrow(_packed(place, ["name", "chunk"]), f"part int, name array<string>, chunk {kept}")
+    strips = lists_.mapInArrow(_dealt_strips(parts), f"part int, strip {_STRIP}")
+    none = {"name": "array<string>", "chunk": kept, "idf": "array<double>", "strip": _STRIP}
+
+    def laid(rows: DataFrame, kind: int) -> DataFrame:
+        return rows.select("part", F.lit(kind).alias("kind"), *[F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
+    every = laid(of_chunks, 0).unionByName(laid(terms, 1)).unionByName(laid(strips, 2))
+    # twice as many, as hashes put some parts together
+    every = every.repartition(2 * parts.count, "part").sortWithinPartitions("part", "kind")
+    types = ", ".join(f"`{f}` {chunks.schema[f].dataType.simpleString()}" for f in fields)
+    rows = every.mapInArrow(_met(fields), "term string, chunk_id string, tf long, dl int, idf double" + (f", {types}" if fields else ""))
+    met = rows.crossJoin(F.broadcast(index["corpus_stats"].select("avgdl")))  # one row
+    return met.select("term", "chunk_id", "tf", (F.col("idf") * saturation("tf", "dl", F.col("avgdl"))).alias("weight"), *fields)
+
+
 def _terms(questions: DataFrame) -> tuple[DataFrame, bool]:
     """``question_id, term, qtf``, and whether they are few; then they are broadcast, so that postings don't move."""
     terms = questions.select("question_id", F.explode(tokens("question")).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("qtf"))

@@ -6,6 +6,7 @@ import json
 import os
 import re
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -16,6 +17,10 @@ from ..settings import Settings
 
 #: Tables of a saved index; each is a folder with one part for each time that documents were added.
 TABLES = ("chunks", "lists", "terms", "sizes", "vectors")
+#: Bytes of files that a task reads when an index is written, and bytes of chunks, before they are compressed, that lie together in a file and aren't parted.
+READ = GROUP = 8 << 20
+#: Up to so many ids are broadcast to leave their documents out.
+NAMED = 1_000_000
 
 
 def build(docs: DataFrame, how: Settings) -> dict[str, DataFrame]:
@@ -68,20 +73,33 @@ def _part(spark: SparkSession, out: str, number: int, chunks: DataFrame, vectors
     def write(df: DataFrame, name: str, *order: str) -> DataFrame:
         rows = df.select(*[f.name for f in schemas.STORED[name]], F.lit(number).alias("delta"))
         rows = rows.sortWithinPartitions("delta", *order) if order else rows
-        how = rows.write.mode("overwrite").partitionBy("delta").option("partitionOverwriteMode", "static" if fresh else "dynamic")
+        how = rows.write.mode("overwrite").partitionBy("delta").option("compression", "zstd").option("parquet.block.size", GROUP if name == "chunks" else 16 * GROUP).option("partitionOverwriteMode", "static" if fresh else "dynamic")
         how.parquet(f"{out}/{name}")
         return _read(spark, out, name).where(F.col("delta") == number)
 
-    rows = write(chunks, "chunks")
-    # written where they are made; each file is sorted by term, so that a search for terms reads few row groups
-    found = write(sparse.lists(rows, by_term=True), "lists", "term", "block")
-    write(found.groupBy("term").agg(F.sum("n").alias("df")), "terms")
-    words = found.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
-    write(rows.agg(F.count("*").alias("n")).crossJoin(words), "sizes")  # a row each
-    write(dense.vectors(rows, ["chunk_id", "doc_id"], "text", vectors.embedder) if isinstance(vectors, Settings) else vectors, "vectors")
+    with _small_tasks(spark):
+        rows = write(chunks, "chunks")
+        # written where they are made; each file is sorted by term, so that a search for terms reads few row groups
+        found = write(sparse.lists(rows, by_term=True), "lists", "term", "block")
+        write(found.groupBy("term").agg(F.sum("n").alias("df")), "terms")
+        words = found.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
+        write(rows.agg(F.count("*").alias("n")).crossJoin(words), "sizes")  # a row each
+        write(dense.vectors(rows, ["chunk_id", "doc_id"], "text", vectors.embedder) if isinstance(vectors, Settings) else vectors, "vectors")
     return rows
 
 
+@contextmanager
+def _small_tasks(spark: SparkSession):
+    """Files are read in pieces of READ bytes at most meanwhile, so that a task's lists are sorted in memory: they take some 20 times as much there as their texts do in a file."""
+    name = "spark.sql.files.maxPartitionBytes"
+    had = spark.conf.get(name)
+    spark.conf.set(name, str(min(READ, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(had))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had)
+
+
 def _read(spark: SparkSession, out: str, name: str) -> DataFrame:
     """A stored table with ``delta``; FileNotFoundError where there is none."""
     schema = T.StructType([*schemas.STORED[name], T.StructField("delta", T.IntegerType())])
@@ -112,12 +130,28 @@ def add(docs: DataFrame, how: Settings, root: str, number: int | None = None) ->
     if number is None:
         number = 0 if last is None else last + 1
     if old is not None:
-        docs = docs.join(old.where(F.col("delta") != number).select("doc_id").distinct(), "doc_id", "left_anti")
-    rows = _part(spark, out, number, chunking.chunk(docs.dropDuplicates(["doc_id"]), how.chunking), how)
+        known = old.where(F.col("delta") != number).select("doc_id").distinct()
+        ids = docs.select("doc_id").distinct().join(known, "doc_id", "left_semi")
+        docs = docs.join(F.broadcast(ids) if _few(ids) else known, "doc_id", "left_anti")
+    rows = _part(spark, out, number, chunking.chunk(_once(docs), how.chunking), how)
     found = rows.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks")).first()
     return {"number": number, **found.asDict()}
 
 
+def _few(ids: DataFrame) -> bool:
+    return ids.limit(NAMED + 1).count() <= NAMED
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """One row of each id; texts don't move, but for those of ids that are there twice."""
+    twice = docs.groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("n")).where("n > 1").select("twice")
+    if not _few(twice):
+        return docs.dropDuplicates(["doc_id"])
+    same = F.col("doc_id").eqNullSafe(F.col("twice"))
+    one, more = (docs.join(F.broadcast(twice), same, kind) for kind in ("left_anti", "left_semi"))
+    return one.unionByName(more.dropDuplicates(["doc_id"]))
+
+
 def load(spark: SparkSession, how: Settings, root: str) -> dict[str, DataFrame]:
     """The saved tables, statistics summed over parts; FileNotFoundError where there is no index."""
     dense.store(how.vector_store)

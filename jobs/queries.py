@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from groundwork.operators import sparse
 from groundwork.plans import index
 from groundwork.plans.index import shared_dir
 from groundwork.sql import CTE, query
@@ -26,8 +27,8 @@ def job1_index_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):  # a pattern, as the table is one file or a folder of files
         index_documents.run(spark, f"{sf_dir}/documents*.parquet", f"{root}/index", f"{root}/checkpoint", config)
     built = index.load(spark, pipeline(config), f"{root}/index")
-    chunks = built["chunks"].select("chunk_id", "doc_id", "title", F.size(F.split("text", " ")).cast("long").alias("n_words"))
-    rows = built["postings"].join(chunks.hint("shuffle_hash"), "chunk_id")  # hashed, so that postings aren't sorted
+    chunks = built["chunks"].select("chunk_id", "doc_seq", "doc_id", "ordinal", "title", F.size(F.split("text", " ")).cast("long").alias("n_words"))
+    rows = sparse.with_chunks(built, chunks)
     # six digits as the SQL rounds them; F.round writes every number out in decimal digits, which takes long
     weight = F.signum("weight") * F.floor(F.abs("weight") * 1e6 + 0.5) / 1e6
     return rows.select("term", "chunk_id", "doc_id", F.col("ordinal").cast("long").alias("ordinal"), "title", "n_words", "tf", weight.alias("weight"))

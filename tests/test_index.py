@@ -149,6 +149,42 @@ def test_lists_by_term(spark, tmp_path):
     assert sum(map(len, held)) == len(set().union(*held))
 
 
+@pytest.mark.parametrize("places", ["own", "shared", "none"])
+def test_postings_meet_their_chunks(spark, tmp_path, monkeypatch, places):
+    """Every stored posting with its chunk, dealt by places in the corpus that documents may share or lack; single postings don't move."""
+    for name, value in (("PART", 20), ("SMALL", 20), ("DEALT", 300)):
+        monkeypatch.setattr(sparse, name, value)
+    seq = {"own": "doc_seq", "shared": "doc_seq div 150", "none": "cast(null as long)"}[places]
+    docs = table(spark, list(enumerate(texts(7, 300)))).repartition(3).selectExpr("doc_id", "title", "text", "metadata", f"{seq} as doc_seq")
+    built = I.build(docs, HOW)
+    I.save(built, HOW, str(tmp_path))
+    stored = I.load(spark, HOW, str(tmp_path))
+    own = ["chunk_id", "doc_seq", "doc_id", "text"]
+    parts = sparse._Parts(stored["chunks"])
+    assert parts.count > 4 and parts.tied == (places != "own")
+    found = sparse.with_chunks(stored, stored["chunks"].select(*own))
+    want = built["postings"].select("term", "chunk_id", "tf", "weight").join(built["chunks"].select("chunk_id", "doc_id", "text"), "chunk_id")
+    columns = ["term", "chunk_id", "tf", "doc_id", "text", "weight"]
+    a, b = (sorted((*r[:5], round(r[5], 9)) for r in df.select(*columns).collect()) for df in (found, want))
+    assert a == b and len(a) > 1000
+    assert "hashpartitioning(chunk_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_an_index_are_small(spark, tmp_path, monkeypatch):
+    """One file of chunks is parted for the lists, and the session's setting is there again; of two documents with an id one is taken."""
+    monkeypatch.setattr(I, "READ", 20_000)
+    monkeypatch.setattr(I, "GROUP", 20_000)
+    name = "spark.sql.files.maxPartitionBytes"
+    had, rng = spark.conf.get(name), random.Random(1)
+    rows = [(i, " ".join(f"x{rng.getrandbits(60)}" for _ in range(12))) for i in range(4000)]
+    docs = table(spark, rows + [rows[5], rows[7]]).coalesce(1)
+    done = I.add(docs, HOW, str(tmp_path))
+    assert done["documents"] == done["chunks"] == 4000 and spark.conf.get(name) == had
+    count = lambda x: len(list(Path(tmp_path).glob(f"*/{x}/delta=0/*.parquet")))
+    assert count("lists") >= 4 > count("chunks")
+    assert I.load(spark, HOW, str(tmp_path))["postings"].count() == 12 * 4000
+
+
 def test_nothing_to_index(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         I.load(spark, HOW, str(tmp_path))
